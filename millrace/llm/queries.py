@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.tables import read_table
 
-from . import quality_rules
+from . import bpe_automaton, quality_rules
+
+#: The vocabulary that op10 and the pipeline encode with.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +21,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in names))
 
 
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"))
+    return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op10_bpe_automaton": op10_bpe_automaton,
 }
