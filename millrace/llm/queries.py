@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import read_table
 
-from . import bpe_automaton, quality_rules
+from . import bpe_automaton, chat_format, quality_rules
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in names))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    records = chat_format.records_of_rows(rows.unionByName(extra), "conv_id", "turn", "role", "text")
+    done = chat_format.format_records(records)
+    turns = chat_format.read_turns(F.col("formatted"))
+    loss = chat_format.read_loss(F.col("formatted"), F.col("loss_spans"))
+    done = done.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"))
@@ -29,5 +50,6 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_chat_format": op7_chat_format,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
