@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import read_table
 
-from . import bpe_automaton, chat_format, quality_rules
+from . import bpe_automaton, chat_format, decontaminate, quality_rules
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"))
@@ -51,5 +64,6 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_chat_format": op7_chat_format,
+    "op8_decontaminate": op8_decontaminate,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
