@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import read_table
 
-from . import bpe_automaton, chat_format, decontaminate, minhash_dedup, quality_rules
+from . import bpe_automaton, chat_format, decontaminate, minhash_dedup, quality_rules, substring_dedup, suffix_dedup
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,11 +21,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in names))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash_dedup.near_duplicates(docs, shingle=3, percent=85).drop("text_hash")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(
@@ -68,7 +76,9 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op10_bpe_automaton": op10_bpe_automaton,
