@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import read_table
 
-from . import bpe_automaton, chat_format, decontaminate, minhash_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import bpe_automaton, chat_format, decontaminate, lm_scoring, minhash_dedup, quality_rules, substring_dedup, suffix_dedup
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in names))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
