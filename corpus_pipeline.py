@@ -10,6 +10,10 @@ from millrace.sources.tables import read_table
 
 STAGES = [
     ("quality_rules", stages.quality),
+    ("minhash_near_dedup", stages.near_duplicates),
+    ("substring_dedup", stages.substrings),
+    ("benchmark_decontamination", stages.benchmark_free),
+    ("bpe_encoding", stages.encoded),
 ]
 
 #: The model-based stages have no SQL form; tests hold run() against a brute-force version.
