@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import read_table
 
-from . import bpe_automaton, chat_format, decontaminate, lm_scoring, minhash_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import (
+    bpe_automaton,
+    chat_format,
+    decontaminate,
+    language_id,
+    license_scan,
+    lm_scoring,
+    minhash_dedup,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+)
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +49,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(
@@ -72,6 +87,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"))
@@ -84,7 +103,9 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
+    "op9_license_scan": op9_license_scan,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
