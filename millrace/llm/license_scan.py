@@ -23,11 +23,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import stash
+
 from .keys import attach
 
-FEATURES = 1 << 14
+FEATURES = 1 << 12
 #: Bound on the paragraphs of the corpus that the classifier is trained on.
-NEGATIVES = 4000
+NEGATIVES = 2000
 ERRORS = 0.005
 #: Share of a template's words that confirms a prediction.
 OVERLAP = 0.6
@@ -110,8 +112,8 @@ def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     other = other.withColumn("order", F.xxhash64("line")).orderBy("order", "line").limit(NEGATIVES).drop("order")
     told = _examples(spark).unionByName(other)
     number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
-    told = told.select(number.cast("double").alias("label"), words(F.col("line")).alias("words"), (F.pmod(F.xxhash64("line"), F.lit(5)) == 0).alias("held"))
-    fitted = LogisticRegression(family="multinomial", regParam=0.001, maxIter=30, labelCol="label")
+    told = stash(told.repartition(4).select(number.cast("double").alias("label"), words(F.col("line")).alias("words"), (F.pmod(F.xxhash64("line"), F.lit(5)) == 0).alias("held")), "examples")
+    fitted = LogisticRegression(family="multinomial", regParam=0.001, maxIter=20, labelCol="label")
     model = Pipeline(stages=[*_features(), fitted]).fit(told.filter("not held or label > 0"))
     held = model.transform(told.filter("held")).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p"))
     rows = held.filter("prediction > 0").orderBy("p").collect()  # a fifth of the examples at most
@@ -124,12 +126,12 @@ def train(docs: DataFrame) -> tuple[PipelineModel, float]:
 
 def overlap(tokens: Column, family: Column) -> Column:
     """The largest share of a template's words that the paragraph holds, over the family's templates."""
-    best = F.lit(0.0)
+    shares = []
     for name, texts in TEMPLATES.items():
         for text in texts:
             held = F.array_distinct(words(F.lit(text)))
-            best = F.when(family == name, F.greatest(best, F.size(F.array_intersect(tokens, held)) / F.size(held))).otherwise(best)
-    return best
+            shares.append(F.when(family == name, F.size(F.array_intersect(tokens, held)) / F.size(held)).otherwise(0.0))
+    return F.greatest(*shares)
 
 
 def scan(docs: DataFrame) -> DataFrame:
