@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 1 << 25
-BITS_PER_HASH = 16
+#: Bits for each hash where there is room, and the fewest that still make a useful filter.
+BITS_PER_HASH, FEWEST_BITS = 64, 8
 _WORD = 64
 
 
@@ -38,11 +39,9 @@ def build(hashes: DataFrame):
     """A broadcast Filter for the distinct hashes in the one column of ``hashes``; None if they are too many."""
     column = F.col(hashes.columns[0])
     n = hashes.count()
-    size = 1 << max(10, (n * BITS_PER_HASH // _WORD).bit_length())
-    if size * 8 > MOST_BYTES:
-        size //= 2  # 8 to 16 bits for each
-    if size * 8 > MOST_BYTES:
+    if n * FEWEST_BITS > MOST_BYTES * 8:
         return None
+    size = 1 << max(10, min((n * BITS_PER_HASH // _WORD).bit_length(), (MOST_BYTES * 8 // _WORD).bit_length() - 1))
     bits = F.lit(0).cast("bigint")
     for shift in (40, 46, 52, 58):
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(63)).cast("int")))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import stash
+
 from .keys import attach, keyed
 
 LENGTH = 13
@@ -105,7 +107,7 @@ def proximity(index: DataFrame, asked: DataFrame, slack: int) -> DataFrame:
 
 def exact_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_hash, phrase, start, n): every occurrence of a window in the keyed documents."""
-    asked = query_terms(windows, term_counts(docs, windows))
+    asked = stash(query_terms(windows, term_counts(docs, windows)), "asked")
     candidates = intersect(postings(docs, asked), asked).withColumn("n", F.size(F.split("phrase", " ")))
     grouped = candidates.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("phrase", "start", "n")).alias("found"))
     # Rows may repeat, and then so do their matches here; what reads them counts each place once.
@@ -121,7 +123,7 @@ def report(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame
     """
     whole = keyed(docs)
     windows = item_windows(items, length)
-    matches = exact_matches(whole, windows)
+    matches = stash(exact_matches(whole, windows), "matches")
     doc = ["doc_id", "text_hash"]
     runs = matches.select(*doc, "start", (F.col("start") + F.col("n")).alias("end")).groupBy(*doc, "start").agg(F.max("end").alias("end"))
     earlier = Window.partitionBy(*doc).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ BITS_PER_TOKEN = 6
 BLOCK_WORDS = 1 << 13
 #: How many of the most frequent words have their exact counts broadcast (16 bytes each).
 FREQUENT = 1 << 18
-SLICE_BYTES = 1 << 22
+#: Bytes of text that are worked through at a time, and tokens whose levels are.
+SLICE_BYTES, CHUNK = (1 << 21) - 4096, 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)
 _LOW = np.uint64((1 << 48) - 1)
 GRID = np.array([0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
@@ -174,7 +176,7 @@ def _levels_here(text: Column, shared) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         columns: tuple[list, list] = ([], [])
         index = shared.value
-        for _, _, data, offsets in tb.slices(texts, SLICE_BYTES):
+        for _, _, data, offsets in tb.slices(texts, SLICE_BYTES // 2):
             words, first = tokens(data, offsets)
             distinct, place = np.unique(words, return_inverse=True)
             one = index.levels(distinct, index.block_of(distinct) * BLOCK_WORDS)[place]
@@ -245,11 +247,15 @@ class Model:
         return before, share, self.unigram(np.maximum(COUNTS[one] - out, 0))
 
 
-def _packed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All levels of a batch, and where each row's start."""
-    one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("one", "two"))
-    sizes = [len(x) for x in batch.column("one").to_pylist()]
-    return one, two, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+def _packed(ones: pa.Array, twos: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The levels of runs of rows, about CHUNK tokens at a time, and where each row's start."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(ones).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    row = 0
+    while row < len(ones):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1)
+        one, two = (np.frombuffer(b"".join(c.slice(row, stop - row).to_pylist()), np.uint8) for c in (ones, twos))
+        yield one, two, ends[row : stop + 1] - ends[row]
+        row = stop
 
 
 def fit_weights(levels: DataFrame, model: Model) -> Model:
@@ -257,14 +263,14 @@ def fit_weights(levels: DataFrame, model: Model) -> Model:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two, first = _packed(batch)
-            before, pair, single = model.parts(one, two, first, out=1)
-            for g, weight in enumerate(GRID):
-                gain = np.bincount(before, np.log10(weight * pair + (1 - weight) * single), 256)
-                seen = np.flatnonzero(np.bincount(before, minlength=256))
-                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(np.full(len(seen), g, np.int32)), pa.array(gain[seen])], ["level", "g", "gain"])
+            gains, seen = np.zeros((256, len(GRID))), np.zeros(256, np.int64)
+            for one, two, first in _packed(batch.column("one"), batch.column("two")):
+                before, pair, single = model.parts(one, two, first, out=1)
+                seen += np.bincount(before, minlength=256)
+                for g, weight in enumerate(GRID):
+                    gains[:, g] += np.bincount(before, np.log10(weight * pair + (1 - weight) * single), 256)
+            level, g = np.nonzero(np.repeat(seen[:, None] > 0, len(GRID), axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(gains[level, g])], ["level", "g", "gain"])
 
     sums = levels.select("one", "two").mapInArrow(run, "level int, g int, gain double").groupBy("level", "g").agg(F.sum("gain").alias("gain")).collect()
     gains = np.full((256, len(GRID)), -np.inf)
@@ -353,14 +359,13 @@ def _exact_part(rows: DataFrame, exact) -> DataFrame:
 def _score(model: Model):
     """A UDF: the model's log10 probability of a text, from its levels."""
 
-    def run(one: pa.Array, two: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([one, two], ["one", "two"])
-        if not batch.num_rows:
-            return pa.array([], pa.float64())
-        q1, q2, first = _packed(batch)
-        before, pair, single = model.parts(q1, q2, first)
-        weight = np.array(model.weights)[before]
-        logs = np.log10(weight * pair + (1 - weight) * single)
-        return pa.array([float(logs[i:j].sum()) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.float64())
+    def run(ones: pa.Array, twos: pa.Array) -> pa.Array:
+        out: list[float] = []
+        weights = np.array(model.weights)
+        for one, two, first in _packed(ones, twos):
+            before, pair, single = model.parts(one, two, first)
+            logs = np.log10(weights[before] * pair + (1 - weights[before]) * single)
+            out += [float(logs[i:j].sum()) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return pa.array(out, pa.float64())
 
     return F.arrow_udf(run, "double").asNondeterministic()

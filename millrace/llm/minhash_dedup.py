@@ -1,17 +1,18 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 A document's set holds its distinct word shingles (hashed to 64 bits). Two collections of ``t`` small
-MinHash signatures of two values each are computed; a table key is a *pair* of signatures, one from
-either collection. So t * t tables of four values each need only 4 * t hash functions instead of
-4 * t * t. ``t`` is chosen so that a pair of documents at the threshold shares no key with a
-probability of at most ``miss``.
+MinHash signatures of ``WIDTH`` values each are computed; a table key is a *pair* of signatures, one
+from either collection. So t * t tables of 2 * WIDTH values each need only 2 * WIDTH * t hash functions
+instead of 2 * WIDTH * t * t. ``t`` is chosen so that a pair of documents at the threshold shares no key
+with a probability of at most ``miss``. Keys are only formed for documents that share a signature of
+either collection with another document.
 
 Documents with equal sets are one class from the start, and only one row of a class goes on. Within a
-key, the documents are not paired with each other: each round takes one document of the smallest
-component there, compares it with all the others of the key that are not yet linked with it, and
-takes it out of the key. A key is done when its documents are in one component. So a round is
-linear in the rows of the table, large groups of near copies end after one or two rounds, and no
-candidate is left out. Links are confirmed on the full sets.
+key, the documents are not paired with each other: each round takes a bounded number of leading
+documents, compares them with the others of the key that are not yet in their component, and takes
+them out of the key. A key is done when its documents are in one component. So a round is linear in
+the rows of the table, large groups of near copies end after one or two rounds, and no candidate is
+left out. Links are confirmed on the full sets.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a document with fewer
 words than a shingle has its whole word sequence as its only shingle; ids may repeat or be null (a
@@ -36,9 +37,13 @@ from . import textbytes as tb
 SIGNED_TYPE = "struct<n_shingles: bigint, set_hash: binary, left: array<bigint>, right: array<bigint>>"
 
 
+#: MinHash values in a signature: with eight in a key, documents that share a passage seldom meet.
+WIDTH = 4
+
+
 def tables(threshold: float, miss: float = 1e-4) -> int:
-    """The size t of either collection: (1 - j**2)**t is at most half of ``miss`` at similarity j."""
-    return math.ceil(math.log(miss / 2) / math.log(1 - threshold**2))
+    """The size t of either collection: (1 - j**WIDTH)**t is at most half of ``miss`` at similarity j."""
+    return math.ceil(math.log(miss / 2) / math.log(1 - threshold**WIDTH))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,23 +70,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 @lru_cache(maxsize=8)
 def _functions(t: int) -> tuple[np.ndarray, np.ndarray]:
-    values = np.random.default_rng(4).integers(1, 1 << 63, (2, 4 * t), dtype=np.uint64)
+    values = np.random.default_rng(4).integers(1, 1 << 63, (2, 2 * WIDTH * t), dtype=np.uint64)
     return values[0] | np.uint64(1), values[1]
 
 
 def signatures(grams: np.ndarray, first: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two arrays (rows with a set, t) of signatures of two MinHash values each."""
+    """Two arrays (rows with a set, t) of signatures of WIDTH MinHash values each."""
     starts = first[:-1]
     odd, add = _functions(t)
-    least = np.empty((4 * t, len(starts)), np.uint64)
+    out = np.zeros((2 * t, len(starts)), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(4 * t):
+        for k in range(2 * WIDTH * t):
             x = grams * odd[k] + add[k]
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
-            least[k] = np.minimum.reduceat(x, starts)
-        pair = tb.mix(least[0::2] * np.uint64(3) + tb.mix(least[1::2])).T
-    return pair[:, :t], pair[:, t:]
+            out[k // WIDTH] = tb.mix(out[k // WIDTH] * np.uint64(3) + np.minimum.reduceat(x, starts))
+    return out[:t].T, out[t:].T
 
 
 def signed(text: Column, n: int, t: int) -> Column:
@@ -144,7 +148,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         edges = stash(small.filter("u > v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
@@ -158,6 +162,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _linked(live: DataFrame, sets: DataFrame, percent: int, leads: int = 64) -> DataFrame:
+    """(node, root) of the nodes with a link, root being the same for all nodes of a component.
+
+    live: (key, node) of the keys that nodes share. In the first round a key's leads are one node,
+    which joins most groups of near copies; later they are up to ``leads`` of the nodes outside the
+    largest component of the key. Leads are compared with the key's nodes of other components,
+    and leave it.
+    """
+    roots = tried = None
+    while True:
+        tagged = live.withColumn("root", F.col("node"))
+        if roots is not None:
+            tagged = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = tagged.groupBy("key", "root").agg(F.count("*").alias("k"), F.max("node").alias("one"))
+        split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "root", "one")).alias("most")).filter("parts > 1")
+        open_ = stash(tagged.join(split.select("key", "most.one", F.col("most.root").alias("main")), "key"), "open")
+        if roots is None:
+            lead = F.col("node") == F.col("one")
+        else:
+            order = Window.partitionBy("key").orderBy("root", "node")
+            chosen = open_.filter("root <> main").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leads)
+            open_ = open_.join(chosen.select("key", "node", "r"), ["key", "node"], "left")
+            lead = F.col("r").isNotNull()
+        ahead = open_.filter(lead).select("key", F.col("node").alias("lead"), F.col("root").alias("of"))
+        met = open_.join(ahead, "key").filter("root <> of")
+        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stash(pairs, "pairs")
+        if not pairs.take(1):
+            if not open_.filter(lead).take(1):
+                return live.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+        else:
+            tried = pairs if tried is None else tried.unionAll(pairs)
+            roots = stash(_joined(roots, _confirmed(pairs, sets, percent)), "roots")
+        live = open_.filter(~lead).select("key", "node")
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots after new links (a, b)."""
+    if roots is None:
+        return components(links)
+    one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(between)
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return old.unionAll(moved.join(roots, "node", "left_anti").select("node", "root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """A row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id (the smallest doc_id of
     the documents reachable by links, itself included) and kept (doc_id = component_id).
@@ -173,7 +227,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("least"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("n_shingles").alias("n")
     )
     pair = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(t)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(t)), lambda j: F.xxhash64(i, j, F.element_at("left", i), F.element_at("right", j)))))
-    keys = classes.select("set_hash", F.explode(pair).alias("key"))
+    meeting = classes
+    for side in ("left", "right"):
+        shown = meeting.select("set_hash", F.posexplode(side).alias("i", "v"))
+        met = shown.groupBy("i", "v").agg(F.count("*").alias("k")).filter("k > 1").select("i", "v")
+        meeting = stash(meeting.join(shown.join(met, ["i", "v"]).select("set_hash").distinct(), "set_hash"), "meeting")
+    keys = meeting.select("set_hash", F.explode(pair).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     live = stash(keys.join(shared, "key").select("key", F.col("set_hash").alias("node")), "keys")
 
@@ -186,24 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     whole = whole.filter(bloom.maybe(F.col("h"), chosen)).select("h", full_set(F.col("text"), shingle).alias("grams"))
     sets = stash(one.join(whole, "h").dropDuplicates(["h"]).select("node", "grams"), "sets")
 
-    roots = None  # (node, root) of the nodes that have a link
-    links = None
-    while True:
-        tagged = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        here = tagged.groupBy("key", "root").agg(F.count("*").alias("k"), F.min("node").alias("one"))
-        turn = here.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("k", "root", "one")).alias("least"))
-        turn = turn.filter("parts > 1").select("key", F.col("least.root").alias("of"), F.col("least.one").alias("lead"))
-        open_ = stash(tagged.join(turn, "key"), "open")
-        pairs = open_.filter("root <> of").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        if not open_.take(1):
-            break
-        found = stash(_confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
-        live = open_.filter("node <> lead").select("key", "node")
-
-    if roots is None:
-        roots = live.select("node", F.col("node").alias("root")).limit(0)
+    roots = _linked(live, sets, percent)
     named = classes.select("set_hash", "least").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.select("set_hash", "root").join(least, "root").select("set_hash", "component")

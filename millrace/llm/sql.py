@@ -1 +1,72 @@
-ORACLES: dict[str, str] = {}
+"""The queries of this subpackage as SQL for DuckDB, where SQL can express them.
+
+Without SQL: op1 and op2 (models fitted to the corpus), op3 (windows of bytes are too many for SQL
+over whole tables), op6 and op9 (trained models) and op10 (a tokenizer). Tests hold those against
+brute force, round trips or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_SPACED}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+m AS (SELECT a, min(root) AS root FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
+"""
+
+_OP5 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT p, min(doc_id) AS least FROM v GROUP BY p),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM v JOIN f USING (p) WHERE doc_id > least),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM a ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_MARKS = (
+    r"len(regexp_extract_all({0}, '\\[blsn]')) + len(regexp_extract_all({0}, '<(?:\|turn\|>|\|end\|>|/?s>)')) + len(regexp_extract_all({0}, '\[/?INST\]'))"
+)
+_OP7 = f"""
+WITH c AS (
+  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (SELECT *, 17 + length(role) + length(text) + len(regexp_extract_all(role, '\\n')) + {_MARKS.format('role')} + {_MARKS.format('text')} AS size FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::bigint AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_ALNUM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_ALNUM}) AS w FROM benchmark),
+iw AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+m AS (SELECT DISTINCT doc_id, n, i, item_id FROM dw JOIN iw USING (n, p)),
+h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM m) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_minhash_dedup": _OP4,
+    "op5_substring_dedup": _OP5,
+    "op7_chat_format": _OP7,
+    "op8_decontaminate": _OP8,
+}

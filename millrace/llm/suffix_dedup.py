@@ -39,7 +39,7 @@ from .keys import attach, keyed
 
 LENGTH, ANCHOR = 100, 32
 #: Occurrences of an anchor beyond which its windows are grouped one by one.
-HOT = 1000
+HOT = 10_000
 BUCKET_BYTES = 1 << 20
 #: Contexts in a batch that gets a suffix array of its own.
 BATCH = 1024

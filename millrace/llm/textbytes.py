@@ -41,7 +41,7 @@ def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(22, int(n).bit_length()))
+    return _powers(max(20, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -171,3 +171,28 @@ def principal_scores(rows: DataFrame, n: int) -> DataFrame:
         return F.aggregate(terms, F.lit(float(-(mean @ axis))), lambda s, x: s + x)
 
     return rows.select("id", *(score(v[:, k]).alias(f"pc{k + 1}") for k in range(n)))
+
+
+def kernel_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n_a, n_b, distance): the unbiased squared kernel distance with the kernel (x.y / d + 1)**3 over all pairs."""
+
+    def sums(one: DataFrame, two: DataFrame, name: str, same: bool) -> DataFrame:
+        left = one.select(F.col("id").alias("l_id"), F.col("vec").alias("lv"))
+        right = two.select(F.col("id").alias("r_id"), F.col("vec").alias("rv"))
+        x, y = _crossed(left, right)
+
+        def total(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(p) or not len(q):
+                return pd.DataFrame({"s": []}, dtype=float)
+            u, v = np.stack(p["lv"]).astype(float), np.stack(q["rv"]).astype(float)
+            k = (u @ v.T / u.shape[1] + 1) ** 3
+            if same:
+                k[p["l_id"].to_numpy()[:, None] == q["r_id"].to_numpy()] = 0
+            return pd.DataFrame({"s": [k.sum()]})
+
+        return x.groupBy("lb", "rb").cogroup(y.groupBy("lb", "rb")).applyInPandas(total, "s double").agg(F.sum("s").alias(name))
+
+    n = a.agg(F.count("*").alias("n_a")).crossJoin(b.agg(F.count("*").alias("n_b")))  # one row each, as the sums
+    all_ = n.crossJoin(sums(a, a, "aa", True)).crossJoin(sums(b, b, "bb", True)).crossJoin(sums(a, b, "ab", False))
+    na, nb = F.col("n_a"), F.col("n_b")
+    return all_.select("n_a", "n_b", (F.col("aa") / (na * (na - 1)) + F.col("bb") / (nb * (nb - 1)) - 2 * F.col("ab") / (na * nb)).alias("distance"))

@@ -394,6 +394,11 @@ def frechet_distance(spark, d):
     return spark.createDataFrame([(round(vectors.frechet(v.filter("side = 0"), v.filter("side = 1")), 6),)], "distance double")
 
 
+def kernel_distance(spark, d):
+    v = _side(_vectors(spark, d), "frechet", 2)
+    return _rounded(vectors.kernel_distance(v.filter("side = 0"), v.filter("side = 1")))
+
+
 def pca_scores(spark, d):
     return _rounded(vectors.principal_scores(_vectors(spark, d), 3))
 
@@ -405,5 +410,5 @@ QUERIES = {f.__name__: f for f in (
     accept_first_n, knn, knn_other_group, near_dup_pairs, near_dup_screen, memorisation_ratio, prdc, intrinsic_dim, participation_ratio,
     group_diversity, mode_power, octave_shares, radial_profile, log_spectral_distance, low_pass_share, histogram, bin_counts, majority_drift,
     step_windows, rewind_canonical, failure_streaks, cadence_check, terminal_event, json_flatten, schema_rules, reconcile_sources, wide_index,
-    grouped_summary, multiplicity, config_diff, held_out_anti, contamination, union_conflicts, batches, frechet_distance, pca_scores,
+    grouped_summary, multiplicity, config_diff, held_out_anti, contamination, union_conflicts, batches, frechet_distance, kernel_distance, pca_scores,
 )}

@@ -134,4 +134,5 @@ ORACLES: dict[str, str] = {
     "contamination": "SELECT count(*) AS n FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM benchmark)",
     "union_conflicts": "WITH k AS (SELECT count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS keys, count(*) FILTER (k > 1) AS conflicts FROM k",
     "batches": f"WITH r AS (SELECT o_orderkey, year(o_orderdate)::int AS y, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY {_draw(chr(39) + 'shuffle' + chr(39), 'o_orderkey')}, o_orderkey) AS r FROM orders) SELECT y, ceil(r / 64)::bigint AS batch, count(*) AS n, min(o_orderkey) AS least FROM r GROUP BY ALL HAVING count(*) = 64",
+    "kernel_distance": f"WITH {_side('frechet', 2)}, k AS (SELECT a.side AS p, b.side AS q, (list_inner_product(a.vec, b.vec) / 64 + 1) ** 3 AS k FROM s a JOIN s b ON a.id <> b.id), t AS (SELECT p, q, avg(k) AS m FROM k GROUP BY ALL) SELECT (SELECT count(*) FROM s WHERE side = 0) AS n_a, (SELECT count(*) FROM s WHERE side = 1) AS n_b, round(sum(CASE WHEN p = q THEN m ELSE -m END), 6) AS distance FROM t",
 }
