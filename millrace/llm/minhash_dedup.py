@@ -8,11 +8,11 @@ with a probability of at most ``miss``. Keys are only formed for documents that
 either collection with another document.
 
 Documents with equal sets are one class from the start, and only one row of a class goes on. Within a
-key, the documents are not paired with each other: each round takes a bounded number of leading
-documents, compares them with the others of the key that are not yet in their component, and takes
-them out of the key. A key is done when its documents are in one component. So a round is linear in
-the rows of the table, large groups of near copies end after one or two rounds, and no candidate is
-left out. Links are confirmed on the full sets.
+key, the documents are not paired with each other: rounds take leading documents and compare them
+with the others of the key that are not yet in their component. A key is done when its documents are in
+one component, which for most groups of near copies is after the first round; the last round compares
+all that are left. A pair that shares so few signatures that it is hardly at the threshold
+(probability ``miss`` / 2) is not compared. Links are confirmed on the full sets.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a document with fewer
 words than a shingle has its whole word sequence as its only shingle; ids may repeat or be null (a
@@ -22,7 +22,7 @@ document is named by id and text hash, and equal sets are one class); extra colu
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -162,42 +162,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _linked(live: DataFrame, sets: DataFrame, percent: int, leads: int = 64) -> DataFrame:
+def agreements_needed(t: int, threshold: float, miss: float = 1e-4) -> int:
+    """How many of the 2 * t signatures two documents must share to be compared: at the threshold,
+    fewer are shared with a probability of at most half of ``miss``."""
+    p, n, below, k = threshold**WIDTH, 2 * t, 0.0, 0
+    while True:
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > miss / 2:
+            return max(k, 2)
+        k += 1
+
+
+def _agree(t: int, half: int) -> list[Column]:
+    """For each signature of one collection (0 or 1), whether ``marks`` and ``lead_marks`` have it in common."""
+    return [F.get("marks", F.lit(k)) == F.get("lead_marks", F.lit(k)) for k in range(half * t, half * t + t)]
+
+
+def _first(same: list[Column]) -> Column:
+    """The place of the first true value."""
+    return F.coalesce(*(F.when(s, k) for k, s in enumerate(same)))
+
+
+def _likely(t: int, needed: int) -> Column:
+    """Whether ``marks`` and ``lead_marks`` share enough signatures."""
+    return reduce(lambda x, y: x + y, (s.cast("int") for s in _agree(t, 0) + _agree(t, 1))) >= needed
+
+
+def _linked(live: DataFrame, marked: DataFrame, sets: DataFrame, percent: int, t: int, needed: int, leads: int = 16) -> DataFrame:
     """(node, root) of the nodes with a link, root being the same for all nodes of a component.
 
-    live: (key, node) of the keys that nodes share. In the first round a key's leads are one node,
-    which joins most groups of near copies; later they are up to ``leads`` of the nodes outside the
-    largest component of the key. Leads are compared with the key's nodes of other components,
-    and leave it.
+    live: (key, place, node) of the keys that nodes share; marked: (node, marks), the signatures of
+    each node in 32 bits. Three rounds compare *leads* of each key with its nodes of other components:
+    one node first, which joins most groups of near copies; then up to ``leads`` nodes outside
+    the key's largest component; then all that are still outside it. In the last two, a pair is formed
+    in the first key only that its nodes share, and only if they share enough signatures.
     """
-    roots = tried = None
-    while True:
+    roots = None
+    lead_marked = marked.select(F.col("node").alias("lead"), F.col("marks").alias("lead_marks"))
+    for most in (1, leads, None):
         tagged = live.withColumn("root", F.col("node"))
         if roots is not None:
             tagged = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = tagged.groupBy("key", "root").agg(F.count("*").alias("k"), F.max("node").alias("one"))
         split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "root", "one")).alias("most")).filter("parts > 1")
         open_ = stash(tagged.join(split.select("key", "most.one", F.col("most.root").alias("main")), "key"), "open")
-        if roots is None:
-            lead = F.col("node") == F.col("one")
+        if most == 1:
+            ahead = open_.filter("node = one")
         else:
-            order = Window.partitionBy("key").orderBy("root", "node")
-            chosen = open_.filter("root <> main").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leads)
-            open_ = open_.join(chosen.select("key", "node", "r"), ["key", "node"], "left")
-            lead = F.col("r").isNotNull()
-        ahead = open_.filter(lead).select("key", F.col("node").alias("lead"), F.col("root").alias("of"))
-        met = open_.join(ahead, "key").filter("root <> of")
-        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        if not pairs.take(1):
-            if not open_.filter(lead).take(1):
-                return live.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+            ahead = open_.filter("root <> main")
+            if most:
+                order = Window.partitionBy("key").orderBy("root", "node")
+                ahead = ahead.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+        ahead = ahead.select("key", F.col("node").alias("lead"), F.col("root").alias("of"))
+        if most == 1:
+            pairs = open_.join(ahead, "key").filter("root <> of").select("node", "lead").distinct()
+            pairs = pairs.join(marked, "node").join(lead_marked, "lead").filter(_likely(t, needed))
         else:
-            tried = pairs if tried is None else tried.unionAll(pairs)
-            roots = stash(_joined(roots, _confirmed(pairs, sets, percent)), "roots")
-        live = open_.filter(~lead).select("key", "node")
+            here = F.col("place") == _first(_agree(t, 0)) * t + _first(_agree(t, 1))
+            # Two leads of one key meet once, if the one outside the main component leads.
+            once = (F.col("root") == F.col("main")) | (F.col("lead") < F.col("node")) if most is None else F.lit(True)
+            met = open_.join(marked, "node").join(ahead.join(lead_marked, "lead"), "key")
+            pairs = met.filter((F.col("root") != F.col("of")) & once & here & _likely(t, needed))
+        pairs = stash(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), "pairs")
+        roots = stash(_joined(roots, _confirmed(pairs, sets, percent)), "roots")
+        live = open_.select("key", "place", "node")
+    return roots
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -232,9 +261,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         shown = meeting.select("set_hash", F.posexplode(side).alias("i", "v"))
         met = shown.groupBy("i", "v").agg(F.count("*").alias("k")).filter("k > 1").select("i", "v")
         meeting = stash(meeting.join(shown.join(met, ["i", "v"]).select("set_hash").distinct(), "set_hash"), "meeting")
-    keys = meeting.select("set_hash", F.explode(pair).alias("key"))
+    keys = meeting.select("set_hash", F.posexplode(pair).alias("place", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    live = stash(keys.join(shared, "key").select("key", F.col("set_hash").alias("node")), "keys")
+    live = stash(keys.join(shared, "key").select("key", F.col("place").cast("smallint").alias("place"), F.col("set_hash").alias("node")), "keys")
 
     # The sets of one document of each such class. The filter lets a few others pass, which the join drops.
     nodes = live.select(F.col("node").alias("set_hash")).distinct()
@@ -245,7 +274,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     whole = whole.filter(bloom.maybe(F.col("h"), chosen)).select("h", full_set(F.col("text"), shingle).alias("grams"))
     sets = stash(one.join(whole, "h").dropDuplicates(["h"]).select("node", "grams"), "sets")
 
-    roots = _linked(live, sets, percent)
+    short = F.transform(F.concat("left", "right"), lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    marks = stash(meeting.select(F.col("set_hash").alias("node"), short.alias("marks")).join(nodes.withColumnRenamed("set_hash", "node"), "node", "left_semi"), "marks")
+    roots = _linked(live, marks, sets, percent, t, agreements_needed(t, percent / 100, miss))
     named = classes.select("set_hash", "least").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.select("set_hash", "root").join(least, "root").select("set_hash", "component")
