@@ -12,7 +12,7 @@ likelihood of the training texts with each token's own occurrence taken out of t
 The filter is made of blocks. An n-gram belongs to one block, so its partial counts from all tasks meet
 in one group, of bounded size, that sums them up and fills the block's bits. The filter grows with
 the number of training tokens. Up to ``MOST_BYTES`` it is broadcast; beyond, its blocks stay a table, and
-the probes are sent to the blocks and their answers back to the documents.
+each slice of texts sends its distinct n-grams to the blocks, whose answers come back to the slice.
 
 The base score needs exact unigram counts: the ``FREQUENT`` most frequent words are broadcast, which
 covers most tokens, and the rest is joined with the table of counts.
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from . import textbytes as tb
 MOST_BYTES = 1 << 27
 BITS_PER_TOKEN = 6
 BLOCK_WORDS = 1 << 13
+#: Blocks that are asked together where they stay a table, and slices whose probes of them make up a group.
+SHELF, GROUP_SLICES = 16, 1 << 12
 #: How many of the most frequent words have their exact counts broadcast (16 bytes each).
 FREQUENT = 1 << 18
 #: Bytes of text that are worked through at a time, and tokens whose levels are.
@@ -190,39 +193,94 @@ def _levels_here(text: Column, shared) -> Column:
     return F.arrow_udf(run, "struct<one: binary, two: binary>").asNondeterministic()(text)
 
 
-def _levels_exchanged(docs: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
-    """The same, with the probes sent to the blocks and the answers sent back."""
+def _cut(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(slice, rows, texts): runs of rows with about ``slice_bytes`` bytes of text, a row each."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            rows, texts = batch.column("row"), batch.column("text")
+            for lo, hi, _, _ in tb.slices(texts, slice_bytes):
+                lists = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), c.slice(lo, hi - lo)) for c in (rows, texts)]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], ["slice", "rows", "texts"])
+                number += 1
+
+    return docs.select("row", "text").mapInArrow(run, "slice bigint, rows array<bigint>, texts array<string>")
+
+
+def _distinct(texts: pa.Array, index: LogFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's distinct n-grams in the order of their blocks, these blocks, the places of the unigrams and
+    then of the bigrams of all tokens among them, and where each row starts."""
+    _, _, data, offsets = next(tb.slices(texts, 1 << 62))
+    words, first = tokens(data, offsets)
+    grams, place = np.unique(np.concatenate([words, bigrams(words)]), return_inverse=True)
+    block = index.block_of(grams)
+    order = np.argsort(block, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return grams[order], block[order], rank[place], first
+
+
+def _ask(slices: DataFrame, blocks: int, salts: int) -> DataFrame:
+    """(shelf, salt, slice, grams): each distinct n-gram of a slice once, packed by shelf of ``SHELF`` blocks."""
     index = LogFilter(np.zeros(0, np.uint64), blocks)
 
-    def ask(batches):
+    def run(batches):
         for batch in batches:
-            rows = batch.column("row").to_numpy()
-            for lo, _, data, offsets in tb.slices(batch.column("text"), SLICE_BYTES):
-                words, first = tokens(data, offsets)
-                row = np.repeat(rows[lo : lo + len(first) - 1], np.diff(first))
-                pos = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-                for kind, grams in ((0, words), (1, bigrams(words))):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(index.block_of(grams).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(row), pa.array(2 * pos + kind)],
-                        ["block", "gram", "row", "place"],
-                    )
+            for number, texts in zip(batch.column("slice").to_pylist(), batch.column("texts"), strict=True):
+                grams, block, _, _ = _distinct(texts.values, index)
+                shelf = block // SHELF
+                cut = np.flatnonzero(np.append(True, shelf[1:] != shelf[:-1]))
+                ends = np.append(cut[1:], len(grams))
+                salt = int(tb.mix(np.array([number], np.uint64))[0] % np.uint64(salts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shelf[cut].astype(np.int32)),
+                        pa.array(np.full(len(cut), salt, np.int32)),
+                        pa.array(np.full(len(cut), number, np.int64)),
+                        pa.array([grams[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
+                    ],
+                    ["shelf", "salt", "slice", "grams"],
+                )
+
+    return slices.select("slice", "texts").mapInArrow(run, "shelf int, salt int, slice bigint, grams binary")
+
+
+def _levels_exchanged(docs: DataFrame, table: DataFrame, blocks: int, slice_bytes: int = SLICE_BYTES, group_slices: int = GROUP_SLICES) -> DataFrame:
+    """The same, with the probes sent to the blocks and the answers sent back.
+
+    A slice asks for each of its n-grams once, however often it occurs. A shelf's probes are dealt over groups of about
+    ``group_slices`` slices, each with its own copy of the shelf, so a group is bounded whatever the words' frequencies.
+    """
+    index = LogFilter(np.zeros(0, np.uint64), blocks)
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not len(asked):
-            return pa.table({"row": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "level": pa.array([], pa.int32())})
-        raw = held["words"][0].as_py() if len(held) else bytes(8 * BLOCK_WORDS)
-        level = LogFilter(np.frombuffer(raw, np.uint64), 1).levels(asked["gram"].to_numpy().view(np.uint64), 0)
-        return pa.table({"row": asked["row"], "place": asked["place"], "level": pa.array(level.astype(np.int32))})
-
-    def gather(group: pa.Table) -> pa.Table:
-        level = np.zeros(len(group), np.uint8)
-        level[group["place"].to_numpy()] = group["level"].to_numpy()
-        columns = [pa.array([level[k::2].tobytes()], pa.binary()) for k in (0, 1)]
-        return pa.table({"row": group["row"][:1], "one": columns[0], "two": columns[1]})
-
-    asked = docs.select("row", "text").mapInArrow(ask, "block int, gram bigint, row bigint, place bigint")
-    told = asked.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(answer, "row bigint, place bigint, level int")
-    return told.groupBy("row").applyInArrow(gather, "row bigint, one binary, two binary")
+            return pa.table({"slice": pa.array([], pa.int64()), "shelf": pa.array([], pa.int32()), "levels": pa.array([], pa.binary())})
+        shelf = asked["shelf"][0].as_py()
+        words = np.zeros(SHELF * BLOCK_WORDS, np.uint64)
+        for block, raw in zip(held["block"].to_pylist(), held["words"].to_pylist(), strict=True):
+            at = (block - shelf * SHELF) * BLOCK_WORDS
+            words[at : at + BLOCK_WORDS] = np.frombuffer(raw, np.uint64)
+        levels = []
+        for raw in asked["grams"]:
+            grams = np.frombuffer(raw.as_py(), np.uint64)
+            levels.append(LogFilter(words, blocks).levels(grams, (index.block_of(grams) - shelf * SHELF) * BLOCK_WORDS).tobytes())
+        return pa.table({"slice": asked["slice"], "shelf": asked["shelf"], "levels": pa.array(levels, pa.binary())})
+
+    def gather(held: pa.Table, told: pa.Table) -> pa.Table:
+        _, _, place, first = _distinct(held["texts"].chunk(0)[0].values, index)
+        level = np.frombuffer(b"".join(told.sort_by("shelf")["levels"].to_pylist()), np.uint8)
+        cut = first.tolist()
+        columns = [[raw[i:j] for i, j in zip(cut, cut[1:], strict=False)] for raw in (part.tobytes() for part in np.split(level[place], 2))]
+        return pa.table({"row": held["rows"].chunk(0)[0].values, "one": pa.array(columns[0], pa.binary()), "two": pa.array(columns[1], pa.binary())})
+
+    slices = stash(_cut(docs, slice_bytes), "slices")
+    salts = 1 + slices.count() // group_slices
+    shelves = table.withColumn("shelf", F.floor(F.col("block") / SHELF).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = _ask(slices, blocks, salts).groupBy("shelf", "salt").cogroup(shelves.groupBy("shelf", "salt"))
+    told = asked.applyInArrow(answer, "slice bigint, shelf int, levels binary")
+    return slices.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(gather, "row bigint, one binary, two binary")
 
 
 @dataclass(frozen=True)

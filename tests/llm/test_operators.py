@@ -93,6 +93,25 @@ def test_lm_base_and_exchange(docs, empty, keyed_rows):
     assert rows_of(lm_scoring.scores(empty)) == []
 
 
+def test_lm_exchange_asks_once_a_slice(spark):
+    texts = ["word " * 3000 + f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(4).cache()
+    table = lm_scoring.filter_blocks(docs, 40).cache()
+    slices = lm_scoring._cut(docs, 30000).cache()
+    assert slices.count() >= 20
+    asked = lm_scoring._ask(slices, 40, 3).withColumn("n", F.length("grams") / 8)
+    assert asked.agg(F.sum("n")).first()[0] < 20 * slices.count()  # not 6000 for each text
+    assert asked.select("salt").distinct().count() == 3
+    words = np.zeros(40 * lm_scoring.BLOCK_WORDS, np.uint64)
+    for r in table.collect():
+        words[r["block"] * lm_scoring.BLOCK_WORDS : (r["block"] + 1) * lm_scoring.BLOCK_WORDS] = np.frombuffer(r["words"], np.uint64)
+    shared = spark.sparkContext.broadcast(lm_scoring.LogFilter(words, 40))
+    here = docs.select("row", lm_scoring._levels_here(F.col("text"), shared).alias("x")).select("row", "x.*")
+    sent = lm_scoring._levels_exchanged(docs, table, 40, 30000, 8)
+    key = lambda r: r["row"]
+    assert sorted(here.collect(), key=key) == sorted(sent.select("row", "one", "two").collect(), key=key)
+
+
 def test_lm_filter_levels():
     grams = np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64)
     counts = np.random.default_rng(2).integers(1, 50, 3000)
