@@ -3,12 +3,14 @@
 A paragraph is a line of the text. Its features are hashed word unigrams, bigrams and trigrams. A multinomial
 logistic regression is trained on variations of the template sentences of each family (words
 dropped, texts put around them) and, for the class ``none``, on at most ``NEGATIVES`` paragraphs of the corpus
-that hold no word of the licence vocabulary. A part of the examples is held back to calibrate the unknown
+that hold no word of the licence vocabulary. A part of the examples, no line of which is trained on, and the
+notices of families that have no template (``OTHERS``) are held back to calibrate the unknown
 class: the probability below which a paragraph that looks like a licence is called ``unknown`` is
-the one at which the held-back examples are classified with at most ``ERRORS`` errors.
+the one at which those of them that are confirmed are classified with at most ``ERRORS`` errors.
 
-A prediction is confirmed if the paragraph holds enough of the words of one of the family's templates;
-else it is ``unknown`` too. All of it is DataFrame expressions and Spark's own estimators.
+A prediction is confirmed if the paragraph holds enough of the words of one of the family's templates, among
+them the words that tell the template from other licences (``MARKS``), and none that names another family
+(``FOREIGN``); else it is ``unknown`` too. All of it is DataFrame expressions and Spark's own estimators.
 
 Edge cases: null and empty texts have no paragraphs and no families; rows may repeat and ids may
 be null; an empty table gives an empty result (the templates alone are enough to train). Extra columns play no part.
@@ -73,6 +75,37 @@ TEMPLATES = {
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+#: The words of each template that other licences lack.
+MARKS = {
+    "apache": ("apache", "apache"),
+    "mit": ("mit", "charge obtaining documentation"),
+    "gpl": ("gnu general public", "gnu general public"),
+    "lgpl": ("gnu lesser", "gnu lesser"),
+    "bsd": ("bsd", "redistribution source binary conditions"),
+    "mpl": ("mozilla", "mozilla"),
+    "cc_by": ("commons attribution", "cc by"),
+    "cc_by_nc": ("commons attribution-noncommercial", "cc by-nc"),
+    "proprietary": ("rights reserved reproduced", "proprietary confidential"),
+}
+#: Words that name another family than the one whose template they extend.
+FOREIGN = {"gpl": "lesser affero lgpl agpl", "cc_by": "noncommercial sharealike noderivatives nc sa nd", "cc_by_nc": "sharealike noderivatives sa nd"}
+#: Notices of families without a template: whatever is taken for one of the families is an error.
+OTHERS = (
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "Licensed under the European Union Public License, version 1.2.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "Released under the Artistic License 2.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This is free and unencumbered software released into the public domain.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+)
 FAMILIES = ("none", *TEMPLATES)
 _VOCABULARY = r"(?i)licen[sc]e|copyright|\brights\b|permission|redistribut|proprietary|creative commons|\bcc by\b"
 
@@ -88,15 +121,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def _examples(spark: SparkSession) -> DataFrame:
-    """(family, line): each template, 40 times, less a few words and between other words."""
-    rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
+    """(family, line, plain): each template and each of ``OTHERS``, 40 times, less a few words (not those that name a family,
+    as a GNU Lesser licence without ``lesser`` is an example of another one) and between other words."""
+    rows = [(family, text) for family, texts in [*TEMPLATES.items(), ("other", OTHERS)] for text in texts]
     filler = "the following work and its parts are made available see below for details of use in other places".split()
     told = spark.createDataFrame(rows, "family string, text string").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(39))))
     pick = lambda salt, n: F.pmod(F.xxhash64("text", "copy", F.lit(salt)), F.lit(n)).cast("int")
     around = lambda salt: F.array_join(F.slice(F.array(*map(F.lit, filler)), pick(salt, 8) + 1, pick(salt + 1, 5)), " ")
-    kept = F.filter(F.split("text", " "), lambda w, i: F.pmod(F.xxhash64("text", "copy", i), F.lit(12)) != 0)
+    names = {name for texts in [*MARKS.values(), FOREIGN.values()] for text in texts for name in text.split()}
+    named = lambda w: (F.col("family") == "other") | F.arrays_overlap(words(w), F.array(*map(F.lit, sorted(names))))
+    kept = F.filter(F.split("text", " "), lambda w, i: named(w) | (F.pmod(F.xxhash64("text", "copy", i), F.lit(12)) != 0))
     line = F.when(F.col("copy") % 2 == 0, F.col("text")).otherwise(F.concat_ws(" ", around(1), F.array_join(kept, " "), around(3)))
-    return told.select("family", line.alias("line"))
+    return told.select("family", line.alias("line"), (line == F.col("text")).alias("plain"))
 
 
 def _features() -> list:
@@ -110,27 +146,40 @@ def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     spark = docs.sparkSession
     other = paragraphs(docs).filter(~F.col("line").rlike(_VOCABULARY)).select(F.lit("none").alias("family"), "line")
     other = other.withColumn("order", F.xxhash64("line")).orderBy("order", "line").limit(NEGATIVES).drop("order")
-    told = _examples(spark).unionByName(other)
-    number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
-    told = stash(told.repartition(4).select(number.cast("double").alias("label"), words(F.col("line")).alias("words"), (F.pmod(F.xxhash64("line"), F.lit(5)) == 0).alias("held")), "examples")
+    told = _examples(spark).unionByName(other.withColumn("plain", F.lit(False)))
+    number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1  # of the other families: -1
+    held = (F.col("family") == "other") | ((F.pmod(F.xxhash64("line"), F.lit(5)) == 0) & ~F.col("plain"))
+    told = stash(told.repartition(4).select("family", "line", number.cast("double").alias("label"), words(F.col("line")).alias("words"), held.alias("held")), "examples")
     fitted = LogisticRegression(family="multinomial", regParam=0.001, maxIter=20, labelCol="label")
-    model = Pipeline(stages=[*_features(), fitted]).fit(told.filter("not held or label > 0"))
-    held = model.transform(told.filter("held")).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p"))
-    rows = held.filter("prediction > 0").orderBy("p").collect()  # a fifth of the examples at most
+    model = Pipeline(stages=[*_features(), fitted]).fit(told.filter("not held"))
+    return model, _threshold(_confirmed(model.transform(told.filter("held"))))
+
+
+def _confirmed(told: DataFrame) -> DataFrame:
+    """(label, prediction, p) of the examples that are taken for a family whose template they hold."""
+    named = F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("prediction") + 1).cast("int"))
+    return told.filter((F.col("prediction") > 0) & (overlap(F.col("words"), named) >= OVERLAP)).select("label", "prediction", F.array_max(vector_to_array("probability")).alias("p"))
+
+
+def _threshold(held: DataFrame) -> float:
+    """The least probability from which on at most ``ERRORS`` of the held-back examples are wrong: 0 if that holds for all of them, above 1 if for none."""
+    rows = held.orderBy("p").collect()  # a part of the examples, whose number is fixed
     wrong = [r["label"] != r["prediction"] for r in rows]
     cut = 0
     while cut < len(rows) and sum(wrong[cut:]) > ERRORS * (len(rows) - cut):
         cut += 1
-    return model, max(0.5, float(rows[cut]["p"]) if cut and cut < len(rows) else 0.5)
+    return 0.0 if not cut else float(rows[cut]["p"]) if cut < len(rows) else 2.0
 
 
 def overlap(tokens: Column, family: Column) -> Column:
-    """The largest share of a template's words that the paragraph holds, over the family's templates."""
+    """The largest share of a template's words that the paragraph holds, over those of the family's templates whose marks it holds."""
     shares = []
     for name, texts in TEMPLATES.items():
-        for text in texts:
-            held = F.array_distinct(words(F.lit(text)))
-            shares.append(F.when(family == name, F.size(F.array_intersect(tokens, held)) / F.size(held)).otherwise(0.0))
+        foreign = F.array(*map(F.lit, FOREIGN.get(name, "").split())).cast("array<string>")
+        for text, marks in zip(texts, MARKS[name], strict=True):
+            held, marks = F.array_distinct(words(F.lit(text))), F.array(*map(F.lit, marks.split()))
+            told = (family == name) & (F.size(F.array_except(marks, tokens)) == 0) & ~F.arrays_overlap(tokens, foreign)
+            shares.append(F.when(told, F.size(F.array_intersect(tokens, held)) / F.size(held)).otherwise(0.0))
     return F.greatest(*shares)
 
 

@@ -293,6 +293,22 @@ def test_licences(spark, empty):
     assert len(out) == 7 and got[0] == ["mit"] and got[1] == ["cc_by_nc"] and got[2] == [] and got[3] == ["gpl"] and got[8] == [] and got[9] == []
 
 
+def test_licences_outside_templates_are_unknown(spark):
+    lines = ["Licensed under the Eclipse Public License, version 2.0.", "Licensed under the GNU Affero General Public License, version 3.", "Licensed under CC BY-ND 4.0."]
+    lines += [text for texts in license_scan.TEMPLATES.values() for text in texts]
+    out = license_scan.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    got = [r["families"] for r in sorted(out, key=lambda r: r["doc_id"])]
+    assert all(x in ([], ["unknown"]) for x in got[:3]) and got[0] == ["unknown"]
+    assert got[3:] == [[family] for family, texts in license_scan.TEMPLATES.items() for _ in texts]
+
+
+def test_licences_held_back_examples(spark):
+    wrong = spark.createDataFrame([(1.0, 1.0, 0.4), (-1.0, 2.0, 0.6), (2.0, 2.0, 0.7)], "label double, prediction double, p double")
+    assert license_scan._threshold(wrong) == 0.7
+    assert license_scan._threshold(wrong.filter("label > 0")) == 0
+    assert license_scan._threshold(wrong.filter("label < 0")) > 1
+
+
 @pytest.fixture(scope="module")
 def both():
     with open(VOCABULARY, encoding="utf-8") as f:
