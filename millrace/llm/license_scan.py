@@ -1,9 +1,11 @@
 """Licence families of paragraphs: a trained classifier, confirmed by comparison with templates.
 
-A paragraph is a line of the text. Its features are hashed word unigrams, bigrams and trigrams. A multinomial
+A paragraph is what stands between blank lines (lines without a letter or digit). Its single lines are told apart,
+and, if it holds a word of the licence vocabulary, so are its runs of 2 to ``RUN`` lines with such a word and
+the whole of it, as notices are wrapped. A line that is unknown counts only if it is not part of a confirmed notice. The features of each of these are hashed word unigrams, bigrams and trigrams. A multinomial
 logistic regression is trained on variations of the template sentences of each family (words
-dropped, texts put around them) and, for the class ``none``, on at most ``NEGATIVES`` paragraphs of the corpus
-that hold no word of the licence vocabulary. A part of the examples, no line of which is trained on, and the
+dropped, texts put around them) and, for the class ``none``, on at most ``NEGATIVES`` lines of the corpus
+whose paragraph holds no word of the licence vocabulary. A part of the examples, no line of which is trained on, and the
 notices of families that have no template (``OTHERS``) are held back to calibrate the unknown
 class: the probability below which a paragraph that looks like a licence is called ``unknown`` is
 the one at which those of them that are confirmed are classified with at most ``ERRORS`` errors.
@@ -36,6 +38,10 @@ ERRORS = 0.005
 #: Share of a template's words that confirms a prediction.
 OVERLAP = 0.6
 
+#: The most lines of a run; a notice wrapped into more is found by its whole paragraph.
+RUN = 4
+_BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+
 # Opening sentences and notices of public licences.
 TEMPLATES = {
     "apache": (
@@ -114,10 +120,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, line): the lines of each document that hold a letter."""
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return lines.filter(F.col("line").rlike(r"\p{L}"))
+def other_lines(docs: DataFrame) -> DataFrame:
+    """(line): the lines that hold a letter, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
+    pars = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _BLANK)).alias("paragraph")).filter(~F.regexp_replace("paragraph", r"\s+", " ").rlike(_VOCABULARY))
+    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}"))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -144,7 +150,7 @@ def _features() -> list:
 def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     """The classifier and the probability below which a licence is of an unknown family."""
     spark = docs.sparkSession
-    other = paragraphs(docs).filter(~F.col("line").rlike(_VOCABULARY)).select(F.lit("none").alias("family"), "line")
+    other = other_lines(docs).select(F.lit("none").alias("family"), "line")
     other = other.withColumn("order", F.xxhash64("line")).orderBy("order", "line").limit(NEGATIVES).drop("order")
     told = _examples(spark).unionByName(other.withColumn("plain", F.lit(False)))
     number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1  # of the other families: -1
@@ -188,14 +194,46 @@ def scan(docs: DataFrame) -> DataFrame:
     and families (sorted; ``unknown`` for those that are unsure or that no template confirms)."""
     model, least = train(docs)
     row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = row.select("doc_id", "text_hash", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}"))
-    told = model.transform(lines.select("doc_id", "text_hash", words(F.col("line")).alias("words")))
+    told = model.transform(units(row).withColumn("words", words(F.col("line"))).drop("line"))
     names = F.array(*map(F.lit, FAMILIES))
-    told = told.select("doc_id", "text_hash", "words", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("family"), F.array_max(vector_to_array("probability")).alias("p"))
-    sure = (F.col("p") >= least) & (overlap(F.col("words"), F.col("family")) >= OVERLAP)
-    told = told.filter("family <> 'none'").select("doc_id", "text_hash", F.when(sure, F.col("family")).otherwise("unknown").alias("family"))
-    found = told.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_licence"), F.array_sort(F.collect_set("family")).alias("families"))
-    counted = row.select("doc_id", "text_hash", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\p{L}"))).cast("bigint").alias("n_paragraphs"))
+    told = told.filter("prediction > 0").withColumn("family", F.element_at(names, (F.col("prediction") + 1).cast("int")))
+    sure = (F.array_max(vector_to_array("probability")) >= least) & (overlap(F.col("words"), F.col("family")) >= OVERLAP)
+    told = told.select("doc_id", "text_hash", "par", "first", "last", "family", sure.alias("sure"), (F.col("last") - F.col("first") < RUN).alias("short"))
+    found = _paragraph_families(told).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_licence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"))
+    counted = row.select("doc_id", "text_hash", F.size(F.filter(F.split("text", _BLANK), lambda x: x.rlike(r"\p{L}"))).cast("bigint").alias("n_paragraphs"))
     out = attach(counted, found, "left")
     families = F.coalesce("families", F.array().cast("array<string>"))
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_licence", F.lit(0)).cast("bigint").alias("n_licence"), families.alias("families"))
+
+
+def units(row: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, par, first, last, line): the lines of each paragraph, and its joined lines if they hold a word of the vocabulary."""
+    pars = row.select("doc_id", "text_hash", F.posexplode(F.split("text", _BLANK)).alias("par", "paragraph"))
+    pars = pars.withColumn("lines", F.filter(F.split("paragraph", "\n"), lambda x: x.rlike(r"\p{L}"))).filter("size(lines) > 0")
+    join = lambda lines: F.regexp_replace(F.array_join(lines, " "), r"(?<=\p{L})-\s+(?=\p{L})", "-")
+    unit = lambda first, last, line: F.struct(first.alias("first"), last.alias("last"), line.alias("line"))
+    single = F.transform("lines", lambda x, i: unit(i, i, x))
+    size = F.size("lines")
+    run = lambda k: F.transform(F.sequence(F.lit(0), size - k), lambda i: unit(i, i + (k - 1), join(F.slice("lines", i + 1, k))))
+    none = F.filter(single, lambda x: F.lit(False))
+    runs = [F.when(size >= k, run(k)).otherwise(none) for k in range(2, RUN + 1)]
+    whole = F.when(size > RUN, F.array(unit(F.lit(0), size - 1, join(F.col("lines"))))).otherwise(none)
+    joined = F.filter(F.concat(*runs, whole), lambda x: x["line"].rlike(_VOCABULARY))
+    several = (size > 1) & join(F.col("lines")).rlike(_VOCABULARY)
+    return pars.select("doc_id", "text_hash", "par", F.explode(F.when(several, F.concat(single, joined)).otherwise(single)).alias("unit")).select("doc_id", "text_hash", "par", "unit.*")
+
+
+def _paragraph_families(told: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, par, families) from the units that look like a licence."""
+    sure, short = F.col("sure"), F.col("short")
+    # Sets, as rows may repeat.
+    par = told.groupBy("doc_id", "text_hash", "par").agg(
+        F.collect_set(F.when(sure & short, F.col("family"))).alias("near"),
+        F.collect_set(F.when(sure & ~short, F.col("family"))).alias("wide"),
+        F.flatten(F.collect_set(F.when(sure & short, F.sequence("first", "last")))).alias("covered"),
+        F.collect_set(F.when(~sure & (F.col("first") == F.col("last")), F.col("first"))).alias("lone"),
+    )
+    left = F.size(F.array_except("lone", "covered")) > 0
+    unknown = F.when(F.size("near") > 0, left).otherwise(F.size("wide") == 0)
+    named = F.array_union("near", "wide")
+    return par.select("doc_id", "text_hash", "par", F.when(unknown, F.array_append(named, "unknown")).otherwise(named).alias("families"))

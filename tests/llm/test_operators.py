@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import textwrap
 
 import brute
 import numpy as np
@@ -302,6 +303,18 @@ def test_licences_outside_templates_are_unknown(spark):
     assert got[3:] == [[family] for family, texts in license_scan.TEMPLATES.items() for _ in texts]
 
 
+def test_licences_wrapped(spark):
+    notices = [(family, texts[k]) for family, texts in license_scan.TEMPLATES.items() for k in (0, 1)]
+    rows = []
+    for width in (70, 45):
+        for family, text in notices:
+            wrapped = textwrap.fill(text, width, initial_indent=" * ", subsequent_indent=" * ", break_long_words=False, break_on_hyphens=False)
+            rows.append((len(rows), f"Some words about nothing at all.\n *\n{wrapped}\n\nlast line\n", family))
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["families"], r["n_paragraphs"], r["n_licence"]) for r in license_scan.scan(table.union(table.limit(1))).collect()}
+    assert got == {i: ([family], 3, 1) for i, _, family in rows}
+
+
 def test_licences_held_back_examples(spark):
     wrong = spark.createDataFrame([(1.0, 1.0, 0.4), (-1.0, 2.0, 0.6), (2.0, 2.0, 0.7)], "label double, prediction double, p double")
     assert license_scan._threshold(wrong) == 0.7
