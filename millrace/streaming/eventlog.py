@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ GUARD = "user_id bigint, n_failed bigint, in_a_row bigint, longest bigint"
 
 
 def windowed(events: DataFrame, width: str, late: str) -> DataFrame:
-    """Counts and mean values by event type and window of event time; rows later than ``late`` are dropped."""
+    """Counts and mean values by event type and window of event time; rows later than ``late`` are dropped.
+    Times without a zone are taken in the session's."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", width), "event_type")
         .agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
         .select(F.col("window.start").alias("start"), "event_type", "n", "mean_value")
@@ -28,9 +31,11 @@ def failure_guard(events: DataFrame, failed: str = "error") -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, run, longest = state.get if state.exists else (0, 0, 0)
-        for bad in pd.concat(frames).sort_values("event_id")["event_type"] == failed:
-            run = run + 1 if bad else 0
-            total, longest = total + int(bad), max(longest, run)
+        bad = (pd.concat(frames).sort_values("event_id")["event_type"] == failed).to_numpy()
+        after = np.arange(1, len(bad) + 1)
+        # Failures in a row at each event: events since the last good one, or since before this batch.
+        rows = np.where(bad, after - np.maximum.accumulate(np.where(bad, -run, after)), 0)
+        total, run, longest = total + int(bad.sum()), int(rows[-1]), max(longest, int(rows.max()))
         state.update((total, run, longest))
         yield pd.DataFrame({"user_id": [key[0]], "n_failed": [total], "in_a_row": [run], "longest": [longest]})
 
