@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.draws import draw
 
+from .ranking import numbered, quantiles
+
 
 def exact_dedup(rows: DataFrame, order: str, content: Column) -> DataFrame:
     """Each row's order column, first_idx (the first row with the same content) and kept.
@@ -32,10 +34,9 @@ def accept_first(rows: DataFrame, order: str, ok: Column, content: Column, n: in
 
 def entity_split(entities: DataFrame, entity: str, salt: str, train_share: float = 0.8, seed_n: int = 0) -> DataFrame:
     """(entity, split): entities in hash order; the first share is train, of the rest the first seed_n are seed."""
-    order = Window.orderBy("h", entity)
-    ranked = entities.select(entity, draw(salt, F.col(entity)).alias("h")).withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(entities.agg(F.count("*").alias("n"))))
+    ranked = numbered(entities.select(entity, draw(salt, F.col(entity)).alias("h")), [], ["h", entity])
     cut = F.bround(F.col("n") * train_share)
-    split = F.when(F.col("r") <= cut, "train").when(F.col("r") <= cut + seed_n, "seed").otherwise("ref")
+    split = F.when(F.col("i") < cut, "train").when(F.col("i") < cut + seed_n, "seed").otherwise("ref")
     return ranked.select(entity, split.alias("split"))
 
 
@@ -51,15 +52,15 @@ def apportion(strata: DataFrame, label: str, total: int) -> DataFrame:
 def stratified_split(entities: DataFrame, entity: str, label: str, total: int, salt: str) -> DataFrame:
     """(entity, label, split): of each stratum, in hash order, its quota of ``total`` is chosen."""
     quotas = apportion(entities.groupBy(label).agg(F.count("*").alias("n")), label, total)
-    order = Window.partitionBy(label).orderBy(draw(salt, F.col(entity)), entity)
-    ranked = entities.select(entity, label, F.row_number().over(order).alias("r")).join(F.broadcast(quotas), label)
-    return ranked.select(entity, label, F.when(F.col("r") <= F.col("quota"), "chosen").otherwise("rest").alias("split"))
+    ranked = numbered(entities.select(entity, label, draw(salt, F.col(entity)).alias("h")), [label], ["h", entity])
+    ranked = ranked.join(quotas.select(label, "quota"), label)
+    return ranked.select(entity, label, F.when(F.col("i") < F.col("quota"), "chosen").otherwise("rest").alias("split"))
 
 
 def mad_gate(rows: DataFrame, key: str, value: str, k: float = 3.0) -> DataFrame:
     """(key, value, med, mad, outlier_raw, outlier_scaled): beyond median + k * MAD, raw and scaled by 1.4826."""
-    med = rows.agg(F.percentile(value, 0.5).alias("med"))
+    med = quantiles(rows, [], F.col(value), {"med": 0.5})
     centred = rows.select(key, value).crossJoin(F.broadcast(med))  # one row
-    mad = centred.agg(F.percentile(F.abs(F.col(value) - F.col("med")), 0.5).alias("mad"))
+    mad = quantiles(centred, [], F.abs(F.col(value) - F.col("med")), {"mad": 0.5})
     told = centred.crossJoin(F.broadcast(mad))  # one row
     return told.select(key, value, "med", "mad", (F.col(value) > F.col("med") + k * F.col("mad")).alias("outlier_raw"), (F.col(value) > F.col("med") + k * 1.4826 * F.col("mad")).alias("outlier_scaled"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.draws import draw
 
+from .ranking import numbered
+
 #: Pooled samples smaller than this get every assignment, larger ones sampled assignments.
 EXACT_BELOW = 7
 #: Statistics this close to the observed one, relative to it, count as equal: sums are added up in any order.
@@ -19,25 +21,20 @@ def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).withColumn("delta", F.col("a") - F.col("b"))
 
 
-def positions(values: DataFrame, group: list[str], order: str) -> DataFrame:
-    """``values`` with i (0, 1, .. in each group) and n (the group's size)."""
-    w = Window.partitionBy(*group)
-    return values.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
-
-
 def replicates(values: DataFrame, group: list[str], order: str, measures: dict[str, Column], n_boot: int, salt: str = "boot") -> DataFrame:
     """(group, rep, measures): each replicate draws as many rows of its group as there are, with replacement.
 
-    The draws are joined with the rows by position; measures are aggregates of the drawn rows. The
-    product of replicates and rows is spread over all tasks; rows are group values, not raw data.
+    A draw depends on the group, so that groups are drawn independently. The draws are joined with the
+    rows by position; measures are aggregates of the drawn rows. Replicates are dealt to tasks before they are drawn;
+    rows are group values, not raw data.
     """
-    placed = positions(values, group, order)
+    placed = numbered(values, group, [order])
     sizes = placed.groupBy(*group).agg(F.max("n").alias("n")) if group else placed.agg(F.max("n").alias("n"))
-    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition(*group, "rep")
     drawn = drawn.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    drawn = drawn.withColumn("i", F.pmod(draw(salt, F.col("rep"), F.col("k")), F.col("n"))).drop("n", "k")
+    drawn = drawn.withColumn("i", F.pmod(draw(salt, *map(F.col, group), F.col("rep"), F.col("k")), F.col("n"))).drop("n", "k")
     on = [*group, "i"]
-    return drawn.join(placed.withColumn("i", F.col("i").cast("bigint")), on).groupBy(*group, "rep").agg(*(c.alias(m) for m, c in measures.items()))
+    return drawn.join(placed.withColumn("i", F.col("i").cast("bigint")).drop("n"), on).groupBy(*group, "rep").agg(*(c.alias(m) for m, c in measures.items()))
 
 
 def interval(reps: DataFrame, group: list[str], value: str = "stat", alpha: float = 0.05) -> DataFrame:
@@ -57,7 +54,7 @@ def contrast(deltas: DataFrame, group: list[str], order: str, n_boot: int) -> Da
 def exact_permutation(sample: DataFrame) -> DataFrame:
     """(observed, n_assignments, p_value, p_min) of the mean difference of sides a and b, over every way to
     deal out the pooled values. sample: (side, value, id), fewer than EXACT_BELOW rows."""
-    pool = positions(sample, [], "id").select("i", "side", "value", "n")
+    pool = numbered(sample, [], ["id"]).select("i", "side", "value", "n")
     na = pool.filter("side = 'a'").count()
     ways = pool.select(F.array("i").alias("taken"), F.col("value").alias("sum_a"), F.col("i").alias("last"))
     for _ in range(na - 1):
@@ -69,13 +66,46 @@ def exact_permutation(sample: DataFrame) -> DataFrame:
     return told.groupBy("observed").agg(F.count("*").alias("n_assignments"), F.avg((F.abs(stat) >= F.abs("observed") - SLACK * F.greatest(F.lit(1.0), F.abs("observed"))).cast("double")).alias("p_value"), (2 / F.count("*")).alias("p_min"))
 
 
-def sampled_permutation(sample: DataFrame, n_perm: int) -> DataFrame:
-    """The same by ``n_perm`` hash orders, each counted with the observed one: (1 + extreme) / (1 + n_perm)."""
-    pool = sample.select("side", "value", "id")
-    sizes = pool.agg(F.count_if(F.col("side") == "a").alias("na"), F.avg(F.when(F.col("side") == "a", F.col("value"))).alias("ma"), F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("mb"))
+def sampled_permutation(sample: DataFrame, n_perm: int, group: list[str] | None = None) -> DataFrame:
+    """The same by ``n_perm`` hash orders, each counted with the observed one: (1 + extreme) / (1 + n_perm), for each group.
+    Orders are dealt to tasks; each sorts the sample, which holds group values, not raw data."""
+    group = group or []
+    pool = sample.select(*group, "side", "value", "id")
+    sizes = pool.groupBy(*group).agg(F.count_if(F.col("side") == "a").alias("na"), (F.avg(F.when(F.col("side") == "a", F.col("value"))) - F.avg(F.when(F.col("side") == "b", F.col("value")))).alias("observed"))
     dealt = pool.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    order = Window.partitionBy("rep").orderBy(draw("perm", F.col("rep"), F.col("id")), "id")
-    dealt = dealt.withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(sizes))  # one row
+    order = Window.partitionBy(*group, "rep").orderBy(draw("perm", *map(F.col, group), F.col("rep"), F.col("id"), F.col("side")), "id", "side")
+    dealt = dealt.withColumn("r", F.row_number().over(order))
+    dealt = dealt.join(sizes, group) if group else dealt.crossJoin(F.broadcast(sizes))  # one row
     stat = F.avg(F.when(F.col("r") <= F.col("na"), F.col("value"))) - F.avg(F.when(F.col("r") > F.col("na"), F.col("value")))
-    reps = dealt.groupBy("rep", (F.col("ma") - F.col("mb")).alias("observed")).agg(stat.alias("stat"))
-    return reps.groupBy("observed").agg(F.count("*").alias("n_assignments"), ((1 + F.count_if(F.abs("stat") >= F.abs("observed") - SLACK * F.greatest(F.lit(1.0), F.abs("observed")))) / (1 + F.count("*"))).alias("p_value"), (1 / (1 + F.count("*"))).alias("p_min"))
+    reps = dealt.groupBy(*group, "rep", "observed").agg(stat.alias("stat"))
+    extreme = F.count_if(F.abs("stat") >= F.abs("observed") - SLACK * F.greatest(F.lit(1.0), F.abs("observed")))
+    return reps.groupBy(*group, "observed").agg(F.count("*").alias("n_assignments"), ((1 + extreme) / (1 + F.count("*"))).alias("p_value"), (1 / (1 + F.count("*"))).alias("p_min"))
+
+
+def gate(cells: DataFrame, group: list[str], reference: DataFrame, n_boot: int) -> DataFrame:
+    """(group, n, early, late, difference, ci_low, ci_high, relative, extend): the paired gate.
+
+    cells: (group, unit, bin, early, late), complete for each unit; reference: (bin, power). A profile is the variance
+    over units by bin; its distance from the reference is the root mean square over bins of the difference of log10
+    powers. Units are resampled, the same ones for both sides; extend if early is further away than late in the whole interval.
+    """
+    units = numbered(cells.select(*group, "unit").distinct(), group, ["unit"])
+    sizes = units.groupBy(*group).agg(F.max("n").alias("n"))
+    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).repartition(*group, "rep")
+    drawn = drawn.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    place = F.when(F.col("rep") == 0, F.col("k")).otherwise(F.pmod(draw("gate", *map(F.col, group), F.col("rep"), F.col("k")), F.col("n")))
+    weights = drawn.withColumn("i", place.cast("bigint")).groupBy(*group, "rep", "i", "n").agg(F.count("*").alias("w"))  # replicate 0 takes each once
+    weights = weights.join(units.select(*group, F.col("i").cast("bigint").alias("i"), "unit"), [*group, "i"])
+
+    def power(side: str) -> Column:
+        mean = F.sum(F.col("w") * F.col(side)) / F.max("n")
+        return F.sum(F.col("w") * F.col(side) * F.col(side)) / F.max("n") - mean * mean
+
+    by_bin = weights.join(cells, [*group, "unit"]).groupBy(*group, "rep", "bin").agg(power("early").alias("early"), power("late").alias("late"), F.max("n").alias("n"))
+    off = lambda side: F.sqrt(F.avg(F.pow(F.log10(side) - F.log10("power"), 2)))
+    usable = by_bin.join(F.broadcast(reference), "bin").filter("early > 1e-12 and late > 1e-12 and power > 1e-12")  # a row for each bin
+    told = usable.groupBy(*group, "rep").agg(off("early").alias("early"), off("late").alias("late"), F.max("n").alias("n")).withColumn("stat", F.col("early") - F.col("late"))
+    point = told.filter("rep = 0").select(*group, "n", "early", "late", F.col("stat").alias("difference"))
+    ci = interval(told.filter("rep > 0"), group)
+    out = point.join(ci, group) if group else point.crossJoin(ci)  # one row each
+    return out.withColumn("relative", F.try_divide("difference", F.col("early"))).withColumn("extend", F.col("ci_low") > 0)

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block: 2**11 vectors of 64 doubles are 1 MB.
 BLOCK = 1 << 11
+#: Rows of a block whose distances to another block are worked out at a time.
+CHUNK = 16
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows from the differences, so that equal vectors are at 0 whatever the block."""
+    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
 
 
 def unit(vector: Column) -> Column:
@@ -45,14 +52,19 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: boo
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            y, ids = np.stack(c["rv"]).astype(float), c["r_id"].to_numpy()
-            for i, v, g in zip(q["l_id"], q["lv"], q["lg"], strict=True):
-                d = np.sqrt(((y - np.asarray(v, float)) ** 2).sum(axis=1))
-                ok = ids != i
+            x, y = np.stack(q["lv"]).astype(float), np.stack(c["rv"]).astype(float)
+            mine, theirs = q["l_id"].to_numpy(), c["r_id"].to_numpy()
+            order = np.argsort(theirs, kind="stable")
+            y, theirs, groups = y[order], theirs[order], c["rg"].to_numpy()[order]
+            for lo in range(0, len(x), CHUNK):
+                d = distances(x[lo : lo + CHUNK], y)
+                d[mine[lo : lo + CHUNK, None] == theirs] = np.inf
                 if exclude_group:
-                    ok &= c["rg"].to_numpy() != g
-                order = np.lexsort((ids[ok], d[ok]))[:k]
-                out.append(pd.DataFrame({"q_id": i, "c_id": ids[ok][order], "dist": d[ok][order]}))
+                    d[q["lg"].to_numpy()[lo : lo + CHUNK, None] == groups] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by id
+                i, j = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
+                ok = np.isfinite(d[i, j])
+                out.append(pd.DataFrame({"q_id": mine[lo + i[ok]], "c_id": theirs[j[ok]], "dist": d[i, j][ok]}))
         return pd.concat(out) if out else pd.DataFrame({"q_id": [], "c_id": [], "dist": []})
 
     near = a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInPandas(best, "q_id bigint, c_id bigint, dist double")
@@ -91,7 +103,7 @@ def prdc(real: DataFrame, fake: DataFrame, k: int) -> DataFrame:
         return neighbours(rows, rows, k).filter(F.col("rank") == k).select(F.col("q_id").alias("id"), F.col("dist").alias("radius"))
 
     def within(points: DataFrame, balls: DataFrame) -> DataFrame:
-        """(p_id, b_id, d, radius) of points inside balls."""
+        """(kind, id, n): for points and for balls, how many of the other kind are inside or around them, by block."""
         held = balls.join(radii(balls), "id")
         left = points.select(F.col("id").alias("l_id"), F.col("vec").alias("lv"))
         right = held.select(F.col("id").alias("r_id"), F.col("vec").alias("rv"), "radius")
@@ -99,28 +111,36 @@ def prdc(real: DataFrame, fake: DataFrame, k: int) -> DataFrame:
 
         def inside(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
-                return pd.DataFrame({"p_id": [], "b_id": [], "d": []})
-            u, v = np.stack(x["lv"]).astype(float), np.stack(y["rv"]).astype(float)
-            d = np.sqrt(((u[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)) if len(u) * len(v) < 1 << 18 else np.sqrt(np.maximum((u**2).sum(1)[:, None] + (v**2).sum(1) - 2 * u @ v.T, 0))
-            i, j = np.nonzero(d < y["radius"].to_numpy())
-            return pd.DataFrame({"p_id": x["l_id"].to_numpy()[i], "b_id": y["r_id"].to_numpy()[j], "d": d[i, j]})
+                return pd.DataFrame({"kind": [], "id": [], "n": []})
+            u, v, r = np.stack(x["lv"]).astype(float), np.stack(y["rv"]).astype(float), y["radius"].to_numpy()
+            held = [distances(u[lo : lo + CHUNK], v) < r for lo in range(0, len(u), CHUNK)]
+            points, balls = np.concatenate([h.sum(axis=1) for h in held]), sum(h.sum(axis=0) for h in held)
+            out = pd.DataFrame({"kind": ["p"] * len(u) + ["b"] * len(v), "id": np.concatenate([x["l_id"], y["r_id"]]), "n": np.concatenate([points, balls])})
+            return out[out["n"] > 0]
+
+        return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInPandas(inside, "kind string, id bigint, n bigint")
 
-        return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInPandas(inside, "p_id bigint, b_id bigint, d double")
+    def counted(points: DataFrame, balls: DataFrame, names: dict[str, Column]) -> DataFrame:
+        return within(points, balls).groupBy("kind", "id").agg(F.sum("n").alias("n")).agg(*(c.alias(x) for x, c in names.items()))
 
-    in_real, in_fake = within(fake, real), within(real, fake)
+    points = F.col("kind") == "p"
+    one = counted(fake, real, {"p": F.count_if(points), "d": F.sum(F.when(points, F.col("n")).otherwise(0)), "c": F.count_if(~points)})
+    two = counted(real, fake, {"r": F.count_if(points)})
     n_real, n_fake = real.agg(F.count("*").alias("n_real")), fake.agg(F.count("*").alias("n_fake"))
-    one = in_real.agg(F.count_distinct("p_id").alias("p"), F.count("*").alias("d"), F.count_distinct("b_id").alias("c"))
-    two = in_fake.agg(F.count_distinct("p_id").alias("r"))
     all_ = one.crossJoin(two).crossJoin(n_real).crossJoin(n_fake)  # one row each
     return all_.select((F.col("p") / F.col("n_fake")).alias("precision"), (F.col("r") / F.col("n_real")).alias("recall"), (F.col("d") / (k * F.col("n_fake"))).alias("density"), (F.col("c") / F.col("n_real")).alias("coverage"))
 
 
 def intrinsic_dimension(rows: DataFrame, k: int) -> DataFrame:
-    """(n, dim): 1 / mean over i of the mean over j < k of ln(T_k / T_j), from k-nearest-neighbour distances."""
+    """(n, dim, status): 1 / mean over i of the mean over j < k of ln(T_k / T_j), from k-nearest-neighbour distances.
+    Coincident points have no dimension of this kind: dim is then null and the status counts them."""
     near = neighbours(rows, rows, k)
     far = near.withColumn("t", F.max("dist").over(Window.partitionBy("q_id")))
-    each = far.filter((F.col("rank") < k) & (F.col("dist") > 0)).groupBy("q_id").agg((F.sum(F.log(F.col("t") / F.col("dist"))) / (k - 1)).alias("m"))
-    return each.agg(F.count("*").alias("n"), (1 / F.avg("m")).alias("dim"))
+    gain = F.when((F.col("rank") < k) & (F.col("dist") > 0), F.log(F.col("t") / F.col("dist"))).otherwise(0.0)
+    each = far.groupBy("q_id").agg((F.sum(gain) / (k - 1)).alias("m"), F.bool_or(F.col("dist") == 0).alias("same"))
+    bad = F.count_if("same")
+    status = F.when(bad > 0, F.concat(F.lit("coincident points: "), bad.cast("string"))).otherwise("ok")
+    return each.agg(F.count("*").alias("n"), F.when(bad == 0, 1 / F.avg("m")).alias("dim"), status.alias("status"))
 
 
 def covariance(rows: DataFrame) -> DataFrame:

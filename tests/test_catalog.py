@@ -1,7 +1,8 @@
 import pytest
 from compare import connect, differences
-from millrace.plans.catalog import QUERIES
-from millrace.plans.oracles import ORACLES
+from millrace.plans import catalog, oracles, reports
+
+QUERIES, ORACLES = catalog.QUERIES | reports.QUERIES, oracles.ORACLES | reports.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
