@@ -12,18 +12,21 @@ The last three are learned from the pages themselves: the text alone gives every
 and grouped aggregations sum these up for each declaration, suffix, domain and host. A page's own soft
 label is taken out of the sums before they are used for it.
 
-Everything that is broadcast is bounded: one table of ``BUCKETS`` numbers for each of at most
-``MOST_LANGUAGES`` languages. Sums for hosts and domains stay tables and are joined.
+Everything that is broadcast is bounded: one table of ``BUCKETS`` numbers for each of at most ``BLOCK``
+languages. With more languages, the texts are read once for each block of them, and the likelihoods are
+joined, so no language is left out. Sums for hosts and domains stay tables and are joined.
 
 Edge cases: a null or empty page has no text evidence and gets its language from the rest; a null or
 odd address has an empty host; without any labelled document every language is null and
-probabilities are null; rows may repeat, ids may be null, extra columns play no part.
+probabilities are null; an empty table gives an empty result; ties go to the first language by name; texts of any length
+count whole; rows may repeat, ids may be null, extra columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ from millrace.plans.lineage import stash
 from . import textbytes as tb
 
 BUCKETS = 1 << 16
-#: The languages with the most labelled text; a bound for the broadcast table (64 * 65536 * 4 bytes).
-MOST_LANGUAGES = 64
+#: Languages whose tables are broadcast at a time (64 * 65536 * 4 bytes).
+BLOCK = 64
 #: A text's log likelihood ratio counts as that of this many independent trigrams at most.
 EVIDENCE = 30.0
 
@@ -65,16 +68,20 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and, for each, the log probability of every bucket (add one half)."""
+def fit(labelled: DataFrame, block: int = BLOCK) -> list[tuple[list[str], np.ndarray]]:
+    """Blocks of languages, by name, and for each language the log probability of every bucket (add one half).
+    The blocks are read one after another; one has at most block * BUCKETS counts."""
     counts = stash(trigram_counts(labelled), "trigrams")
-    langs = sorted(r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
-    logs = np.full((len(langs), BUCKETS), 0.5)
-    table = counts.filter(F.col("lang").isin(langs)).toArrow()  # MOST_LANGUAGES * BUCKETS rows at most
-    place = {x: k for k, x in enumerate(langs)}
-    for lang, bucket, n in zip(table["lang"].to_pylist(), table["bucket"].to_pylist(), table["n"].to_pylist(), strict=True):
-        logs[place[lang], bucket] += n
-    return langs, np.log(logs / logs.sum(axis=1, keepdims=True)).astype(np.float32)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # names of languages
+    out = []
+    for lo in range(0, len(langs), block):
+        names = langs[lo : lo + block]
+        logs = np.full((len(names), BUCKETS), 0.5)
+        table = counts.filter(F.col("lang").isin(names)).toArrow()
+        row = pc.index_in(table["lang"], pa.array(names, pa.string())).to_numpy()
+        np.add.at(logs, (row, table["bucket"].to_numpy()), table["n"].to_numpy())
+        out.append((names, np.log(logs / logs.sum(axis=1, keepdims=True)).astype(np.float32)))
+    return out
 
 
 def plain_text(html: Column) -> Column:
@@ -92,8 +99,8 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def text_posterior(text: Column, model) -> Column:
-    """The tempered probabilities of the languages given a text only, in the model's order."""
+def text_likelihood(text: Column, model) -> Column:
+    """The tempered log likelihood of each language of a block given a text only, in the model's order."""
 
     def run(texts: pa.Array) -> pa.Array:
         logs = model.value
@@ -102,9 +109,7 @@ def text_posterior(text: Column, model) -> Column:
             row, bucket = _trigrams(data, offsets)
             total = np.stack([np.bincount(row, weights[bucket], hi - lo).astype(float) for weights in logs], axis=1)
             count = np.bincount(row, minlength=hi - lo)
-            total *= (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None]
-            total = np.exp(total - total.max(axis=1, keepdims=True))
-            parts.append(total / total.sum(axis=1, keepdims=True))
+            parts.append(total * (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None])
         flat = np.concatenate(parts)
         steps = pa.array(np.arange(len(flat) + 1) * len(logs), pa.int32())
         return pa.ListArray.from_arrays(steps, pa.array(flat.ravel()))
@@ -112,6 +117,21 @@ def text_posterior(text: Column, model) -> Column:
     return F.arrow_udf(run, "array<double>").asNondeterministic()(text)
 
 
+def softened(read: DataFrame, blocks: list) -> DataFrame:
+    """``read`` with ``soft``, the probabilities of all languages given the text, in place of the text."""
+    spark = read.sparkSession
+    if len(blocks) > 1:  # numbered and written at once, as the blocks' results are joined by the number
+        read = stash(read.withColumn("row__", F.monotonically_increasing_id()), "read")
+    logs = read.withColumn("logs", text_likelihood(F.col("text"), spark.sparkContext.broadcast(blocks[0][1])))
+    for _, table in blocks[1:]:
+        more = stash(read.select("row__", text_likelihood(F.col("text"), spark.sparkContext.broadcast(table)).alias("more")), "more")
+        logs = logs.join(more, "row__").withColumn("logs", F.concat("logs", "more")).drop("more")
+    top = logs.drop("text", "row__").withColumn("best", F.array_max("logs"))
+    top = top.withColumn("weights", F.transform("logs", lambda x: F.exp(x - F.col("best"))))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return top.withColumn("total", total).withColumn("soft", F.transform("weights", lambda x: x / F.col("total"))).drop("logs", "best", "weights", "total")
+
+
 def _sums(pages: DataFrame, key: str, k: int) -> DataFrame:
     """The soft labels summed up for each value of ``key``: (key, key_sums array)."""
     sums = F.array(*(F.sum(F.col("soft")[j]) for j in range(k)))
@@ -120,41 +140,42 @@ def _sums(pages: DataFrame, key: str, k: int) -> DataFrame:
 
 def identify(pages: DataFrame, labelled: DataFrame, smoothing: float = 5.0) -> DataFrame:
     """page_id, host, declared, text_lang, lang and its probability, for each row of ``pages``."""
-    langs, logs = fit(labelled)
+    blocks = fit(labelled)
+    langs = [x for names, _ in blocks for x in names]
     name = host(F.col("url"))
     read = pages.select("page_id", name.alias("host"), declared(F.col("html")).alias("declared"), plain_text(F.col("html")).alias("text"))
     read = read.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     if not langs:
         none = F.lit(None).cast("string")
         return read.select("page_id", "host", "declared", none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("probability"))
-    model = pages.sparkSession.sparkContext.broadcast(logs)
     k = len(langs)
-    soft = stash(read.withColumn("soft", text_posterior(F.col("text"), model)).drop("text"), "soft")
+    soft = stash(softened(read, blocks), "soft")
     whole = soft.agg(*(F.sum(F.col("soft")[j]) for j in range(k))).first()
     whole = [float(x or 0.0) for x in whole]
     joined = soft
     for key in ("declared", "suffix", "domain", "host"):
         joined = joined.join(_sums(soft, key, k), key)
 
-    def left(sums: Column, j: int) -> Column:
-        """A sum without the page's own part."""
-        return F.greatest(F.lit(0.0), sums[j] - F.col("soft")[j])
-
     def rest(sums: Column) -> Column:
         return F.greatest(F.lit(0.0), F.aggregate(sums, F.lit(0.0), lambda a, x: a + x) - 1)
 
     total = sum(whole)
-    shares = [F.greatest(F.lit(0.0), F.lit(whole[j]) - F.col("soft")[j]) + 1 for j in range(k)]
-    overall = [s / (max(total - 1, 0.0) + k) for s in shares]
-    odds = []
-    for j in range(k):
-        by_domain = (left(F.col("domain_sums"), j) + smoothing * overall[j]) / (rest(F.col("domain_sums")) + smoothing)
-        by_host = (left(F.col("host_sums"), j) + smoothing * by_domain) / (rest(F.col("host_sums")) + smoothing)
-        by_suffix = (left(F.col("suffix_sums"), j) + smoothing * overall[j]) / (rest(F.col("suffix_sums")) + smoothing)
+    sums = F.array(*map(F.lit, whole))
+
+    def odds(j: Column) -> Column:
+        own = F.get("soft", j)
+        overall = (F.greatest(F.lit(0.0), F.get(sums, j) - own) + 1) / (max(total - 1, 0.0) + k)
+
+        def share(key: str, prior: Column) -> Column:
+            held = F.col(f"{key}_sums")
+            return (F.greatest(F.lit(0.0), F.get(held, j) - own) + smoothing * prior) / (rest(held) + smoothing)
+
         # P(declaration | language), up to a factor that all languages share.
-        says = (left(F.col("declared_sums"), j) + smoothing * overall[j]) / (rest(F.col("declared_sums")) + smoothing) / overall[j]
-        odds.append(F.log(F.greatest(F.col("soft")[j], F.lit(1e-300))) + F.log(says) + F.log(by_suffix / overall[j]) + F.log(by_host))
-    joined = joined.select("page_id", "host", "declared", "soft", F.array(*odds).alias("odds"))
+        says, by_suffix = share("declared", overall) / overall, share("suffix", overall) / overall
+        by_host = share("host", share("domain", overall))
+        return F.log(F.greatest(own, F.lit(1e-300))) + F.log(says) + F.log(by_suffix) + F.log(by_host)
+
+    joined = joined.select("page_id", "host", "declared", "soft", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), odds).alias("odds"))
     names = F.array(*map(F.lit, langs))
     best = F.array_position("odds", F.array_max("odds"))
     weight = F.aggregate("odds", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("odds")))
