@@ -23,6 +23,9 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Masks that keep the first k bytes of eight, the least significant ones.
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STARTS = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64)
 
 
 @lru_cache(maxsize=4)
@@ -87,16 +90,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they lie."""
-    up, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values(seed)[data] * up[: len(data)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they lie.
+
+    Eight bytes at a time are mixed into the hash of those before (no sum of powers, whose collisions
+    modulo 2**64 are known for long spans); each round works on the spans that are long enough for it.
+    """
+    size = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))  # at every byte
+
+    def step(held: np.ndarray, at: np.ndarray, left: np.ndarray, done: int) -> np.ndarray:
+        part = eight[at] & _HEADS[np.minimum(left, 8)]
+        with np.errstate(over="ignore"):
+            x = (held ^ part) * _BASE + np.uint64(done + 1)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            return x ^ (x >> np.uint64(32))
+
+    out = step(_STARTS[seed] ^ size.astype(np.uint64), starts, size, 0)
+    active, done = np.flatnonzero(size > 8), 8
+    while len(active):
+        left = size[active] - done
+        out[active] = step(out[active], starts[active] + done, left, done)
+        done += 8
+        active = active[left > 8]
+    return mix(out)
 
 
 def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive values (callers drop the runs that cross rows)."""
+    """Hash of each run of ``n`` consecutive values (callers drop the runs that cross rows).
+
+    A sum of powers modulo 2**64, for n up to a few hundred; below 1024 values it has no collisions by construction.
+    """
     if len(values) < n:
         return np.zeros(0, np.uint64)
     up, down = powers(len(values) + 1)
