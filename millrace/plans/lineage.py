@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only in local mode:
+    on a cluster the executors and the driver would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -20,9 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
 def stash(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    The result survives the loss of any executor, and its plan starts at a scan.
+    The result survives the loss of any executor, and its plan starts at a scan. Tables stay until the folder
+    is cleared or ``release`` is called: a later plan may read them as long as its result is not written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by ``stash`` that no plan reads any more."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    jvm = spark.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getParent() == jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm.org.apache.hadoop.fs.Path(folder)):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
