@@ -4,28 +4,39 @@ A document's set holds its distinct word shingles (hashed to 64 bits). Two colle
 MinHash signatures of ``WIDTH`` values each are computed; a table key is a *pair* of signatures, one
 from either collection. So t * t tables of 2 * WIDTH values each need only 2 * WIDTH * t hash functions
 instead of 2 * WIDTH * t * t. ``t`` is chosen so that a pair of documents at the threshold shares no key
-with a probability of at most ``miss``. Keys are only formed for documents that share a signature of
-either collection with another document.
+with a probability of at most ``miss``; every pair that shares a key is followed up exactly. Keys are only
+formed of signatures that the document shares with another one.
 
-Documents with equal sets are one class from the start, and only one row of a class goes on. Within a
-key, the documents are not paired with each other: rounds take leading documents and compare them
-with the others of the key that are not yet in their component. A key is done when its documents are in
-one component, which for most groups of near copies is after the first round; the last round compares
-all that are left. A pair that shares so few signatures that it is hardly at the threshold
-(probability ``miss`` / 2) is not compared. Links are confirmed on the full sets.
+Documents with equal sets are one class from the start, and only one row of a class goes on. The
+documents of a key are not paired with each other. They are compared with its *lead*, the document that shares
+most signatures with others, which links most groups of near copies at once. A group with documents that
+are still in different components is searched further by what sets them apart from the lead p. With D(x) for the
+symmetric difference of x and p, r and a for the numbers of elements that x lacks and adds, j for the threshold, and
+g = r + j a, documents x and y are linked if and only if
+
+    (1 + j) |D(x) & D(y)| >= g(x) + g(y) - (1 - j) |p|.
+
+If x isn't linked with p, g(x) exceeds (1 - j) |p|. And as linked sets differ by at most (1 - j) / j of either's size, D(y) is not
+much smaller than D(x), and g(y) is at least j |D(y)|. So both know how many elements of their own they share at least; and of elements ordered by how rare they are in the group, the first
+that both have stands near the beginning of either list. The documents with such an element in
+common make up a smaller group, without p, that has a lead of its own, and so on until no group is left; groups of at
+most ``FEW`` documents are compared pair by pair. Elements that only one document has, the usual case for edits, make no
+group. Links are confirmed on the whole sets, from the texts.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a document with fewer
 words than a shingle has its whole word sequence as its only shingle; ids may repeat or be null (a
-document is named by id and text hash, and equal sets are one class); extra columns play no part.
+document is named by id and text hash, and equal sets are one class); an empty table gives an empty result; extra
+columns play no part.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +45,12 @@ from millrace.plans.lineage import stash
 from . import bloom
 from . import textbytes as tb
 
-SIGNED_TYPE = "struct<n_shingles: bigint, set_hash: binary, left: array<bigint>, right: array<bigint>>"
-
+SIGNED_TYPE = "struct<n_shingles: bigint, set_hash: binary, signatures: array<bigint>>"
+COMPARED_TYPE = "struct<linked: boolean, size: bigint, lacks: array<bigint>, adds: array<bigint>>"
+#: Pairs of texts that are compared at a time.
+PAIRS = 256
+#: Documents with an element in common, up to so many, are compared with each other instead of with a lead.
+FEW = 8
 
 #: MinHash values in a signature: with eight in a key, documents that share a passage seldom meet.
 WIDTH = 4
@@ -74,8 +89,8 @@ def _functions(t: int) -> tuple[np.ndarray, np.ndarray]:
     return values[0] | np.uint64(1), values[1]
 
 
-def signatures(grams: np.ndarray, first: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two arrays (rows with a set, t) of signatures of WIDTH MinHash values each."""
+def signatures(grams: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
+    """An array (rows with a set, 2 * t) of signatures of WIDTH MinHash values each: one collection, then the other."""
     starts = first[:-1]
     odd, add = _functions(t)
     out = np.zeros((2 * t, len(starts)), np.uint64)
@@ -85,53 +100,85 @@ def signatures(grams: np.ndarray, first: np.ndarray, t: int) -> tuple[np.ndarray
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
             out[k // WIDTH] = tb.mix(out[k // WIDTH] * np.uint64(3) + np.minimum.reduceat(x, starts))
-    return out[:t].T, out[t:].T
+    return out.T
 
 
 def signed(text: Column, n: int, t: int) -> Column:
-    """A struct for each text: the set's size, a 128-bit hash of the set, and both collections of signatures."""
+    """A struct for each text: the set's size, a 128-bit hash of the set, and its signatures (none for an empty set)."""
 
     def run(texts: pa.Array) -> pa.Array:
-        sizes, hashes, left, right = [], [], [], []
+        sizes, hashes, signs = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [np.zeros((0, 2 * t), np.uint64)]
         for lo, hi, data, offsets in tb.slices(texts):
             grams, first = shingle_sets(data, offsets, n)
             count = np.diff(first)
             full = np.flatnonzero(count)
             sizes.append(count)
             two = np.zeros((hi - lo, 2), np.uint64)
-            a, b = np.zeros((2, hi - lo, t), np.int64)
             if len(full):
                 bounds = first[full]
                 with np.errstate(over="ignore"):
                     two[full, 0] = np.add.reduceat(tb.mix(grams ^ np.uint64(11)), bounds)
                     two[full, 1] = np.add.reduceat(tb.mix(tb.mix(grams) ^ np.uint64(12)), bounds)
-                x, y = signatures(grams, np.append(bounds, len(grams)), t)
-                a[full], b[full] = x.view(np.int64), y.view(np.int64)
+                signs.append(signatures(grams, np.append(bounds, len(grams)), t))
             hashes.append(two)
-            left.append(a.ravel())
-            right.append(b.ravel())
-        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
-        steps = pa.array(np.arange(0, (len(sizes) + 1) * t, t), pa.int32())
-        lists = [pa.ListArray.from_arrays(steps, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (left, right)]
-        names = np.concatenate([np.zeros((0, 2), np.uint64), *hashes])
+        sizes = np.concatenate(sizes)
+        ends = pa.array(np.append(0, np.cumsum(sizes > 0) * 2 * t), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(signs).ravel().view(np.int64)))
         places = pa.array(np.arange(0, (len(sizes) + 1) * 16, 16), pa.int32())
-        names = pa.Array.from_buffers(pa.binary(), len(sizes), [None, places.buffers()[1], pa.py_buffer(names.tobytes())])
-        return pa.StructArray.from_arrays([pa.array(sizes), names, *lists], ["n_shingles", "set_hash", "left", "right"])
+        names = pa.Array.from_buffers(pa.binary(), len(sizes), [None, places.buffers()[1], pa.py_buffer(np.concatenate(hashes).tobytes())])
+        return pa.StructArray.from_arrays([pa.array(sizes), names, lists], ["n_shingles", "set_hash", "signatures"])
 
     return F.arrow_udf(run, SIGNED_TYPE).asNondeterministic()(text)
 
 
-def full_set(text: Column, n: int) -> Column:
-    """The sorted distinct shingle hashes of each text."""
+def packed(text: Column) -> Column:
+    """Each text, compressed: it takes less room than the hashes of its set."""
 
     def run(texts: pa.Array) -> pa.Array:
-        parts = []
-        for _, _, data, offsets in tb.slices(texts):
-            grams, first = shingle_sets(data, offsets, n)
-            parts.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(grams.view(np.int64))))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
-
-    return F.arrow_udf(run, "array<bigint>").asNondeterministic()(text)
+        press = zstandard.ZstdCompressor(level=3)
+        return pa.array([press.compress((t.as_py() or "").encode()) for t in texts], pa.binary())
+
+    return F.arrow_udf(run, "binary").asNondeterministic()(text)
+
+
+def _sets(packs: pa.Array, n: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of each packed text."""
+    open_ = zstandard.ZstdDecompressor()
+    texts = pa.array([open_.decompress(p.as_py()) for p in packs], pa.binary()).cast(pa.string())
+    out: list[np.ndarray] = []
+    for _, _, data, offsets in tb.slices(texts):
+        grams, first = shingle_sets(data, offsets, n)
+        out += [grams[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return out
+
+
+def compared(lead: Column, other: Column, n: int, percent: int) -> Column:
+    """A struct for each pair of packed texts: whether they are linked, the size of the lead's set, and the
+    elements that the other one lacks and adds."""
+
+    def run(leads: pa.Array, others: pa.Array) -> pa.Array:
+        linked, sizes, lacks, adds = [], [], [], []
+        for lo in range(0, len(leads), PAIRS):
+            part = leads.slice(lo, PAIRS).dictionary_encode()
+            ours = _sets(part.dictionary, n)
+            for k, y in zip(part.indices.to_pylist(), _sets(others.slice(lo, PAIRS), n), strict=True):
+                x = ours[k]
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared = y[at] == x
+                both = int(np.count_nonzero(shared))
+                also = np.zeros(len(y), bool)
+                also[at[shared]] = True
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                sizes.append(len(x))
+                lacks.append(x[~shared].view(np.int64))
+                adds.append(y[~also].view(np.int64))
+        lists = []
+        for column in (lacks, adds):
+            ends = pa.array(np.cumsum([0, *map(len, column)]), pa.int32())
+            lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *column]))))
+        return pa.StructArray.from_arrays([pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), *lists], ["linked", "size", "lacks", "adds"])
+
+    return F.arrow_udf(run, COMPARED_TYPE).asNondeterministic()(lead, other)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -153,80 +200,84 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    near = pairs.join(one, "a").join(two, "b")
-    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return near.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def agreements_needed(t: int, threshold: float, miss: float = 1e-4) -> int:
-    """How many of the 2 * t signatures two documents must share to be compared: at the threshold,
-    fewer are shared with a probability of at most half of ``miss``."""
-    p, n, below, k = threshold**WIDTH, 2 * t, 0.0, 0
-    while True:
-        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-        if below > miss / 2:
-            return max(k, 2)
-        k += 1
-
-
-def _agree(t: int, half: int) -> list[Column]:
-    """For each signature of one collection (0 or 1), whether ``marks`` and ``lead_marks`` have it in common."""
-    return [F.get("marks", F.lit(k)) == F.get("lead_marks", F.lit(k)) for k in range(half * t, half * t + t)]
-
-
-def _first(same: list[Column]) -> Column:
-    """The place of the first true value."""
-    return F.coalesce(*(F.when(s, k) for k, s in enumerate(same)))
-
-
-def _likely(t: int, needed: int) -> Column:
-    """Whether ``marks`` and ``lead_marks`` share enough signatures."""
-    return reduce(lambda x, y: x + y, (s.cast("int") for s in _agree(t, 0) + _agree(t, 1))) >= needed
-
-
-def _linked(live: DataFrame, marked: DataFrame, sets: DataFrame, percent: int, t: int, needed: int, leads: int = 16) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """(lead, node, linked, size, lacks, adds) of the pairs (lead, node)."""
+    one = sets.select(F.col("node").alias("lead"), F.col("pack").alias("x"))
+    two = sets.select("node", F.col("pack").alias("y"))
+    near = pairs.join(one, "lead").join(two, "node")
+    return stash(near.select("lead", "node", compared(F.col("x"), F.col("y"), n, percent).alias("c")).select("lead", "node", "c.*"), "compared")
+
+
+def _rest(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(part, node, root, other, stray): documents of a group that are in different components and have an element in
+    common that a link between them has to have (see above), as one of those that a lead left out (stray) or as the other."""
+    ours = roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    placed = told.join(roots, "node", "left").join(ours, "lead", "left").withColumns({"root": F.coalesce("root", "node"), "lead_root": F.coalesce("lead_root", "lead")})
+    open_ = placed.filter("root <> lead_root").select("lead").distinct()
+    members = placed.drop("lead_root").join(stash(open_, "open"), "lead")
+
+    # In hundredths, to stay with whole numbers. What the other one of a link has apart is not much less than this one has.
+    count = F.size("lacks") + F.size("adds")
+    own = 100 * F.size("lacks") + percent * F.size("adds")
+    whole = F.col("size") - F.size("lacks") + F.size("adds")
+    theirs = F.greatest(F.lit(0), percent * count - (100 - percent) * whole)  # of the other one, as own is of this one
+    as_other = own + F.greatest(F.lit(1), theirs - (100 - percent) * F.col("size"))
+    as_stray = own - (100 - percent) * F.col("size") + theirs
+    first = lambda needed: (count - F.ceil(F.greatest(needed, F.lit(1)) / (100 + percent)) + 1).cast("int")
+    told_apart = (first(as_other).alias("as_other"), F.when(F.col("linked"), 0).otherwise(F.least(first(as_stray), count)).alias("as_stray"))
+    members = stash(members.select("lead", "node", "root", *told_apart, F.concat("lacks", "adds").alias("apart")), "members")
+    elements = members.select("lead", "node", "root", "as_other", "as_stray", F.explode("apart").alias("e"))
+    often = elements.groupBy("lead", "e").agg(F.count("*").alias("k"))
+    ranked = elements.join(stash(often, "often"), ["lead", "e"])
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lead", "node").orderBy("k", "e")))
+    seen = ranked.select("lead", "e", "node", "root", (F.col("r") <= F.col("as_other")).alias("other"), (F.col("r") <= F.col("as_stray")).alias("stray"), "k")
+    seen = stash(seen.filter("k > 1 and (other or stray)").drop("k"), "seen")
+    alive = seen.groupBy("lead", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("other").alias("some"), F.bool_or("stray").alias("strays"), F.count("*").alias("k"))
+    alive = stash(alive.filter("lo < hi and some and strays").select("lead", "e", "k"), "alive")
+    return seen.join(alive, ["lead", "e"]).select(F.xxhash64("lead", "e").alias("part"), "node", "root", "other", "stray", "k")
+
+
+def _met(parts: DataFrame) -> DataFrame:
+    """(lead, node): the pairs that parts of at most ``FEW`` documents have to be searched for."""
+    x = parts.filter("stray").select("part", F.col("node").alias("x"), F.col("root").alias("rx"))
+    y = parts.filter("other").select("part", F.col("node").alias("y"), F.col("root").alias("ry"))
+    return x.join(y, "part").filter("rx <> ry").select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node")).distinct()
+
+
+def _led(parts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(lead, node): the documents of each part with its lead, the one of the highest rank. A lead leads only
+    documents of lower rank, and a group that is searched further is without its lead, so ranks fall until no group is left."""
+    ranked = parts.select("part", "node").join(ranks, "node")
+    leads = stash(ranked.groupBy("part").agg(F.max("rank").alias("top")), "leads")
+    return ranked.join(leads, "part").select(_node("top").alias("lead"), "node").filter("node <> lead").distinct()
+
+
+def _ranked(score: str, node: str) -> Column:
+    """One number that orders by score, then by node."""
+    return F.least(F.col(score), F.lit(10**12 - 1)).cast("decimal(12,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col(node).cast("decimal(20,0)")
+
+
+def _node(rank: str) -> Column:
+    return F.pmod(F.col(rank), F.lit(str(1 << 63)).cast("decimal(19,0)")).cast("bigint")
+
+
+def linked(groups: DataFrame, sets: DataFrame, ranks: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, root) of the nodes with a link, root being the same for all nodes of a component.
-
-    live: (key, place, node) of the keys that nodes share; marked: (node, marks), the signatures of
-    each node in 32 bits. Three rounds compare *leads* of each key with its nodes of other components:
-    one node first, which joins most groups of near copies; then up to ``leads`` nodes outside
-    the key's largest component; then all that are still outside it. In the last two, a pair is formed
-    in the first key only that its nodes share, and only if they share enough signatures.
-    """
+    groups: (lead, node); ranks: (node, rank), by which leads are chosen."""
     roots = None
-    lead_marked = marked.select(F.col("node").alias("lead"), F.col("marks").alias("lead_marks"))
-    for most in (1, leads, None):
-        tagged = live.withColumn("root", F.col("node"))
-        if roots is not None:
-            tagged = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = tagged.groupBy("key", "root").agg(F.count("*").alias("k"), F.max("node").alias("one"))
-        split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "root", "one")).alias("most")).filter("parts > 1")
-        open_ = stash(tagged.join(split.select("key", "most.one", F.col("most.root").alias("main")), "key"), "open")
-        if most == 1:
-            ahead = open_.filter("node = one")
-        else:
-            ahead = open_.filter("root <> main")
-            if most:
-                order = Window.partitionBy("key").orderBy("root", "node")
-                ahead = ahead.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
-        ahead = ahead.select("key", F.col("node").alias("lead"), F.col("root").alias("of"))
-        if most == 1:
-            pairs = open_.join(ahead, "key").filter("root <> of").select("node", "lead").distinct()
-            pairs = pairs.join(marked, "node").join(lead_marked, "lead").filter(_likely(t, needed))
-        else:
-            here = F.col("place") == _first(_agree(t, 0)) * t + _first(_agree(t, 1))
-            # Two leads of one key meet once, if the one outside the main component leads.
-            once = (F.col("root") == F.col("main")) | (F.col("lead") < F.col("node")) if most is None else F.lit(True)
-            met = open_.join(marked, "node").join(ahead.join(lead_marked, "lead"), "key")
-            pairs = met.filter((F.col("root") != F.col("of")) & once & here & _likely(t, needed))
-        pairs = stash(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), "pairs")
-        roots = stash(_joined(roots, _confirmed(pairs, sets, percent)), "roots")
-        live = open_.select("key", "place", "node")
-    return roots
+    while True:
+        told = _compare(groups, sets, n, percent)
+        found = told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        roots = stash(_joined(roots, found), "roots")
+        parts = stash(_rest(told, roots, percent), "parts")
+        small = parts.filter(F.col("k") <= FEW)
+        if not small.isEmpty():
+            found = _compare(_met(small), sets, n, percent).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            roots = stash(_joined(roots, found), "roots")
+        large = parts.filter(F.col("k") > FEW)
+        if large.isEmpty():
+            return roots
+        groups = stash(_led(large, ranks), "groups")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -251,35 +302,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     texts = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     marked = stash(texts.select("doc_id", "text_hash", signed(F.col("text"), shingle, t).alias("s")).select("doc_id", "text_hash", "s.*"), "signed")
 
-    # One row for each distinct set, named by its hash; the smallest id stands for the class.
+    # One row for each distinct set; the smallest id stands for the class. Written at once, so that a node keeps its number.
     classes = marked.filter("n_shingles > 0").groupBy("set_hash").agg(
-        F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("least"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("n_shingles").alias("n")
+        F.min(F.coalesce("doc_id", F.lit(1 << 62))).alias("least"), F.first("signatures").alias("signatures"), F.min(F.xxhash64("doc_id", "text_hash")).alias("h")
     )
-    pair = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(t)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(t)), lambda j: F.xxhash64(i, j, F.element_at("left", i), F.element_at("right", j)))))
-    meeting = classes
-    for side in ("left", "right"):
-        shown = meeting.select("set_hash", F.posexplode(side).alias("i", "v"))
-        met = shown.groupBy("i", "v").agg(F.count("*").alias("k")).filter("k > 1").select("i", "v")
-        meeting = stash(meeting.join(shown.join(met, ["i", "v"]).select("set_hash").distinct(), "set_hash"), "meeting")
-    keys = meeting.select("set_hash", F.posexplode(pair).alias("place", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    live = stash(keys.join(shared, "key").select("key", F.col("place").cast("smallint").alias("place"), F.col("set_hash").alias("node")), "keys")
-
-    # The sets of one document of each such class. The filter lets a few others pass, which the join drops.
-    nodes = live.select(F.col("node").alias("set_hash")).distinct()
-    one = marked.join(nodes, "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    one = stash(one.select(F.col("set_hash").alias("node"), F.xxhash64("d.doc_id", "d.text_hash").alias("h")), "chosen")
-    chosen = bloom.build(one.select("h"))
-    whole = texts.select("text", F.xxhash64("doc_id", "text_hash").alias("h"))
-    whole = whole.filter(bloom.maybe(F.col("h"), chosen)).select("h", full_set(F.col("text"), shingle).alias("grams"))
-    sets = stash(one.join(whole, "h").dropDuplicates(["h"]).select("node", "grams"), "sets")
-
-    short = F.transform(F.concat("left", "right"), lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    marks = stash(meeting.select(F.col("set_hash").alias("node"), short.alias("marks")).join(nodes.withColumnRenamed("set_hash", "node"), "node", "left_semi"), "marks")
-    roots = _linked(live, marks, sets, percent, t, agreements_needed(t, percent / 100, miss))
-    named = classes.select("set_hash", "least").join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    shown = classes.select("node", F.posexplode("signatures").alias("at", "v"))
+    met = stash(shown.groupBy("at", "v").agg(F.count("*").alias("k")).filter("k > 1"), "met")
+    sharing = shown.join(met, ["at", "v"]).groupBy("node").agg(F.sum("k").alias("score"), F.collect_list(F.struct("at", "v")).alias("signs"))
+    left, right = (F.filter("signs", lambda s: s["at"] < t), F.filter("signs", lambda s: s["at"] >= t))
+    pair = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.xxhash64(x["at"], y["at"], x["v"], y["v"]))))
+    sharing = stash(sharing.select("node", _ranked("score", "node").alias("rank"), pair.alias("keys")).filter("size(keys) > 0"), "sharing")
+    keys = sharing.select("rank", F.explode("keys").alias("key"))
+    led = stash(keys.groupBy("key").agg(F.count("*").alias("k"), F.max("rank").alias("top")).filter("k > 1").select("key", "top"), "led")
+    groups = stash(keys.join(led, "key").filter("rank <> top").select("top", "rank").distinct().select(_node("top").alias("lead"), _node("rank").alias("node")), "groups")
+
+    # The texts of one document of each class that shares a key. The filter lets a few others pass, which the join drops.
+    met = groups.select("node").unionAll(groups.select("lead")).distinct()
+    one = stash(classes.select("node", "h").join(met, "node"), "chosen")
+    whole = texts.select("text", F.xxhash64("doc_id", "text_hash").alias("h")).filter(bloom.maybe(F.col("h"), bloom.build(one.select("h"))))
+    sets = stash(one.join(whole.select("h", packed(F.col("text")).alias("pack")), "h").dropDuplicates(["node"]).select("node", "pack"), "sets")
+    roots = linked(groups, sets, sharing.select("node", "rank"), shingle, percent).join(classes.select("node", "set_hash"), "node").select("root", "set_hash")
+    roots = roots.withColumnRenamed("root", "root_node").join(classes.select(F.col("node").alias("root_node"), F.col("set_hash").alias("root")), "root_node").select("set_hash", "root")
+    named = classes.select("set_hash", "least").join(roots, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.select("set_hash", "root").join(least, "root").select("set_hash", "component")
-    out = marked.drop("left", "right").join(named, "set_hash", "left")
+    out = marked.drop("signatures").join(named, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.nullif("component", F.lit(1 << 62))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -116,3 +116,111 @@ def base_scores(docs):
     c = Counter(x for k in docs if not held[k] for x in tokens[k])
     n, v = sum(c.values()), len(c)
     return {k: (held[k], len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)) for k, t in tokens.items()}
+
+
+M = (1 << 64) - 1
+
+
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def languages(pages, labelled, buckets=1 << 16, evidence=30.0, smoothing=5.0):
+    """[(language, probability)] for pages (host, declared, text) given labelled (language, text)."""
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+    def trigrams(text):
+        b = (text or "").encode().translate(low)
+        return [mix(int.from_bytes(b[i : i + 3], "little")) & (buckets - 1) for i in range(len(b) - 2)]
+
+    counts = defaultdict(Counter)
+    for lang, text in labelled:
+        if lang is not None and text is not None:
+            counts[lang].update(trigrams(text))
+    langs = sorted(x for x in counts if counts[x])
+    size = {x: sum(counts[x].values()) + 0.5 * buckets for x in langs}
+    soft = []
+    for _, _, text in pages:
+        g = trigrams(text)
+        logs = [sum(math.log((counts[x][t] + 0.5) / size[x]) for t in g) * min(len(g), evidence) / max(len(g), 1) for x in langs]
+        w = [math.exp(v - max(logs)) for v in logs]
+        soft.append([v / sum(w) for v in w])
+    k, total = len(langs), [sum(s[j] for s in soft) for j in range(len(langs))]
+    sums = defaultdict(lambda: [0.0] * k)
+    keys = [{"declared": d, "suffix": h.split(".")[-1], "domain": ".".join(h.split(".")[-2:]), "host": h} for h, d, _ in pages]
+    for name, s in zip(keys, soft, strict=True):
+        for key in name.items():
+            sums[key] = [a + b for a, b in zip(sums[key], s, strict=True)]
+    out = []
+    for name, s in zip(keys, soft, strict=True):
+        odds = []
+        for j in range(k):
+            overall = (max(0.0, total[j] - s[j]) + 1) / (max(sum(total) - 1, 0.0) + k)
+
+            def share(kind, prior, j=j, s=s, name=name):
+                held = sums[kind, name[kind]]
+                return (max(0.0, held[j] - s[j]) + smoothing * prior) / (max(0.0, sum(held) - 1) + smoothing)
+
+            odds.append(math.log(max(s[j], 1e-300)) + math.log(share("declared", overall) / overall) + math.log(share("suffix", overall) / overall) + math.log(share("host", share("domain", overall))))
+        out.append((langs[odds.index(max(odds))], 1 / sum(math.exp(o - max(odds)) for o in odds)))
+    return out
+
+
+def posterior(ballots, prior=0.85, alarms=0.005, rounds=200):
+    """Probability of being good for each ballot (votes 0 bad, 1 none, 2 good), by EM over all of them."""
+    kinds = Counter(map(tuple, ballots))
+    m = len(ballots[0])
+    first = ([0.002, 0.4, 0.598], [0.2, 0.4, 0.4])
+    good, bad = [list(first[0]) for _ in range(m)], [list(first[1]) for _ in range(m)]
+
+    def odds(b):
+        return math.log(prior / (1 - prior)) + sum(math.log(good[r][v] / bad[r][v]) for r, v in enumerate(b) if v != 1)
+
+    for _ in range(rounds):
+        p = {b: 1 / (1 + math.exp(-odds(b))) for b in kinds}
+        ng, nb = sum(n * p[b] for b, n in kinds.items()), sum(n * (1 - p[b]) for b, n in kinds.items())
+        new = []
+        for r in range(m):
+            g = [(sum(n * p[b] for b, n in kinds.items() if b[r] == v) + 10 * first[0][v]) / (ng + 10) for v in range(3)]
+            h = [(sum(n * (1 - p[b]) for b, n in kinds.items() if b[r] == v) + 10 * first[1][v]) / (nb + 10) for v in range(3)]
+            a = min(g[0], alarms)
+            g = [a, g[1] * (1 - a) / (1 - g[0]), g[2] * (1 - a) / (1 - g[0])]
+            new.append((g, h))
+        good, bad = [g for g, _ in new], [h for _, h in new]
+    return {b: 1 / (1 + math.exp(-odds(b))) for b in kinds}
+
+
+def model_scores(docs, steps, grid):
+    """{key: score} by quantised counts of words and pairs: steps[q - 1] is the least count of level q."""
+    tokens = {k: [*SPACED.findall((t or "").translate(LOW)), None] for k, (_, t) in docs.items()}
+    train = [k for k, (i, _) in docs.items() if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(), Counter()
+    for k in train:
+        one.update(tokens[k])
+        two.update(zip([None, *tokens[k]], tokens[k], strict=False))
+    n, v = sum(one.values()), len(one)
+    level = lambda c: sum(s <= c for s in steps)
+    count = lambda q: 0.0 if not q else (steps[q - 1] + steps[q] - 1) / 2
+
+    def parts(a, b, out):
+        before = level(one[a])
+        context, single = max(count(before) - out, 0), max(count(level(one[b])) - out, 0)
+        pair = min(max(count(level(two[a, b])) - out, 0), context, single)
+        return before, pair / context if context > 0 else 0.0, (single + 0.5) / (n + 0.5 * (v + 1))
+
+    gains = defaultdict(lambda: [0.0] * len(grid))
+    for k in train:
+        for a, b in zip([None, *tokens[k]], tokens[k], strict=False):
+            q, pair, single = parts(a, b, 1)
+            for g, w in enumerate(grid):
+                gains[q][g] += math.log10(w * pair + (1 - w) * single)
+    weight = {q: grid[max(range(len(grid)), key=lambda g, q=q: gains[q][g])] for q in gains}
+    out = {}
+    for k, t in tokens.items():
+        told = [parts(a, b, 0) for a, b in zip([None, *t], t, strict=False)]
+        out[k] = sum(math.log10(weight.get(q, 0.0) * pair + (1 - weight.get(q, 0.0)) * single) for q, pair, single in told)
+    return out

@@ -75,6 +75,26 @@ def test_quality_model_finds_rare_defects():
     assert quality_rules.estimate(np.zeros((0, 7), int), np.zeros(0)).prior == 0.85
 
 
+def test_quality_verdicts(docs):
+    """Probabilities and verdicts against EM in plain Python."""
+    out = quality_rules.score(docs).select("quality.*", quality_rules.votes(F.col("quality")).alias("code")).collect()
+    ballots = [tuple(r["code"] // 3**k % 3 for k in range(len(quality_rules.RULES))) for r in out]
+    want = brute.posterior(ballots)
+    for r, b in zip(out, ballots, strict=True):
+        assert abs(r["probability"] - want[b]) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and want[b] >= 0.5)
+
+
+def test_long_lines_are_told_apart():
+    """Two strings that sums of powers modulo 2**64 can't tell apart, whatever the base."""
+    import pyarrow as pa
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    counts = quality_rules._counts(pa.array([f"{one}\n{two}", f"{one}\n{one}"])).to_pylist()
+    assert [c["n_dup_lines"] for c in counts] == [0, 1]
+
+
 def test_labels_agree(spark, sf_dir):
     out = quality_rules.score(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "quality.kept", "quality.base_failed")
     told = out.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
@@ -94,6 +114,13 @@ def test_lm_base_and_exchange(docs, empty, keyed_rows):
     assert rows_of(lm_scoring.scores(empty)) == []
 
 
+def test_lm_scores(docs, keyed_rows, monkeypatch):
+    """With so much room that the filter makes no false hits."""
+    monkeypatch.setattr(lm_scoring, "BITS_PER_TOKEN", 2000)
+    want = sorted(brute.model_scores(keyed_rows, lm_scoring.STEPS.tolist(), lm_scoring.GRID.tolist()).values())
+    assert np.allclose(sorted(r["score"] for r in lm_scoring.scores(docs).collect()), want)
+
+
 def test_lm_exchange_asks_once_a_slice(spark):
     texts = ["word " * 3000 + f"w{i}" for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(4).cache()
@@ -172,14 +199,38 @@ def test_suffix_levels_stay_few():
     family, r = suffix_dedup.SuffixLevels(4), np.random.default_rng(0)
     seen = set()
     for _ in range(40):
-        rows = r.integers(97, 100, (30, 4)).astype(np.uint8)
-        got = family.add(rows)
-        for row, known in zip(rows, got, strict=True):
-            assert known == (row.tobytes() in seen)
-            seen.add(row.tobytes())
+        data = r.integers(97, 100, 33).astype(np.uint8)
+        for k, known in enumerate(family.add(data, np.arange(30))):
+            window = data[k : k + 4].tobytes()
+            assert known == (window in seen)
+            seen.add(window)
     assert len(family.levels) <= 8
 
 
+def test_suffix_index_of_batches(spark):
+    """Batches that arrive one after another, against levels that are tables."""
+    r = random.Random(12)
+    part = ["".join(r.choice("abcdé") for _ in range(300)) for _ in range(3)]
+    texts = {i: "".join(r.choice("abcd") for _ in range(r.randint(0, 200))) + (part[i % 3] if i % 2 else "") + ("x" * (i * 10)) for i in range(24)}
+    want = {i: sum(gone) for i, (_, gone) in brute.repeated_bytes(texts, 100).items()}
+    levels, got = [], {}
+    for lo in range(0, 24, 4):
+        batch = spark.createDataFrame([(i, texts[i]) for i in range(lo, lo + 4)], "doc_id bigint, text string")
+        runs, levels = suffix_dedup.extend(levels, batch)
+        for row in runs.collect():
+            size = len(texts[row["doc_id"]].encode())
+            got[row["doc_id"]] = size - int(suffix_dedup._stay(size, row["runs"], 100).sum())
+    assert {i: got.get(i, 0) for i in texts} == want
+    assert len(levels) <= 3
+
+
+def test_suffix_strip(docs, keyed_rows):
+    want = {i: bytes(c for c, g in zip(b, gone, strict=True) if not g).decode(errors="ignore") for i, (b, gone) in brute.repeated_bytes({i: t for i, t in keyed_rows.values() if i is not None}, 100).items()}
+    for r in suffix_dedup.strip(docs).collect():
+        if r["doc_id"] is not None and r["doc_id"] != 5:  # rows that repeat count as one document
+            assert r["text"] == want[r["doc_id"]]
+
+
 def test_minhash(docs, empty, keyed_rows):
     component, sets = brute.near_components(keyed_rows, 3, 85)
     want = sorted(((keyed_rows[k][0], len(sets[k]), component[k], keyed_rows[k][0] == component[k]) for k in keyed_rows), key=repr)
@@ -206,6 +257,45 @@ def test_minhash_chain(spark):
     assert {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(df, 3, 85).collect()} == component
 
 
+def near_group(r, n, words, most):
+    """n texts of so many words with up to ``most`` words changed each, and copies of a few of them changed again."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    out = []
+    for k in range(n):
+        text = list(out[r.randrange(len(out))] if k % 4 == 3 else base)
+        for _ in range(r.randint(0, most)):
+            text[r.randrange(words)] = word()
+        out.append(text)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_minhash_below_threshold(spark, monkeypatch, few):
+    """Groups most of whose pairs are just below the threshold, searched by leads or pair by pair."""
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    r = random.Random(few)
+    rows = dict(enumerate((i, t) for i, t in enumerate(near_group(r, 90, 120, 9) + near_group(r, 60, 40, 4))))
+    component, sets = brute.near_components(rows, 3, 85)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(spark.createDataFrame(list(rows.values()), "doc_id bigint, text string"), 3, 85).collect()}
+    assert len(set(component.values())) > 10
+    assert got == {k: (len(sets[k]), component[k]) for k in rows}
+
+
+def test_minhash_recall(spark):
+    """All links of 1,200 pairs near the threshold are found (the bound is one in ten thousand)."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(1200):
+        text = [word() for _ in range(60)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[: 60 - k % 5], *(word() for _ in range(k % 5))]))]
+    component, _ = brute.near_components(dict(enumerate(rows)), 3, 85)
+    linked = {rows[k][0] for k in component if component[k] != rows[k][0]}
+    got = {x["doc_id"] for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).filter("not kept").collect()}
+    assert len(linked) > 500 and got == linked
+
+
 def test_substring(docs, empty, keyed_rows):
     words, gone = brute.repeated_words(keyed_rows, 50)
     want = sorted(((keyed_rows[k][0], len(w), sum(gone[k]), brute.sha(" ".join(x for x, g in zip(w, gone[k], strict=True) if not g))) for k, w in words.items()), key=repr)
@@ -230,6 +320,35 @@ def test_language(spark, sf_dir, empty):
     assert len(none) == 4 and all(r["lang"] is None for r in none)
 
 
+def test_language_brute(spark):
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 6)))
+    prose = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    alphabets = {"aa": "abcd", "bb": "cdef", "cc": "éghb"}
+    known = [(k, prose(a, 60)) for k, a in alphabets.items()] + [(None, "x y"), ("aa", None), ("aa", "A B CD")]
+    pages = []
+    for i in range(40):
+        lang = r.choice(list(alphabets))
+        text = r.choice(["", prose(alphabets[lang], r.randint(0, 8)), prose("abcdefgh", 3)])
+        pages.append((i % 37, f"http://h{i % 5}.{lang}.org/{i}", f'<html lang="{lang}"><p>{text}</p>' if i % 3 else text, 9, "x"))
+    pages += [(90, None, None, 9, "x"), (91, "", "q" * 300_000, 9, "x")]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string, lang int, soft string")
+    labelled = spark.createDataFrame(known, "lang string, text string")
+    plain = table.select("page_id", language_id.host(F.col("url")).alias("h"), language_id.declared(F.col("html")).alias("d"), language_id.plain_text(F.col("html")).alias("t")).collect()
+    want = sorted((p["page_id"], lang, q) for p, (lang, q) in zip(plain, brute.languages([(p["h"], p["d"], p["t"]) for p in plain], known), strict=True))
+    for block in (language_id.BLOCK, 2):  # all languages at once, and two at a time
+        fit = language_id.fit
+        language_id.fit = lambda x, fit=fit, block=block: fit(x, block)
+        try:
+            got = language_id.identify(table, labelled).collect()
+        finally:
+            language_id.fit = fit
+        got = sorted((g["page_id"], g["lang"], g["probability"]) for g in got)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-4)  # single precision
+    assert rows_of(language_id.identify(table.limit(0), labelled)) == []
+
+
 RECORDS = [
     {"prompt": "a\\b<|end|>\n", "response": "[INST]\\s"},
     {"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "content": "y\\l<s>"}]},
@@ -278,7 +397,7 @@ def test_decontaminate(spark, docs, empty, keyed_rows):
 
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
-    docs = spark.createDataFrame([(1, "alpha then beta gamma"), (2, "alpha one two three four beta gamma"), (3, "alpha beta gamma")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "alpha beta one two three four beta gamma"), (3, "alpha beta gamma")], "doc_id bigint, text string")
     whole = decontaminate.keyed(docs)
     windows = decontaminate.item_windows(bench)
     asked = decontaminate.query_terms(windows, decontaminate.term_counts(whole, windows))
@@ -329,7 +448,7 @@ def both():
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60) | st.text(alphabet="abcdeinorst'<|>0 ΣΑς", max_size=80))
+@given(text=st.text(max_size=40) | st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60) | st.text(alphabet="abcdeinorst'<|>0 ΣΑς", max_size=80))
 def test_bpe_against_library(both, text):
     automaton, library = both
     want = library.encode(text, add_special_tokens=False).ids
@@ -348,6 +467,21 @@ def test_bpe_rows(spark, docs, empty, both):
     assert rows_of(empty.select(bpe_automaton.digests(F.col("text"), vocabulary))) == []
 
 
+def test_bpe_long_pieces(both):
+    r = random.Random(6)
+    for text in ("a" * 300_000, "".join(r.choice("abcdeé") for _ in range(50_000)), "x1" * 20_000):
+        assert both[0].encode(text).tolist() == both[1].encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_stores_are_bounded(both, monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "MOST_MOVES", 5)
+    monkeypatch.setattr(bpe_automaton, "MOST_PAIRS", 5)
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcdeghinorst") for _ in range(r.randint(1, 12))) for _ in range(300))
+    assert both[0].encode(text).tolist() == both[1].encode(text, add_special_tokens=False).ids
+    assert len(both[0].move) <= len(both[0].spelling) + 5
+
+
 def test_control_strings(both):
     text = "<|startoftext|>Hi <|endoftext|> there <|endoftext|"
     assert both[0].encode(text).tolist() == both[1].encode(text, add_special_tokens=False).ids
