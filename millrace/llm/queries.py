@@ -84,6 +84,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"),
         "contaminated",
+        F.size("near_ids").cast("bigint").alias("n_near"),
     )
 
 

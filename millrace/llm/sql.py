@@ -58,10 +58,20 @@ ns AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
 m AS (SELECT DISTINCT doc_id, n, i, item_id FROM dw JOIN iw USING (n, p)),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM m) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM m) GROUP BY doc_id)
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM m) GROUP BY doc_id),
+pw AS (SELECT p, n, string_split(p, ' ') AS w FROM (SELECT DISTINCT p, n FROM iw)),
+pt AS (SELECT p, o, CASE WHEN n = 1 THEN w[1] ELSE w[o + 1] || ' ' || w[o + 2] END AS t FROM (SELECT p, n, w, unnest(range(greatest(n - 1, 1))) AS o FROM pw)),
+dt AS (SELECT doc_id, pos, t FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS t FROM d UNION ALL
+  SELECT doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM d WHERE len(w) > 1)) WHERE t IN (SELECT t FROM pt)),
+df AS (SELECT t, count(*) AS df FROM dt GROUP BY t),
+rk AS (SELECT p, o, t, row_number() OVER (PARTITION BY p ORDER BY coalesce(df, 0), o) AS r, min(coalesce(df, 0)) OVER (PARTITION BY p) AS least FROM pt LEFT JOIN df USING (t)),
+q AS (SELECT p, o, t, count(*) OVER (PARTITION BY p) AS needed, min(o) OVER (PARTITION BY p) AS lead FROM rk WHERE r <= 3 AND least > 0),
+ap AS (SELECT doc_id, p, o, needed, lead, pos - o AS st FROM dt JOIN q USING (t)),
+nr AS (SELECT a.doc_id, a.p FROM ap a JOIN ap b ON a.doc_id = b.doc_id AND a.p = b.p AND abs(a.st - b.st) <= 3 WHERE a.o = a.lead GROUP BY a.doc_id, a.p, a.st HAVING count(DISTINCT b.o) = max(b.needed)),
+ni AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr JOIN iw USING (p) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN ni USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {
