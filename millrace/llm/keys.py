@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import stash
+
+from . import bloom
+
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and text_hash, which together with doc_id names the document."""
@@ -19,8 +25,17 @@ def attach(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, both, how).drop("__doc_id", "__text_hash")
 
 
-def unused(names: list[str], base: str) -> str:
-    """A column name that is not taken."""
-    while base in names:
-        base += "_"
-    return base
+def with_matches(docs: DataFrame, found: DataFrame, column: str, work: Callable[[Column, Column], Column]) -> DataFrame:
+    """The keyed ``docs`` with ``done``, which is work(matches, skip): matches is ``column`` of ``found`` (a row for each
+    document with matches) or null, and where skip is true the result is null and not used.
+
+    Only texts that may have matches, by a bounded filter on their keys, are shuffled; the others pass through.
+    """
+    found = stash(found, "found")
+    hit = bloom.build(found.select(F.xxhash64("doc_id", "text_hash").alias("h")))
+    may = bloom.maybe(F.xxhash64("doc_id", "text_hash"), hit)
+    near = attach(docs.filter(may), found, "left").withColumn("done", work(F.col(column), F.lit(False))).drop(column)
+    if hit is None:
+        return near
+    far = docs.withColumn("done", work(F.lit(None).cast(found.schema[column].dataType), may)).filter("done is not null")
+    return near.unionByName(far)

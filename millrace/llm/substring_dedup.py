@@ -10,9 +10,11 @@ maximal repeats.
 
 The index is first used as a bounded filter inside the scan (see bloom), so that only a few
 probes are shuffled; probes and windows are grouped with partial aggregation, which takes hot
-passages, and pairs of documents are never formed.
+passages, and pairs of documents are never formed. The texts are read again instead of being stored or
+shuffled: once for the windows' least documents, once for the places of those windows that do repeat.
+Texts that lose nothing stay in their tasks.
 
-Words are hashed to 64 bits, windows to 64 bits of the sequence of word hashes.
+Words are hashed to 64 bits, windows to 96 bits of the sequence of word hashes.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; rows may
 repeat, and rows with one id count as one document; rows without an id are left whole and are no
@@ -34,7 +36,7 @@ from millrace.plans.lineage import stash
 
 from . import bloom
 from . import textbytes as tb
-from .keys import attach, keyed
+from .keys import keyed, with_matches
 
 WINDOW = 50
 
@@ -89,8 +91,9 @@ def shared_blocks(probed: DataFrame) -> DataFrame:
     return probed.groupBy("h").agg(least.alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("h")
 
 
-def windows(docs: DataFrame, window: int, size: int, shared) -> DataFrame:
-    """(w, doc_id, text_hash, pos): the windows around every place where a shared block occurs."""
+def windows(docs: DataFrame, window: int, size: int, shared, repeated=None) -> DataFrame:
+    """(w, v, doc_id, text_hash, pos): the windows around every place where a shared block occurs, named by two
+    hashes; with ``repeated``, only those whose first hash is in that filter."""
 
     def run(batches):
         for batch in batches:
@@ -107,16 +110,22 @@ def windows(docs: DataFrame, window: int, size: int, shared) -> DataFrame:
                 np.add.at(near, at + 1, -1)
                 starts = tb.whole_grams(first, window)
                 starts = starts[np.cumsum(near)[starts] > 0]
+                w = tb.gram_hashes(words, window)[starts]
+                if repeated and len(starts):
+                    held = repeated.value.contains(w)
+                    starts, w = starts[held], w[held]
                 if len(starts):
                     row = tb.rows_of(first)[starts]
+                    v = tb.gram_hashes(tb.mix(words ^ np.uint64(window)), window)[starts]
                     yield _frame(
-                        w=tb.gram_hashes(words, window)[starts].view(np.int64),
+                        w=w.view(np.int64),
+                        v=(v >> np.uint64(32)).astype(np.uint32).view(np.int32),
                         doc_id=ids[row].astype(np.int64),
                         text_hash=hashes[row].astype(np.int64),
                         pos=(starts - first[row]).astype(np.int32),
                     )
 
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "w bigint, doc_id bigint, text_hash bigint, pos int")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "w bigint, v int, doc_id bigint, text_hash bigint, pos int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -124,10 +133,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = window // 2
     named = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     index = bloom.build(stash(blocks(named, size).distinct(), "blocks"))
-    shared = stash(shared_blocks(probes(named, size, index)), "shared")
-    found = stash(windows(named, window, size, bloom.build(shared)), "windows")
-    least = found.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last")
-    later = found.join(least.select("w", "least"), "w").filter("doc_id > least")
+    shared = bloom.build(stash(shared_blocks(probes(named, size, index)), "shared"))
+    found = windows(named, window, size, shared).select("w", "v", "doc_id").groupBy("w", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    repeated = stash(found.filter("least < last").select("w", "v", "least"), "repeated")
+    places = windows(named, window, size, shared, bloom.build(repeated.select("w")))
+    later = places.join(repeated, ["w", "v"]).filter("doc_id > least")
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("starts"))
 
 
@@ -154,30 +164,31 @@ DIGEST_TYPE = "struct<n_words: bigint, n_removed: bigint, kept_sha256: string>"
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
 
-    def run(text: pa.Array, starts: pa.Array) -> pa.Array:
+    def run(text: pa.Array, starts: pa.Array, skip: pa.Array) -> pa.Array:
         out: tuple[list, list, list] = ([], [], [])
-        for lo, hi, data, offsets in tb.slices(text):
+        passed = skip.to_numpy(zero_copy_only=False)
+        for lo, hi, data, offsets in tb.slices(pc.if_else(skip, None, text)):
             for n, gone, kept in kept_text(data, offsets, starts.slice(lo, hi - lo), window):
                 for column, value in zip(out, (int(n), int(gone), hashlib.sha256(kept).hexdigest()), strict=True):
                     column.append(value)
         types = (pa.int64(), pa.int64(), pa.string())
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["n_words", "n_removed", "kept_sha256"])
+        columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+        return pa.StructArray.from_arrays(columns, ["n_words", "n_removed", "kept_sha256"], mask=pa.array(passed))
 
     whole = keyed(docs)
-    found = attach(whole, repeats(whole, window), "left")
-    found = found.select("doc_id", F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", "starts").alias("d"))
-    return found.select("doc_id", "d.*")
+    work = lambda starts, skip: F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", starts, skip)
+    return with_matches(whole, repeats(whole, window), "starts", work).select("doc_id", "done.*")
 
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words taken out of their texts, otherwise as they are. The white space
     between two words that stay next to each other stays too; a text that loses nothing is unchanged."""
 
-    def run(text: pa.Array, starts: pa.Array) -> pa.Array:
+    def run(text: pa.Array, starts: pa.Array, skip: pa.Array) -> pa.Array:
         out: list[str | None] = []
-        for t, s in zip(text, starts, strict=True):
-            if not s.is_valid:
-                out.append(t.as_py())
+        for t, s, passed in zip(text, starts, skip.to_pylist(), strict=True):
+            if passed or not s.is_valid:
+                out.append(None if passed else t.as_py())
                 continue
             data = np.frombuffer(t.as_py().encode(), np.uint8)
             begin, end, first = tb.word_spans(data, np.array([0, len(data)]))
@@ -189,11 +200,10 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             np.add.at(cut, before[gone], 1)
             np.add.at(cut, end[gone], -1)
             out.append(data[np.cumsum(cut)[:-1] == 0].tobytes().decode())
-        return pa.array(out, pa.string())
+        return pa.StructArray.from_arrays([pa.array(out, pa.string())], ["text"], mask=pa.array(skip.to_numpy(zero_copy_only=False)))
 
     names = docs.columns
-    whole = docs.withColumn("text_hash__", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = repeats(keyed(docs), window).withColumnsRenamed({"doc_id": "doc_id__", "text_hash": "hash__", "starts": "starts__"})
-    both = F.col("doc_id").eqNullSafe(F.col("doc_id__")) & (F.col("text_hash__") == F.col("hash__"))
-    joined = whole.join(found, both, "left").withColumn("text", F.arrow_udf(run, "string").asNondeterministic()("text", "starts__"))
-    return joined.select(*names)
+    whole = docs.withColumnsRenamed({c: f"{c}__" for c in names if c not in ("doc_id", "text")}).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    work = lambda starts, skip: F.arrow_udf(run, "struct<text: string>").asNondeterministic()("text", starts, skip)
+    done = with_matches(whole, repeats(keyed(docs), window), "starts", work).withColumn("text", F.col("done.text"))
+    return done.select(*(c if c in ("doc_id", "text") else F.col(f"{c}__").alias(c) for c in names))

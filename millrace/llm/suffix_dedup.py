@@ -8,8 +8,9 @@ the smallest hash in it. Equal windows have equal anchors, and consecutive windo
 one, so a run of windows travels as one short context. Anchors are counted first; contexts of an
 anchor that occurs once cannot match and stay where they are. The others are grouped in buckets of
 bounded size. In a bucket, batches of contexts arrive in document order. Each batch gets a suffix array
-(its windows, sorted), which is merge-scanned against the existing levels for windows that are known,
+(the places of its windows, sorted), which is merge-scanned against the existing levels for windows that are known,
 and becomes the newest level; levels of about equal size are merged, so there are logarithmically many.
+``extend`` does the same for batches of documents that arrive one after another, with levels kept as tables.
 
 Skew: equal contexts of one task travel once. An anchor with more than ``HOT`` occurrences (a passage
 that a large share of the documents hold) isn't put into a bucket; its windows are grouped one by one by
@@ -31,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import stash
+from millrace.plans.lineage import release, stash
 
 from . import bloom
 from . import textbytes as tb
-from .keys import attach, keyed
+from .keys import keyed, with_matches
 
 LENGTH, ANCHOR = 100, 32
 #: Occurrences of an anchor beyond which its windows are grouped one by one.
@@ -46,29 +47,52 @@ BATCH = 1024
 
 
 class SuffixLevels:
-    """Sorted arrays of windows, each at least twice as large as the next newer one."""
+    """Suffix arrays: bytes with the places of their windows in sorted order, each at least twice as long as the next newer one."""
 
     def __init__(self, length: int) -> None:
-        self.kind = f"S{length}"
-        self.levels: list[np.ndarray] = []
-
-    def add(self, windows: np.ndarray) -> np.ndarray:
-        """Which windows (rows of bytes, in document order) were known or occur earlier in this batch."""
-        keys = np.ascontiguousarray(windows).view(self.kind).ravel()
-        array, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        known = np.zeros(len(array), bool)
+        self.length = length
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def windows(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The windows at the places, as strings of bytes that compare whole."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, self.length)[places]).view(f"S{self.length}").ravel()
+
+    def add(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which of a batch's windows (places in document order) were known or occur earlier in the batch."""
+        keys = self.windows(data, places)
+        order = np.argsort(keys, kind="stable")
+        array = keys[order]
+        first = np.ones(len(array), bool)
+        first[1:] = array[1:] != array[:-1]
+        held = np.zeros(len(array), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            known |= level[at] == array
-        self._push(array[~known])
-        return known[place] | (first[place] != np.arange(len(keys)))
-
-    def _push(self, array: np.ndarray) -> None:
-        if len(array):
-            self.levels.append(array)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            newest = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate([self.levels[-1], newest]), kind="stable")
+            held |= merge_scan(self.windows(*level), array)
+        self._push(data, places[order[first & ~held]])
+        known = np.empty(len(array), bool)
+        known[order] = held | ~first
+        return known
+
+    def _push(self, data: np.ndarray, places: np.ndarray) -> None:
+        if len(places):
+            self.levels.append((data, places))
+        while len(self.levels) > 1 and len(self.levels[-2][1]) < 2 * len(self.levels[-1][1]):
+            (new, at), (old, there) = self.levels.pop(), self.levels.pop()
+            whole, both = np.concatenate([old, new]), np.concatenate([there, at + len(old)])
+            self.levels.append((whole, both[np.argsort(self.windows(whole, both), kind="stable")]))  # two sorted runs
+
+
+def merge_scan(level: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted array stand in the sorted level: both are merged, and an entry is known if the run of
+    its equals begins with one of the level."""
+    whole = np.concatenate([level, array])
+    order = np.argsort(whole, kind="stable")  # two sorted runs; equals of the level come first
+    merged = whole[order]
+    new = np.ones(len(merged), bool)
+    new[1:] = merged[1:] != merged[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(merged)), 0))
+    out = np.empty(len(whole), bool)
+    out[order] = order[start] < len(level)
+    return out[len(level) :]
 
 
 def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
@@ -187,8 +211,10 @@ def contexts(docs: DataFrame, repeated, hot, length: int = LENGTH) -> DataFrame:
 
 
 def match_bucket(bucket: pa.Table, length: int = LENGTH) -> pa.Table:
-    """The runs of windows of a bucket's contexts that occur earlier: (doc_id, text_hash, start, n)."""
-    bucket = bucket.sort_by([("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()
+    """The runs of windows of a bucket's contexts that occur earlier: (doc_id, text_hash, start, n). With a column
+    ``old``, those with it come first, and only the runs of the others are returned."""
+    old = "old" in bucket.column_names
+    bucket = bucket.sort_by([("old", "descending")] * old + [("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()
     ids, hashes, start, n = (bucket[c].to_numpy() for c in ("doc_id", "text_hash", "start", "n"))
     whole = bucket["context"].to_pylist()
     lead = bucket["lead"].to_pylist()
@@ -208,7 +234,7 @@ def match_bucket(bucket: pa.Table, length: int = LENGTH) -> pa.Table:
         count = n[part]
         base = np.concatenate([[0], np.cumsum(count + length - 1)[:-1]])
         at = tb.spread(base, count)
-        gone = family.add(np.lib.stride_tricks.sliding_window_view(data, length)[at])
+        gone = family.add(data, at)
         edge = np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))
         # Runs of matches, cut where the next context begins.
         first = np.concatenate([[0], np.cumsum(count)])
@@ -219,9 +245,43 @@ def match_bucket(bucket: pa.Table, length: int = LENGTH) -> pa.Table:
         owner = np.searchsorted(first, head, "right") - 1
         out.append(np.stack([part[owner], head - first[owner], tail - head], axis=1))
     k, shift, size = np.concatenate(out).astype(np.int64).T
+    if old:
+        new = ~bucket["old"].to_numpy(zero_copy_only=False)[k]
+        k, shift, size = k[new], shift[new], size[new]
     return pa.table({"doc_id": ids[k], "text_hash": hashes[k], "start": start[k] + shift, "n": size})
 
 
+def extend(levels: list[DataFrame], docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
+    """A new batch of documents against an index that earlier batches left: (runs, levels).
+
+    runs: (doc_id, text_hash, runs) of the batch's windows that stand in a level or earlier in the batch. levels: the index's
+    tables of contexts, the largest first, with the batch's as the newest; of two of about equal size one is made, so
+    that there are logarithmically many. Levels are tables in the shared folder that a later call, or a later
+    application that reads them again, goes on with. Older levels count as earlier, whatever the ids. In a bucket,
+    the levels' contexts come first, in document order, then the batch's, each block of them with a suffix array.
+    """
+    none = bloom.build(docs.sparkSession.range(0).select(F.col("id").alias("h")))
+    named = keyed(docs).filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "text_hash")
+    sent = stash(contexts(named, None, none, length), "contexts")
+    own = sent.filter(F.col("kind") == _CONTEXT).select("doc_id", "text_hash", "start", "n", "lead", "h", "context")
+    whole = own.withColumn("old", F.lit(False))
+    for level in levels:
+        whole = whole.unionByName(level.join(own.select("h").distinct(), "h", "left_semi").withColumn("old", F.lit(True)))
+    size = whole.agg(F.sum(F.length("context"))).first()[0] or 0
+    bucketed = whole.withColumn("bucket", F.pmod("h", F.lit(max(1, size // BUCKET_BYTES)))).drop("h")
+    matched = bucketed.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, length), _MATCH)
+    known = sent.filter(F.col("kind") == _KNOWN).select("doc_id", "text_hash", "start", "n")
+    runs = matched.unionAll(known).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = stash(runs, "runs")
+    levels = [*levels, stash(own, "level")]
+    while len(levels) > 1 and levels[-2].count() < 2 * levels[-1].count():
+        new, old = levels.pop(), levels.pop()
+        levels.append(stash(old.unionByName(new), "level"))
+        release(old)
+        release(new)
+    return runs, levels
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text_hash, runs): runs (start, n) of windows of keyed documents that also start earlier."""
     named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "text_hash")
@@ -257,34 +317,34 @@ DIGEST_TYPE = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def run(text: pa.Array, runs: pa.Array) -> pa.Array:
+    def run(text: pa.Array, runs: pa.Array, skip: pa.Array) -> pa.Array:
         out: tuple[list, ...] = ([], [], [], [])
-        for t, r in zip(text, runs, strict=True):
-            data = np.frombuffer(t.as_py().encode(), np.uint8)
+        for t, r, passed in zip(text, runs, skip.to_pylist(), strict=True):
+            data = np.frombuffer(b"" if passed else t.as_py().encode(), np.uint8)
             stay = _stay(len(data), r.as_py(), length)
             spans = int(np.count_nonzero(~stay[1:] & stay[:-1]) + (len(stay) > 0 and not stay[0]))
             values = (len(data), int(np.count_nonzero(~stay)), spans, hashlib.sha256(data[stay].tobytes()).hexdigest())
             for column, value in zip(out, values, strict=True):
                 column.append(value)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+        return pa.StructArray.from_arrays(columns, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], mask=pa.array(skip.to_numpy(zero_copy_only=False)))
 
     whole = keyed(docs)
-    found = attach(whole, repeats(whole, length), "left")
-    found = found.select("doc_id", F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", "runs").alias("d"))
-    return found.select("doc_id", "d.*")
+    work = lambda runs, skip: F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", runs, skip)
+    return with_matches(whole, repeats(whole, length), "runs", work).select("doc_id", "done.*")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text): the texts without the repeated bytes; characters that lose a byte go whole."""
 
-    def run(text: pa.Array, runs: pa.Array) -> pa.Array:
+    def run(text: pa.Array, runs: pa.Array, skip: pa.Array) -> pa.Array:
         out = []
-        for t, r in zip(text, runs, strict=True):
-            data = np.frombuffer(t.as_py().encode(), np.uint8)
+        for t, r, passed in zip(text, runs, skip.to_pylist(), strict=True):
+            data = np.frombuffer(b"" if passed else t.as_py().encode(), np.uint8)
             out.append(data[_stay(len(data), r.as_py(), length)].tobytes().decode(errors="ignore"))
-        return pa.array(out, pa.string())
+        return pa.StructArray.from_arrays([pa.array(out, pa.string())], ["text"], mask=pa.array(skip.to_numpy(zero_copy_only=False)))
 
     whole = keyed(docs)
-    found = attach(whole, repeats(whole, length), "left")
-    return found.select("doc_id", F.arrow_udf(run, "string").asNondeterministic()("text", "runs").alias("text"))
+    work = lambda runs, skip: F.arrow_udf(run, "struct<text: string>").asNondeterministic()("text", runs, skip)
+    return with_matches(whole, repeats(whole, length), "runs", work).select("doc_id", "done.text")
