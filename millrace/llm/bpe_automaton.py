@@ -8,16 +8,21 @@ merge (u, v) -> w is worked in, in order of priority, by a *merge gadget*:
 
 What it accepts in the end are exactly the token sequences that the merges produce, so a word's
 encoding is the one path whose labels spell the word. All arcs of one token lead to one state, and
-a copy differs from its original by one arc. So the compiled tables hold, for each token, the
-tokens it was merged from, when, and the arcs its state lost at which merge; whether a state has
-an arc follows from these in a few table steps, and is kept once it has been worked out.
+a copy differs from its original by one arc. So the compiled arcs are, for each token, the
+tokens it was merged from, when, and the arcs its state lost at which merge.
 
-Words are encoded by walking from their left, the longest arc first. Decoding emits the labels of
-the arcs, with one blank between them (the vocabulary's file has no decoder).
+To read bytes, the arcs are spelled by the bytes of their tokens in one *byte table*: its state is the
+longest end of what was read that begins an arc, and every byte is one move. At each byte exactly one of
+the arcs that end there comes from the path that led to where it starts, so one look at the compiled
+arcs names the last token of every beginning of the word. Nothing is taken back: the word's tokens
+are read off from its end. Moves that the spelling doesn't have are filled in when they are first made.
+
+Decoding emits the labels of the arcs, with one blank between them (the vocabulary's file has no decoder).
 
 Edge cases: a null or empty text has no tokens; the two control strings of the vocabulary are
-found in the raw text before anything else, as its library does; texts of any length are encoded
-whole. Rows may repeat and ids may be null.
+found in the raw text before anything else, as its library does; texts and words of any length are encoded
+whole, in time and memory in proportion to them. Rows may repeat and ids may be null. Letters and digits are
+those that Python's Unicode tables know, with the fixed values below (as measured with Python 3.13).
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -33,7 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-ENCODED_TYPE = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
+DIGEST_TYPE = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
+ENCODED_TYPE = "struct<ids: array<int>, decoded_sha256: string>"
+#: Bounds on what a worker keeps: moves that were filled in, pairs of tokens that were looked up, pieces of words, and runs of text without white space.
+MOST_MOVES, MOST_PAIRS, MOST_WORDS, MOST_CHUNKS = 1 << 18, 1 << 18, 1 << 16, 1 << 17
+#: Longer pieces and runs are not kept.
+LONG = 64
 
 
 def _byte_symbols() -> list[str]:
@@ -43,12 +54,44 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+# Letters and digits that the vocabulary's library knows and Python 3.13 does not (first and last code point).
+LATER = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D),
+    (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+# Small letters of capitals that Python 3.13 does not know.
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEW_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+@lru_cache(maxsize=1)
+def _unknown() -> str:
+    """A character class of the code points that ``regex`` takes for letters or digits and the vocabulary's library does not."""
+    import regex
+
+    told = regex.compile(r"[\p{L}\p{N}]")
+    later = {c for lo, hi in LATER for c in range(lo, hi + 1)}
+    none = "".join(x for x in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(x) == "Cn")
+    odd = [c for c in map(ord, told.findall(none)) if c not in later]
+    runs: list[list[int]] = []
+    for c in odd:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in runs)
+
+
 class Automaton:
     """The compiled tables of one vocabulary file.
 
     ``first[t]``, ``second[t]``, ``made[t]``: the parts of token t and the number of its merge (-1:
     base symbol). ``lost[u]``: the arcs that the state behind token u lost, with the merge at which
-    it was split for it; ``split[u]``: the first such merge.
+    it was split for it; ``split[u]``: the first such merge. ``spelling``, ``shorter``, ``ends``: the byte
+    table's moves, the state of the next shorter end, and the tokens that end at a state with their lengths, the longest first.
     """
 
     def __init__(self, vocabulary: dict) -> None:
@@ -58,35 +101,41 @@ class Automaton:
         self.labels |= {i: t for t, i in self.special.items()}
         self.end = model["end_of_word_suffix"] or ""
         self._compile(model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]])
-        self._trie(model["vocab"])
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self._spell(model["vocab"])
+        self.move = dict(self.spelling)
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, list[int]] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = vocabulary["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         import regex  # its \p{..} classes are what the pattern needs
 
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, f"[{kind}--[{_unknown()}]]") if _unknown() else pattern
+        self.pieces = regex.compile("(?V1)" + pattern)
         self.white = regex.compile(r"\p{White_Space}+")
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the pattern
 
     def _compile(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
         size = max(vocab.values()) + 1
         self.first, self.second, self.made = [-1] * size, [-1] * size, [-1] * size
-        self.lost: list[dict[int, int]] = [{} for _ in range(size)]
+        self.lost: dict[int, dict[int, int]] = {}
         self.split = [len(merges)] * size
+        self.never = len(merges) + 1
         for k, (one, two) in enumerate(merges):
             u, v, w = vocab[one], vocab[two], vocab[one + two]
             if self.has_arc(u, v):  # else no path reaches this merge
-                self.lost[u][v] = k
+                self.lost.setdefault(u, {})[v] = k
                 self.split[u] = min(self.split[u], k)
                 self.first[w], self.second[w], self.made[w] = u, v, k
 
     def has_arc(self, u: int, t: int) -> bool:
-        """Whether token t may follow token u."""
-        now = len(self.split) + len(self.lost)  # later than any merge
+        """Whether token t may follow token u: looked up in the compiled arcs."""
+        now = self.never  # later than any merge
         while True:
-            if self.lost[u].get(t, now + 1) <= now:
+            lost = self.lost.get(u)
+            if lost is not None and lost.get(t, now + 1) <= now:
                 return False
             if self.made[t] >= self.split[u]:
                 # It came to u's state after a split, beside its first part: look whether that was there then.
@@ -99,71 +148,92 @@ class Automaton:
             else:
                 return True  # the first state, that loops on everything
 
-    def _trie(self, vocab: dict[str, int]) -> None:
-        """Nested dictionaries over bytes; 256 more stands for a byte that ends a word, -1 leads to a token's id."""
+    def _spell(self, vocab: dict[str, int]) -> None:
+        """The byte table: state * 512 + symbol -> state. A symbol is a byte, 256 more for one that ends a word."""
         number = {x: b for b, x in enumerate(_byte_symbols())}
-        self.root: dict = {}
+        self.spelling: dict[int, int] = {}
+        self.length = [0] * len(self.first)
+        own: dict[int, int] = {}
+        states = 1
         for token, i in vocab.items():
             closed = bool(self.end) and token.endswith(self.end) and len(token) > len(self.end)
             symbols = [number[x] for x in (token[: -len(self.end)] if closed else token)]
             symbols[-1] += 256 * closed
-            node = self.root
+            state = 0
             for x in symbols:
-                node = node.setdefault(x, {})
-            node[-1] = i
-
-    def _arcs(self, symbols: list[int], i: int) -> list[tuple[int, int]]:
-        """(end, token) for all tokens spelled from place i on, the longest last."""
-        found, node = [], self.root
-        for j in range(i, len(symbols)):
-            node = node.get(symbols[j])
-            if node is None:
-                break
-            if -1 in node:
-                found.append((j + 1, node[-1]))
-        return found
+                state = self.spelling.setdefault(state << 9 | x, states)
+                states += state == states
+            own[state], self.length[i] = i, len(symbols)
+        self.shorter: list[int] = [0] * states
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * states
+        after: list[list[tuple[int, int]]] = [[] for _ in range(states)]
+        for key, to in self.spelling.items():
+            after[key >> 9].append((key & 511, to))
+        level = [0]
+        while level:  # by the length of what they spell
+            for state in level:
+                for x, to in after[state]:
+                    back = self._next(self.shorter[state], x, self.spelling) if state else 0
+                    self.shorter[to] = back
+                    self.ends[to] = ((own[to], self.length[own[to]]), *self.ends[back]) if to in own else self.ends[back]
+            level = [to for state in level for _, to in after[state]]
+
+    def _next(self, state: int, symbol: int, move: dict[int, int]) -> int:
+        """The state after one more symbol, from the moves that there are."""
+        while True:
+            to = move.get(state << 9 | symbol)
+            if to is not None:
+                return to
+            if not state:
+                return 0
+            state = self.shorter[state]
 
     def encode_word(self, word: str) -> list[int]:
-        """The ids of one piece of text: the automaton's path from its left to its end.
-
-        Only one path spells any prefix, so a place from which the end can't be reached needs
-        no second visit.
-        """
+        """The ids of one piece of text: a move for each of its bytes, then the tokens from its end."""
         symbols = list(word.encode())
         if self.end:
             symbols[-1] += 256
-        n, i, before = len(symbols), 0, -1
-        pairs = self.pairs
-        dead: set[int] = set()
-        path: list[tuple[int, int, list]] = []  # (place, token that led there, arcs left to try)
-        arcs = self._arcs(symbols, 0)
-        while True:
-            if arcs:
-                end, t = arcs.pop()
-                if end in dead:
-                    continue
-                if before >= 0:
-                    ok = pairs.get((before, t))
-                    if ok is None:
-                        ok = pairs[before, t] = self.has_arc(before, t)
-                    if not ok:
-                        continue
-                path.append((i, before, arcs))
-                i, before = end, t
-                if i == n:
-                    return [t for _, t, _ in path[1:]] + [before]
-                arcs = self._arcs(symbols, i)
-            else:
-                dead.add(i)
-                i, before, arcs = path.pop()
+        move, ends, length, pairs = self.move, self.ends, self.length, self.pairs
+        state, last = 0, [-1]  # last: the last token of each beginning of the word
+        for i, x in enumerate(symbols, 1):
+            key = state << 9 | x
+            to = move.get(key)
+            if to is None:
+                if len(move) >= len(self.spelling) + MOST_MOVES:
+                    self.move = move = dict(self.spelling)
+                to = move[key] = self._next(state, x, self.spelling)
+            state = to
+            for t, size in ends[state]:
+                pair = last[i - size] << 20 | t
+                ok = pairs.get(pair)
+                if ok is None:
+                    if len(pairs) >= MOST_PAIRS:
+                        pairs.clear()
+                    ok = pairs[pair] = i == size or self.has_arc(last[i - size], t)
+                if ok:
+                    break
+            last.append(t)
+        out, i = [], len(symbols)
+        while i > 0:
+            out.append(last[i])
+            i -= length[last[i]]
+        out.reverse()
+        return out
 
     def _chunk(self, chunk: str) -> list[int]:
         """The ids of a run of text without white space."""
+        text = normal(chunk)
+        if text.isascii() and text.isalpha():  # one piece
+            return self.encode_word(text)
         out: list[int] = []
-        for piece in self.pieces.findall(normal(chunk)):
+        for piece in self.pieces.findall(text):
             ids = self.words.get(piece)
             if ids is None:
-                ids = self.words[piece] = self.encode_word(piece)
+                ids = self.encode_word(piece)
+                if len(piece) <= LONG:
+                    if len(self.words) >= MOST_WORDS:
+                        self.words.clear()
+                    self.words[piece] = ids
             out += ids
         return out
 
@@ -179,11 +249,10 @@ class Automaton:
             for chunk in self.white.split(part) if self.odd.search(part) else part.split():
                 ids = known.get(chunk)
                 if ids is None:
-                    for store, most in ((known, 300_000), (self.words, 300_000), (self.pairs, 1_500_000)):
-                        if len(store) >= most:
-                            store.clear()
                     ids = self._chunk(chunk)
-                    if len(chunk) < 100:
+                    if len(chunk) <= LONG:
+                        if len(known) >= MOST_CHUNKS:
+                            known.clear()
                         known[chunk] = ids
                 out += ids
         return np.array(out, np.uint32)
@@ -195,7 +264,9 @@ class Automaton:
 
 def normal(text: str) -> str:
     """NFC, then lower case letter by letter (a final sigma is not treated apart)."""
-    text = unicodedata.normalize("NFC", text) if not text.isascii() else text
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        text = text.translate(SMALL) if _NEW_CAPITAL.search(text) else text
     return text.replace("Σ", "σ").lower()
 
 
@@ -220,14 +291,20 @@ def ids(text: Column, vocabulary) -> Column:
     return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
 
 
-def decoded(token_ids: Column, vocabulary) -> Column:
-    """The text that an array of ids decodes to."""
+def encoded(text: Column, vocabulary) -> Column:
+    """A struct of the token ids of each text and the SHA-256 of what they decode to, both from one pass."""
 
-    def run(rows: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> pa.Array:
         automaton = _compiled(vocabulary.value)
-        return pa.array([automaton.decode(np.array(r.as_py() or [], np.uint32)) for r in rows], pa.string())
+        parts, hashes = [np.zeros(0, np.int32)], []
+        for t in texts:
+            found = automaton.encode(t.as_py() or "")
+            parts.append(found.astype(np.int32))
+            hashes.append(hashlib.sha256(automaton.decode(found).encode()).hexdigest())
+        ends = pa.array(np.cumsum([len(p) for p in parts]), pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts))), pa.array(hashes, pa.string())], ["ids", "decoded_sha256"])
 
-    return F.arrow_udf(run, "string").asNondeterministic()(token_ids)
+    return F.arrow_udf(run, ENCODED_TYPE).asNondeterministic()(text)
 
 
 def digests(text: Column, vocabulary) -> Column:
@@ -247,4 +324,4 @@ def digests(text: Column, vocabulary) -> Column:
         columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
         return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return F.arrow_udf(run, ENCODED_TYPE).asNondeterministic()(text)
+    return F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()(text)

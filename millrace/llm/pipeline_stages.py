@@ -49,8 +49,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a digest of what they decode to."""
+    """Token ids of each document, with a digest of what they decode to, in place of the text."""
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
-    out = docs.select("doc_id", "lang", "source", bpe_automaton.ids(F.col("text"), vocabulary).alias("ids"))
-    text = bpe_automaton.decoded(F.col("ids"), vocabulary)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(text, 256).alias("decoded_sha256"))
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
+    out = docs.select(*rest, bpe_automaton.encoded(F.col("text"), vocabulary).alias("encoded__"))
+    return out.select(*rest, F.size("encoded__.ids").cast("bigint").alias("n_tokens"), "encoded__.ids", "encoded__.decoded_sha256")
