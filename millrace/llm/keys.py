@@ -12,8 +12,21 @@ from millrace.plans.lineage import stash
 from . import bloom
 
 
+#: Bytes of the batches that Spark hands to Python, and the setting that holds them. Its default, 64 MB, is in memory several times over.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``; from here on its session hands out smaller batches, unless it was told a size."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows
+
+
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text (null: empty) and text_hash, which together with doc_id names the document."""
+    docs = small_batches(docs)
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select("doc_id", whole.alias("text"), F.xxhash64(whole).alias("text_hash"))
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from millrace.plans.lineage import stash
 
 from . import textbytes as tb
+from .keys import small_batches
 
 BUCKETS = 1 << 16
 #: Languages whose tables are broadcast at a time (64 * 65536 * 4 bytes).
@@ -140,7 +141,7 @@ def _sums(pages: DataFrame, key: str, k: int) -> DataFrame:
 
 def identify(pages: DataFrame, labelled: DataFrame, smoothing: float = 5.0) -> DataFrame:
     """page_id, host, declared, text_lang, lang and its probability, for each row of ``pages``."""
-    blocks = fit(labelled)
+    blocks = fit(small_batches(labelled))
     langs = [x for names, _ in blocks for x in names]
     name = host(F.col("url"))
     read = pages.select("page_id", name.alias("host"), declared(F.col("html")).alias("declared"), plain_text(F.col("html")).alias("text"))

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from millrace.plans.lineage import stash
 
 from . import textbytes as tb
+from .keys import small_batches
 
 #: The largest filter that is broadcast.
 MOST_BYTES = 1 << 27
@@ -345,7 +346,7 @@ def held_out(doc_id: Column) -> Column:
 def scores(docs: DataFrame, most_bytes: int = MOST_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
+    texts = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     training = texts.filter("not held_out")
 
     counts = stash(word_counts(training), "counts")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.sources.tables import read_table
 
 from . import bpe_automaton, decontaminate, minhash_dedup, quality_rules, substring_dedup
+from .keys import small_batches
 from .queries import VOCABULARY
 
 
@@ -52,5 +53,5 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with a digest of what they decode to, in place of the text."""
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded_sha256")]
-    out = docs.select(*rest, bpe_automaton.encoded(F.col("text"), vocabulary).alias("encoded__"))
+    out = small_batches(docs).select(*rest, bpe_automaton.encoded(F.col("text"), vocabulary).alias("encoded__"))
     return out.select(*rest, F.size("encoded__.ids").cast("bigint").alias("n_tokens"), "encoded__.ids", "encoded__.decoded_sha256")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .keys import small_batches
 
 COUNTS = (
     "n_words",
@@ -219,7 +220,7 @@ def score(docs: DataFrame, text: str = "text", keep_at: float = 0.5, rules: dict
     The texts are read twice: once for the vote counts, once for the verdicts. A column of
     ``docs`` called quality is replaced.
     """
-    marked = docs.withColumn("quality", text_counts(F.col(text)))
+    marked = small_batches(docs).withColumn("quality", text_counts(F.col(text)))
     q = F.col("quality")
     odds = fit(marked, q, rules).log_odds(q, rules)
     return marked.withColumn(

@@ -20,6 +20,7 @@ from . import (
     substring_dedup,
     suffix_dedup,
 )
+from .keys import small_batches
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -94,7 +95,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"))
+    docs = small_batches(read_table(spark, sf_dir, "documents")).select("doc_id", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"))
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 

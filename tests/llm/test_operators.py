@@ -3,7 +3,9 @@
 import hashlib
 import json
 import random
+import sys
 import textwrap
+import unicodedata
 
 import brute
 import numpy as np
@@ -457,6 +459,16 @@ def test_bpe_against_library(both, text):
     assert automaton.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_combining_marks(both):
+    """Each mark before and after marks of low and high order, and random pairs of marks."""
+    marks = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    r = random.Random(11)
+    pairs = [x + y for m in marks for x, y in ((m, "\u0334"), ("\u0301", m), (m, "\u0301"))] + [r.choice(marks) + r.choice(marks) for _ in range(4000)]
+    texts = ["e" + p for p in pairs] + ["\U00011935\U00011930", "\U00011938\u0301"]
+    want = [e.ids for e in both[1].encode_batch(texts, add_special_tokens=False)]
+    assert [both[0].encode(t).tolist() for t in texts] == want
+
+
 def test_bpe_rows(spark, docs, empty, both):
     vocabulary = bpe_automaton.read_vocabulary(spark, VOCABULARY)
     out = docs.select("text", bpe_automaton.digests(F.col("text"), vocabulary).alias("d"), bpe_automaton.ids(F.col("text"), vocabulary).alias("i")).collect()
