@@ -19,11 +19,14 @@ from . import (
     quality_rules,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
 )
 from .keys import small_batches
 
 #: The vocabulary that op10 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The two vocabularies that op13 aligns.
+BYTE_BPE, PIECE_MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +102,11 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = token_alignment.read_vocabularies(spark, BYTE_BPE, PIECE_MODEL)
+    return token_alignment.digests(read_table(spark, sf_dir, "documents"), vocabularies)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_lm_scoring": op2_lm_scoring,
@@ -110,4 +118,5 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op13_token_alignment": op13_token_alignment,
 }

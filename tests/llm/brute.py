@@ -224,3 +224,49 @@ def model_scores(docs, steps, grid):
         told = [parts(a, b, 0) for a, b in zip([None, *t], t, strict=False)]
         out[k] = sum(math.log10(weight.get(q, 0.0) * pair + (1 - weight.get(q, 0.0)) * single) for q, pair, single in told)
     return out
+
+
+def alignments(docs, byte_bpe, piece_model):
+    """{row: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)} from whole texts, by the two libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer, decoders
+
+    a, b = Tokenizer.from_file(byte_bpe), sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    a.encode_special_tokens = True
+    symbols = {x: ord(x) for x in map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)])}
+    symbols |= {chr(256 + k): c for k, c in enumerate(c for c in range(256) if chr(c) not in symbols)}
+    assert decoders.ByteLevel().decode([chr(256 + 32)]) == " "
+    a_bytes = lambda i: bytes(symbols[x] for x in a.id_to_token(i))
+    b_bytes = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    found, held = {}, Counter()
+    for row, (_, text) in docs.items():
+        x, y = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        if not text or any(b"".join(map(f, z)) != (" " + text).encode() for f, z in ((a_bytes, x), (b_bytes, y))):
+            found[row] = ([], [], [], [])
+            continue
+        spans = []
+        for f, z in ((a_bytes, x), (b_bytes, y)):
+            at, own = 0, []
+            for i in z:
+                own.append((at, at + len(f(i)), i))
+                at += len(f(i))
+            spans.append(own)
+        links, j = [], 0
+        for lo, hi, i in spans[0]:
+            while spans[1][j][1] <= lo:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][0] < hi:
+                links.append((i, spans[1][k][2]))
+                k += 1
+        cuts = sorted({hi for _, hi, _ in spans[0]} & {hi for _, hi, _ in spans[1]})
+        said = ["|".join(",".join(str(i) for lo, hi, i in own if prior <= lo < cut) for own in spans) for prior, cut in zip([0, *cuts[:-1]], cuts, strict=True)]
+        found[row] = (x, y, said, links)
+        held.update(set(links))
+    best = {}
+    for (i, _), n in held.items():
+        best[i] = max(best.get(i, 0), n)
+    return {
+        row: (len(x), len(y), len(said), len(links), sum(held[p] == best[p[0]] for p in links), sum(held[p] for p in links), sha(";".join(said)) if said else "")
+        for row, (x, y, said, links) in found.items()
+    }
