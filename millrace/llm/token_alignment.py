@@ -46,7 +46,9 @@ from millrace.plans.lineage import stash
 from . import textbytes as tb
 from .keys import small_batches
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Parts that the libraries get at a time; what they return is large.
+_AT_ONCE = 4096
 #: A blank between two characters that no Unicode table takes for white space.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _BLANK = "▁"
@@ -83,7 +85,21 @@ class Tokenizers:
 
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of a blank and each part, by A and by B."""
-        return [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)], self.b.encode(parts, num_threads=1)
+        by_a, by_b = [], []
+        for few in (parts[i : i + _AT_ONCE] for i in range(0, len(parts), _AT_ONCE)):
+            by_a += [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in few], add_special_tokens=False)]
+            by_b += self.b.encode(few, num_threads=1)
+        return by_a, by_b
+
+    def spelled(self, parts: list[str], by_a: list[list[int]], by_b: list[list[int]]) -> np.ndarray:
+        """Whether the ids of both spell a blank and the part."""
+        spell = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        every = itertools.chain.from_iterable
+        want = "".join([f" {p}" for p in parts]).encode()
+        if spell(self.a_bytes, every(by_a)) == want and spell(self.b_bytes, every(by_b)) == want and not any(_BLANK in p for p in parts):
+            return np.ones(len(parts), bool)
+        each = zip(parts, by_a, by_b, strict=True)
+        return np.array([spell(self.a_bytes, x) == spell(self.b_bytes, y) == f" {p}".encode() for p, x, y in each], bool)
 
 
 @lru_cache(maxsize=2)
@@ -138,12 +154,9 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 def link(parts: list[str], t: Tokenizers) -> Links:
     """Encode each part and link its tokens."""
     by_a, by_b = t.encode(parts)
-    ok = np.zeros(len(parts), bool)
-    for i, (p, x, y) in enumerate(zip(parts, by_a, by_b, strict=True)):
-        want = f" {p}".encode()
-        ok[i] = b"".join([t.a_bytes[k] for k in x]) == want and b"".join([t.b_bytes[k] for k in y]) == want
-        if not ok[i]:
-            by_a[i], by_b[i] = [], []
+    ok = t.spelled(parts, by_a, by_b)
+    for i in np.flatnonzero(~ok).tolist():
+        by_a[i], by_b[i] = [], []
     (first_a, a), (first_b, b) = _flat(by_a), _flat(by_b)
     end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
     # Between two neighbouring ends lie bytes of exactly one A token and one B token: a link.
@@ -170,9 +183,8 @@ def group_strings(x: Links) -> list[str]:
         mark[:-1][group[:-1] != group[1:]] = ";"
         mark[-1] = ""
         mark[cut[1:][cut[1:] > 0] - 1] = ""
-    said = [f"{i}{m}" for i, m in zip(ids.tolist(), mark.tolist(), strict=True)]
-    bounds = cut.tolist()
-    return ["".join(said[lo:hi]) for lo, hi in itertools.pairwise(bounds)]
+    said = list(map(str.__add__, map(str, ids.tolist()), mark.tolist()))
+    return ["".join(said[lo:hi]) for lo, hi in itertools.pairwise(cut.tolist())]
 
 
 def _sums(values: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -188,8 +200,8 @@ _SLICE = (
 def _slice(ids: list, texts: list[str], t: Tokenizers) -> dict[str, list]:
     """One slice's row, but for its number."""
     said = [t.cut(x) if x else [] for x in texts]
-    number: dict[str, int] = {}
-    codes = np.fromiter((number.setdefault(p, len(number)) for p in itertools.chain.from_iterable(said)), np.int64)
+    number = dict(zip(dict.fromkeys(itertools.chain.from_iterable(said)), itertools.count(), strict=False))
+    codes = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(said)), np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in said])]).astype(np.int64)
     links = link(list(number), t)
     # A text with a part that is not given back has no tokens at all.
