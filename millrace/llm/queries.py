@@ -12,6 +12,7 @@ from . import (
     bpe_automaton,
     chat_format,
     decontaminate,
+    importance_resampling,
     language_id,
     license_scan,
     lm_scoring,
@@ -102,6 +103,11 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabularies = token_alignment.read_vocabularies(spark, BYTE_BPE, PIECE_MODEL)
     return token_alignment.digests(read_table(spark, sf_dir, "documents"), vocabularies)
@@ -118,5 +124,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op11_importance_resampling": op11_importance_resampling,
     "op13_token_alignment": op13_token_alignment,
 }

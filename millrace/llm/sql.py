@@ -74,9 +74,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN ni USING (doc_id)
 """
 
+_CRC = """list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT))"""
+_OP11 = f"""
+WITH tab AS (SELECT {_CRC} AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_ALNUM}) AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_ALNUM})) AS w FROM benchmark),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+bucket AS (SELECT w, xor(list_reduce(x, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b FROM bytes, tab),
+s AS (SELECT b, count(*) AS s FROM dw JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN bucket USING (w) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+gain AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (b), n),
+weight AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN bucket USING (w) JOIN gain USING (b) GROUP BY doc_id),
+h AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN weight USING (doc_id)),
+score AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS i, count(*) OVER () AS n FROM score WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, i AS rank FROM score LEFT JOIN (SELECT doc_id, i FROM able WHERE i <= 10 * n // 100) USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_minhash_dedup": _OP4,
     "op5_substring_dedup": _OP5,
     "op7_chat_format": _OP7,
     "op8_decontaminate": _OP8,
+    "op11_importance_resampling": _OP11,
 }

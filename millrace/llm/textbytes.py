@@ -74,21 +74,25 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each row the index of its first word (one more at the end)."""
-    inside = ~SPACE[data]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are ``inside``, none of them across rows, and for each row the index of its first run (one more at the end)."""
     before = np.zeros_like(inside)
     before[1:] = inside[:-1]
     after = np.zeros_like(inside)
     after[:-1] = inside[1:]
     cuts = offsets[1:-1]
-    before[cuts[cuts < len(data)]] = False
+    before[cuts[cuts < len(inside)]] = False
     after[cuts[cuts > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each row the index of its first word (one more at the end)."""
+    return spans(~SPACE[data], offsets)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they lie.
 

@@ -270,3 +270,25 @@ def alignments(docs, byte_bpe, piece_model):
         row: (len(x), len(y), len(said), len(links), sum(held[p] == best[p[0]] for p in links), sum(held[p] for p in links), sha(";".join(said)) if said else "")
         for row, (x, y, said, links) in found.items()
     }
+
+
+def resampled(docs, target, percent, most_run, buckets, least_words, seed):
+    """[(doc_id, n_words, n_features, weight, score, rank)] of (doc_id, text) rows; rows that tie in id and score in any order."""
+
+    def features(text):
+        w = ALNUM.findall((text or "").translate(LOW))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, most_run + 1) for i in range(len(w) - n + 1)]
+
+    held = [(i, *features(t)) for i, t in docs]
+    s, t = Counter(b for _, _, f in held for b in f), Counter(b for x in target for b in features(x)[1])
+    s_all, t_all = s.total(), t.total()
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets))))
+    rows = []
+    for i, n, f in held:
+        weight = sum(map(gain, f))
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in rows if r[1] >= least_words), key=lambda r: (-r[4], math.inf if r[0] is None else r[0]))
+    drawn = able[: percent * len(able) // 100]
+    rest = Counter(rows) - Counter(drawn)
+    return [(*r, k) for k, r in enumerate(drawn, 1)] + [(*r, None) for r in rest.elements()]
