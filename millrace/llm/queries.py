@@ -18,6 +18,7 @@ from . import (
     lm_scoring,
     minhash_dedup,
     quality_rules,
+    sharding,
     substring_dedup,
     suffix_dedup,
     token_alignment,
@@ -108,6 +109,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read_table(spark, sf_dir, "documents"), 40)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabularies = token_alignment.read_vocabularies(spark, BYTE_BPE, PIECE_MODEL)
     return token_alignment.digests(read_table(spark, sf_dir, "documents"), vocabularies)
@@ -125,5 +130,6 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_bpe_automaton": op10_bpe_automaton,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_sharding": op12_sharding,
     "op13_token_alignment": op13_token_alignment,
 }
