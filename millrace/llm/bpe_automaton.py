@@ -11,11 +11,12 @@ encoding is the one path whose labels spell the word. All arcs of one token lead
 a copy differs from its original by one arc. So the compiled arcs are, for each token, the
 tokens it was merged from, when, and the arcs its state lost at which merge.
 
-To read bytes, the arcs are spelled by the bytes of their tokens in one *byte table*: its state is the
-longest end of what was read that begins an arc, and every byte is one move. At each byte exactly one of
-the arcs that end there comes from the path that led to where it starts, so one look at the compiled
-arcs names the last token of every beginning of the word. Nothing is taken back: the word's tokens
-are read off from its end. Moves that the spelling doesn't have are filled in when they are first made.
+To read bytes, the arcs are spelled by the bytes of their tokens, which makes the automaton deterministic over
+bytes: a state is the longest end of what was read that begins an arc, with the last tokens of the
+beginnings that an arc may still start from. Every byte is one look into the table of moves. A move that is not in the
+table yet is worked out when it is first made: of the arcs that end at this byte exactly one comes from the path
+that led to where it starts, and its token is the new state's last one. Nothing is taken back: the word's tokens
+are read off from its end. Table and stores have bounds, and are emptied when a task ends.
 
 Decoding emits the labels of the arcs, with one blank between them (the vocabulary's file has no decoder).
 
@@ -32,6 +33,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +43,8 @@ from pyspark.sql import functions as F
 
 DIGEST_TYPE = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
 ENCODED_TYPE = "struct<ids: array<int>, decoded_sha256: string>"
-#: Bounds on what a worker keeps: moves that were filled in, pairs of tokens that were looked up, pieces of words, and runs of text without white space.
-MOST_MOVES, MOST_PAIRS, MOST_WORDS, MOST_CHUNKS = 1 << 18, 1 << 18, 1 << 16, 1 << 17
+#: Bounds on what a worker keeps: states of the table over bytes, pieces of words, and (twice as many) runs of text without white space.
+MOST_STATES, MOST_WORDS, MOST_CHUNKS = 1 << 18, 1 << 16, 1 << 17
 #: Longer pieces and runs are not kept.
 LONG = 64
 
@@ -101,8 +103,9 @@ class Automaton:
 
     ``first[t]``, ``second[t]``, ``made[t]``: the parts of token t and the number of its merge (-1:
     base symbol). ``lost[u]``: the arcs that the state behind token u lost, with the merge at which
-    it was split for it; ``split[u]``: the first such merge. ``spelling``, ``shorter``, ``ends``: the byte
-    table's moves, the state of the next shorter end, and the tokens that end at a state with their lengths, the longest first.
+    it was split for it; ``split[u]``: the first such merge. ``spelling``, ``shorter``, ``depth``, ``ends``: the moves of the tokens'
+    spelling, the state of the next shorter end, how many bytes lead to a state, and the tokens that end at it with their lengths, the
+    longest first. ``move``, ``states``, ``last``: the table over bytes, what its states stand for, and the token that ends at each.
     """
 
     def __init__(self, vocabulary: dict) -> None:
@@ -113,10 +116,7 @@ class Automaton:
         self.end = model["end_of_word_suffix"] or ""
         self._compile(model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]])
         self._spell(model["vocab"])
-        self.move = dict(self.spelling)
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.forget()
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = vocabulary["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         import regex  # its \p{..} classes are what the pattern needs
@@ -165,6 +165,7 @@ class Automaton:
         self.spelling: dict[int, int] = {}
         self.length = [0] * len(self.first)
         own: dict[int, int] = {}
+        self.depth = [0]
         states = 1
         for token, i in vocab.items():
             closed = bool(self.end) and token.endswith(self.end) and len(token) > len(self.end)
@@ -172,8 +173,11 @@ class Automaton:
             symbols[-1] += 256 * closed
             state = 0
             for x in symbols:
+                deeper = self.depth[state] + 1
                 state = self.spelling.setdefault(state << 9 | x, states)
-                states += state == states
+                if state == states:
+                    states += 1
+                    self.depth.append(deeper)
             own[state], self.length[i] = i, len(symbols)
         self.shorter: list[int] = [0] * states
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * states
@@ -184,50 +188,72 @@ class Automaton:
         while level:  # by the length of what they spell
             for state in level:
                 for x, to in after[state]:
-                    back = self._next(self.shorter[state], x, self.spelling) if state else 0
+                    back = self._next(self.shorter[state], x) if state else 0
                     self.shorter[to] = back
                     self.ends[to] = ((own[to], self.length[own[to]]), *self.ends[back]) if to in own else self.ends[back]
             level = [to for state in level for _, to in after[state]]
 
-    def _next(self, state: int, symbol: int, move: dict[int, int]) -> int:
-        """The state after one more symbol, from the moves that there are."""
+    def _next(self, state: int, symbol: int) -> int:
+        """The spelling's state after one more symbol."""
         while True:
-            to = move.get(state << 9 | symbol)
+            to = self.spelling.get(state << 9 | symbol)
             if to is not None:
                 return to
             if not state:
                 return 0
             state = self.shorter[state]
 
+    def forget(self) -> None:
+        """Empty the stores of runs and pieces, and go back to the first state alone."""
+        self.chunks: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        """Back to the first state alone."""
+        self.move: dict[int, int] = {}
+        self.number: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
+        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
+        self.last: list[int] = [-1]
+
+    def _fill(self, state: int, symbol: int) -> int:
+        """Work out one move: spell on, and see which of the arcs that end here comes from the path that led to where it starts."""
+        spelled, lasts = self.states[state]
+        spelled = self._next(spelled, symbol)
+        for t, size in self.ends[spelled]:
+            before = lasts[-size]
+            if before < 0 or self.has_arc(before, t):
+                break
+        # An arc that ends later begins where the longest beginning of an arc begins, at the earliest.
+        reached = spelled, (*lasts, t)[-1 - self.depth[spelled] :]
+        to = self.number.get(reached)
+        if to is None:
+            to = self.number[reached] = len(self.states)
+            self.states.append(reached)
+            self.last.append(t)
+        self.move[state << 9 | symbol] = to
+        return to
+
     def encode_word(self, word: str) -> list[int]:
-        """The ids of one piece of text: a move for each of its bytes, then the tokens from its end."""
+        """The ids of one piece of text: one look into the table of moves for each of its bytes, then the tokens from its end."""
         symbols = list(word.encode())
         if self.end:
             symbols[-1] += 256
-        move, ends, length, pairs = self.move, self.ends, self.length, self.pairs
-        state, last = 0, [-1]  # last: the last token of each beginning of the word
-        for i, x in enumerate(symbols, 1):
-            key = state << 9 | x
-            to = move.get(key)
-            if to is None:
-                if len(move) >= len(self.spelling) + MOST_MOVES:
-                    self.move = move = dict(self.spelling)
-                to = move[key] = self._next(state, x, self.spelling)
-            state = to
-            for t, size in ends[state]:
-                pair = last[i - size] << 20 | t
-                ok = pairs.get(pair)
-                if ok is None:
-                    if len(pairs) >= MOST_PAIRS:
-                        pairs.clear()
-                    ok = pairs[pair] = i == size or self.has_arc(last[i - size], t)
-                if ok:
-                    break
-            last.append(t)
-        out, i = [], len(symbols)
+        if len(self.states) >= MOST_STATES:
+            self._restart()
+        move, last = self.move, self.last
+        state, path = 0, []
+        for x in symbols:
+            to = move.get(state << 9 | x)
+            state = self._fill(state, x) if to is None else to
+            path.append(last[state])
+        length = self.length
+        out, i = [], len(path)
         while i > 0:
-            out.append(last[i])
-            i -= length[last[i]]
+            t = path[i - 1]
+            out.append(t)
+            i -= length[t]
         out.reverse()
         return out
 
@@ -250,9 +276,9 @@ class Automaton:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text. Pieces never cross white space, so each distinct run of other
-        characters is worked out once; the stores of runs and words are emptied when they are full."""
+        characters is worked out once, as long as the stores of runs, pieces and moves have room."""
         out: list[int] = []
-        known = self.chunks
+        known, older = self.chunks, self.older
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
                 out.append(self.special[part])
@@ -260,10 +286,13 @@ class Automaton:
             for chunk in self.white.split(part) if self.odd.search(part) else part.split():
                 ids = known.get(chunk)
                 if ids is None:
-                    ids = self._chunk(chunk)
+                    ids = older.get(chunk)
+                    if ids is None:
+                        ids = self._chunk(chunk)
                     if len(chunk) <= LONG:
-                        if len(known) >= MOST_CHUNKS:
-                            known.clear()
+                        if len(known) >= MOST_CHUNKS:  # what was asked for since then is kept, the rest goes the next time
+                            older, known = known, {}
+                            self.chunks, self.older = known, older
                         known[chunk] = ids
                 out += ids
         return np.array(out, np.uint32)
@@ -293,21 +322,33 @@ def read_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _mapped(text: Column, vocabulary, kind: str, work: Callable[[Automaton, pa.Array], pa.Array]) -> Column:
+    """``work`` on each batch of texts; the stores are emptied behind a task's last batch, as its worker goes on to other work."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = _compiled(vocabulary.value)
+        try:
+            for texts in batches:
+                yield work(automaton, texts)
+        finally:
+            automaton.forget()
+
+    return F.arrow_udf(run, kind).asNondeterministic()(text)
+
+
 def ids(text: Column, vocabulary) -> Column:
     """The token ids of each text as an array."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        automaton = _compiled(vocabulary.value)
+    def work(automaton: Automaton, texts: pa.Array) -> pa.Array:
         return pa.array([automaton.encode(t.as_py() or "").astype(np.int32) for t in texts], pa.list_(pa.int32()))
 
-    return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
+    return _mapped(text, vocabulary, "array<int>", work)
 
 
 def encoded(text: Column, vocabulary) -> Column:
     """A struct of the token ids of each text and the SHA-256 of what they decode to, both from one pass."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        automaton = _compiled(vocabulary.value)
+    def work(automaton: Automaton, texts: pa.Array) -> pa.Array:
         parts, hashes = [np.zeros(0, np.int32)], []
         for t in texts:
             found = automaton.encode(t.as_py() or "")
@@ -316,7 +357,7 @@ def encoded(text: Column, vocabulary) -> Column:
         ends = pa.array(np.cumsum([len(p) for p in parts]), pa.int32())
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts))), pa.array(hashes, pa.string())], ["ids", "decoded_sha256"])
 
-    return F.arrow_udf(run, ENCODED_TYPE).asNondeterministic()(text)
+    return _mapped(text, vocabulary, ENCODED_TYPE, work)
 
 
 def digests(text: Column, vocabulary) -> Column:
@@ -325,8 +366,7 @@ def digests(text: Column, vocabulary) -> Column:
     Made row by row, so that at most one document's ids are in memory beside the batch of texts.
     """
 
-    def run(texts: pa.Array) -> pa.Array:
-        automaton = _compiled(vocabulary.value)
+    def work(automaton: Automaton, texts: pa.Array) -> pa.Array:
         counts, hashes, backs = [], [], []
         for t in texts:
             found = automaton.encode(t.as_py() or "")
@@ -336,4 +376,4 @@ def digests(text: Column, vocabulary) -> Column:
         columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
         return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()(text)
+    return _mapped(text, vocabulary, DIGEST_TYPE, work)

@@ -486,12 +486,15 @@ def test_bpe_long_pieces(both):
 
 
 def test_bpe_stores_are_bounded(both, monkeypatch):
-    monkeypatch.setattr(bpe_automaton, "MOST_MOVES", 5)
-    monkeypatch.setattr(bpe_automaton, "MOST_PAIRS", 5)
+    for name in ("MOST_STATES", "MOST_WORDS", "MOST_CHUNKS"):
+        monkeypatch.setattr(bpe_automaton, name, 5)
+    both[0].forget()
     r = random.Random(8)
     text = " ".join("".join(r.choice("abcdeghinorst") for _ in range(r.randint(1, 12))) for _ in range(300))
     assert both[0].encode(text).tolist() == both[1].encode(text, add_special_tokens=False).ids
-    assert len(both[0].move) <= len(both[0].spelling) + 5
+    assert len(both[0].states) <= 5 + 12 and len(both[0].chunks) <= 5 and len(both[0].older) <= 5 and len(both[0].words) <= 5
+    both[0].forget()
+    assert len(both[0].states) == 1 and not (both[0].move or both[0].chunks or both[0].older or both[0].words)
 
 
 def test_control_strings(both):
