@@ -1,7 +1,8 @@
 """Exact vector analytics: neighbours, near-duplicate pairs, precision/recall/density/coverage, dimension, diversity.
 
-Distances are exact. Both sides are cut into blocks of bounded size and pairs of blocks are multiplied
-in tasks of their own; only the best k of each row (or the pairs beyond a threshold) leave a task.
+Distances are exact. Both sides are cut into blocks of bounded size and pairs of blocks are worked on
+in tasks of their own; only the best k of each row (or the pairs beyond a threshold) leave a task. A search for neighbours
+leaves out the pairs of blocks that the triangle inequality rules out.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block: 2**11 vectors of 64 doubles are 1 MB.
-BLOCK = 1 << 11
-#: Rows of a block whose distances to another block are worked out at a time.
-CHUNK = 16
+from millrace.plans.lineage import stash
+
+#: Vectors in a block, and the bytes that a block's doubles and a step's differences may take, however wide the vectors are.
+BLOCK, BLOCK_BYTES, STEP_BYTES = 1 << 11, 1 << 25, 1 << 24
+#: Pivots for pruning: at most so many, and so many bytes of them.
+PIVOTS, PIVOT_BYTES = 1 << 10, 1 << 23
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -22,6 +25,17 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
 
 
+def _steps(x: np.ndarray, y: np.ndarray):
+    """(first row, distances to y) of as many rows of x at a time as STEP_BYTES allows."""
+    rows = max(1, STEP_BYTES // max(1, 8 * y.size))
+    for lo in range(0, len(x), rows):
+        yield lo, distances(x[lo : lo + rows], y)
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors).astype(float)
+
+
 def unit(vector: Column) -> Column:
     """Centred and scaled to length one, as doubles."""
     v = F.transform(vector, lambda x: x.cast("double"))
@@ -42,34 +56,142 @@ def _crossed(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.withColumn("rb", F.col("rb").cast("bigint")), b.withColumn("lb", F.col("lb").cast("bigint"))
 
 
-def neighbours(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: bool = False) -> DataFrame:
-    """(q_id, c_id, dist, rank): the k nearest rows of the corpus by Euclidean distance (ties by id), the query
-    itself left out; with exclude_group, rows of its own group too. Both sides are (id, vec, grp)."""
-    left = queries.select(F.col("id").alias("l_id"), F.col("vec").alias("lv"), F.col("grp").alias("lg"))
-    right = corpus.select(F.col("id").alias("r_id"), F.col("vec").alias("rv"), F.col("grp").alias("rg"))
-    a, b = _crossed(left, right)
+def _best(k: int, group: str):
+    """For a pair of blocks: each query's k nearest rows (ties by id)."""
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"q_id": [], "c_id": [], "dist": []})]
         if len(q) and len(c):
-            x, y = np.stack(q["lv"]).astype(float), np.stack(c["rv"]).astype(float)
-            mine, theirs = q["l_id"].to_numpy(), c["r_id"].to_numpy()
+            x, y = _stacked(q["vec"]), _stacked(c["vec"])
+            mine, theirs = q["id"].to_numpy(), c["id"].to_numpy()
             order = np.argsort(theirs, kind="stable")
-            y, theirs, groups = y[order], theirs[order], c["rg"].to_numpy()[order]
-            for lo in range(0, len(x), CHUNK):
-                d = distances(x[lo : lo + CHUNK], y)
-                d[mine[lo : lo + CHUNK, None] == theirs] = np.inf
-                if exclude_group:
-                    d[q["lg"].to_numpy()[lo : lo + CHUNK, None] == groups] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by id
+            y, theirs, groups = y[order], theirs[order], c["grp"].to_numpy()[order]
+            for lo, d in _steps(x, y):
+                d[mine[lo : lo + len(d), None] == theirs] = np.inf
+                if group != "any":
+                    same = q["grp"].to_numpy()[lo : lo + len(d), None] == groups
+                    d[same if group == "other" else ~same] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
                 i, j = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
                 ok = np.isfinite(d[i, j])
                 out.append(pd.DataFrame({"q_id": mine[lo + i[ok]], "c_id": theirs[j[ok]], "dist": d[i, j][ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "c_id": [], "dist": []})
-
-    near = a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInPandas(best, "q_id bigint, c_id bigint, dist double")
+        return pd.concat(out)
+
+    return best
+
+
+class _Cells:
+    """Vectors dealt to the nearest of some pivots: the cells' radii bound what lies in them from below, without looking at it."""
+
+    def __init__(self, corpus: DataFrame, n: int, width: int) -> None:
+        self.rows = max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
+        wanted = 1 if n <= self.rows else min(PIVOTS, max(1, PIVOT_BYTES // (8 * width)), 4 * -(-n // self.rows))
+        picked = corpus.orderBy(F.xxhash64("id"), "id").select("vec").limit(wanted).toPandas()  # at most PIVOT_BYTES, or one row
+        self.pivots = np.unique(_stacked(picked["vec"]), axis=0) if len(picked) else np.zeros((1, width))
+        stats = self.dealt(corpus).groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).toPandas()  # a row for each pivot
+        count = len(self.pivots)
+        self.n, self.lo, self.hi = np.zeros(count, np.int64), np.full(count, np.inf), np.full(count, -np.inf)
+        self.n[stats["cell"]], self.lo[stats["cell"]], self.hi[stats["cell"]] = stats["n"], stats["lo"], stats["hi"]
+        self.parts = np.maximum(1, -(-self.n // self.rows))
+
+    def around(self, x: np.ndarray) -> np.ndarray:
+        """Distances to the pivots."""
+        return np.concatenate([d for _, d in _steps(x, self.pivots)]) if len(x) else np.zeros((0, len(self.pivots)))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the cell and the distance r to its pivot."""
+        if len(self.pivots) == 1:  # nothing to prune
+            return rows.withColumn("cell", F.lit(0)).withColumn("r", F.lit(0.0))
+        around = self.around
+
+        def deal(parts):
+            for p in parts:
+                d = around(_stacked(p["vec"])) if len(p) else np.zeros((0, 1))
+                yield p.assign(cell=d.argmin(axis=1).astype("int32"), r=d.min(axis=1) if len(p) else [])
+
+        return rows.mapInPandas(deal, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, cell int, r double")
+
+    def home(self, k: int) -> list[np.ndarray]:
+        """For each cell the nearest cells that hold more than k rows together, itself first."""
+        order = np.argsort(self.around(self.pivots), axis=1, kind="stable")
+        return [row[: int(np.searchsorted(np.cumsum(self.n[row]), k + 1)) + 1] for row in order]
+
+    def needed(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """(rows, cells): where a row of x may have something within ``reach``, by the triangle inequality; the slack covers rounding."""
+        d = self.around(x)
+        slack = 1e-9 * (1 + d + np.abs(self.hi[np.isfinite(self.hi)]).max(initial=0))
+        with np.errstate(invalid="ignore"):
+            return (np.maximum(d - self.hi, self.lo - d) <= reach[:, None] + slack) & (self.n > 0)
+
+
+def _searched(queries: DataFrame, corpus: DataFrame, k: int, group: str) -> tuple[DataFrame, DataFrame]:
+    """(neighbours, visited pairs of a block of queries and a block of the corpus)."""
+    spark = corpus.sparkSession
+    named = [rows.select(*(F.col(c).alias(c) for c in ("id", "vec", "grp"))) for rows in (queries, corpus)]  # told apart even if they are one table
+    first = named[1].select(F.size("vec").alias("w")).first()
+    n = named[1].count()
+    cells = _Cells(named[1], n, max(1, first["w"] if first else 1))
+    asked = cells.dealt(named[0])
+    parts = F.array(*map(F.lit, cells.parts.tolist()))
+    held = cells.dealt(named[1]).withColumn("c_block", F.pmod(F.xxhash64("id"), F.get(parts, "cell")))
+    counted = np.zeros(len(cells.pivots), np.int64)
+    for r in asked.groupBy("cell").count().collect():  # a row for each pivot
+        counted[r["cell"]] = r["count"]
+    blocks = np.maximum(1, -(-counted // cells.rows))
+    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.get(F.array(*map(F.lit, blocks.tolist())), "cell"))).withColumnRenamed("cell", "q_cell")
+
+    def paired(pairs: DataFrame) -> DataFrame:
+        """(q_cell, q_block, cell, c_block) from (q_cell, q_block, cell)."""
+        return pairs.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.get(parts, "cell") - 1).cast("bigint"))))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        key = ["q_cell", "q_block", "cell", "c_block"]
+        a = asked.join(pairs, ["q_cell", "q_block"]).groupBy(*key)
+        b = held.join(pairs, ["cell", "c_block"]).groupBy(*key)
+        return a.cogroup(b).applyInPandas(_best(k, group), "q_id bigint, c_id bigint, dist double")
+
+    home = [(c, b, int(x)) for c, cs in enumerate(cells.home(k)) if counted[c] for b in range(int(blocks[c])) for x in cs]
+    pairs = paired(spark.createDataFrame(home, "q_cell int, q_block bigint, cell int"))
     order = Window.partitionBy("q_id").orderBy("dist", "c_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if all(len(cs) >= np.count_nonzero(cells.n) for c, cs in enumerate(cells.home(k)) if counted[c]):
+        return top(near(pairs)), pairs
+    found = stash(top(near(pairs)).drop("rank"), "near")
+    reach = found.groupBy("q_id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("reach"))
+    seen = [set(cs.tolist()) for cs in cells.home(k)]
+    needed = cells.needed
+
+    def open_cells(parts):
+        for p in parts:
+            if len(p):
+                may = needed(_stacked(p["vec"]), p["reach"].fillna(np.inf).to_numpy(float))
+                i, cell = np.nonzero(may)
+                out = pd.DataFrame({"q_cell": p["q_cell"].to_numpy()[i], "q_block": p["q_block"].to_numpy()[i], "cell": cell}).drop_duplicates()
+                yield out[[c not in seen[q] for q, c in zip(out["q_cell"], out["cell"], strict=True)]]
+
+    told = asked.join(reach, asked["id"] == reach["q_id"], "left").drop("q_id")
+    more = stash(told.mapInPandas(open_cells, "q_cell int, q_block bigint, cell int").distinct(), "open")
+    return top(found.unionByName(near(paired(more)))), pairs.unionByName(paired(more))
+
+
+def neighbours(queries: DataFrame, corpus: DataFrame, k: int, group: str = "any") -> DataFrame:
+    """(q_id, c_id, dist, rank): the k nearest rows of the corpus by Euclidean distance (ties by id), the query
+    itself left out; with group "other" or "own", only rows of other groups or of its own. Both sides are (id, vec, grp).
+
+    Exact. The corpus is dealt to cells around pivots. Each block of queries first meets the cells around its own, which bounds
+    each query's reach; after that it meets only the cells that the triangle inequality leaves within the reach of one of its
+    queries, all of them where a query has found fewer than k.
+    """
+    return _searched(queries, corpus, k, group)[0]
+
+
+def visited(queries: DataFrame, corpus: DataFrame, k: int, group: str = "any") -> DataFrame:
+    """(visited, blocks): how many pairs of blocks ``neighbours`` works on, and how many there would be without pruning."""
+    pairs = _searched(queries, corpus, k, group)[1]
+    each = pairs.agg(F.count("*").alias("visited"), F.count_distinct("q_cell", "q_block").alias("q"))
+    width = max(1, (corpus.select(F.size("vec").alias("w")).first() or {"w": 1})["w"])
+    cells = _Cells(corpus.select("id", "vec", "grp"), corpus.count(), width)
+    return each.select("visited", (F.col("q") * int(cells.parts[cells.n > 0].sum())).alias("blocks"))
 
 
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -112,8 +234,8 @@ def prdc(real: DataFrame, fake: DataFrame, k: int) -> DataFrame:
         def inside(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
                 return pd.DataFrame({"kind": [], "id": [], "n": []})
-            u, v, r = np.stack(x["lv"]).astype(float), np.stack(y["rv"]).astype(float), y["radius"].to_numpy()
-            held = [distances(u[lo : lo + CHUNK], v) < r for lo in range(0, len(u), CHUNK)]
+            u, v, r = _stacked(x["lv"]), _stacked(y["rv"]), y["radius"].to_numpy()
+            held = [d < r for _, d in _steps(u, v)]
             points, balls = np.concatenate([h.sum(axis=1) for h in held]), sum(h.sum(axis=0) for h in held)
             out = pd.DataFrame({"kind": ["p"] * len(u) + ["b"] * len(v), "id": np.concatenate([x["l_id"], y["r_id"]]), "n": np.concatenate([points, balls])})
             return out[out["n"] > 0]

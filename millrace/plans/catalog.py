@@ -214,7 +214,7 @@ def knn(spark, d):
 
 def knn_other_group(spark, d):
     v = _vectors(spark, d)
-    return _rounded(vectors.neighbours(v.filter("id % 100 = 0"), v, 1, exclude_group=True))
+    return _rounded(vectors.neighbours(v.filter("id % 100 = 0"), v, 1, group="other"))
 
 
 def _with_copies(spark, d):

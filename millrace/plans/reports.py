@@ -539,12 +539,8 @@ def seed_distances(spark, d):
     """Distances to the nearest of the own and of another group, with quartiles. Queries: ids divisible by ten."""
     v = _vectors(spark, d)
     q = v.filter("id % 10 = 0")
-    other = vectors.neighbours(q, v, 1, exclude_group=True).select("q_id", F.col("dist").alias("o"))
-    own = [vectors.neighbours(q.filter(F.col("grp") == g), v.filter(F.col("grp") == g), 1) for g in range(10)]  # the table's ten groups
-    mine = own[0]
-    for x in own[1:]:
-        mine = mine.unionByName(x)
-    mine = mine.select("q_id", F.col("dist").alias("m"))
+    other = vectors.neighbours(q, v, 1, group="other").select("q_id", F.col("dist").alias("o"))
+    mine = vectors.neighbours(q, v, 1, group="own").select("q_id", F.col("dist").alias("m"))
     mid = ranking.quantiles(mine, [], F.col("m"), {"own_mid": 0.5})
     quarter = ranking.quantiles(other, [], F.col("o"), {"other_mid": 0.5, "other_low": 0.25, "other_high": 0.75})
     nearer = mine.join(other, "q_id").agg(F.count_if(F.col("m") < F.col("o")).alias("n_own_nearer"))
