@@ -9,7 +9,8 @@ Spread over the cluster:
 
 1. ``slices``: runs of documents with about ``SLICE_BYTES`` of text are encoded in their tasks. Both tokenizers
    begin anew at a single blank between two characters that are no white space (checked for the vocabulary in
-   hand), so a slice's distinct parts between such blanks are encoded and linked once. A slice is kept as one
+   hand), so the distinct parts between such blanks are encoded and linked once a slice, and those met
+   twice once for the slices of a task, as far as there is room. A slice is kept as one
    row: its table of distinct id pairs with the number of documents that hold each, and for each document the
    table's entries it holds, and how often.
 2. ``pair_counts``: the slices' numbers are added up by pair; an A id's best pair is found among at most as
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,12 +48,15 @@ from millrace.plans.lineage import stash
 from . import textbytes as tb
 from .keys import small_batches
 
-SLICE_BYTES = 2 << 20
-#: Parts that the libraries get at a time; what they return is large.
-_AT_ONCE = 4096
+SLICE_BYTES = 1 << 20
+#: Linked parts that a worker keeps for the slices that follow.
+MOST_PARTS = 1 << 17
+#: Parts that the libraries get at a time, as one text where that falls into them again.
+_AT_ONCE = 256
 #: A blank between two characters that no Unicode table takes for white space.
-_CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_CUT = re.compile(r" (?<=[!-~\w] )(?=[!-~\w])")
 _BLANK = "▁"
+MARKS = (",", "|", ";", "")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -59,6 +64,7 @@ class Tokenizers:
     """The two libraries with the bytes of every id."""
 
     def __init__(self, byte_bpe: str, piece_model: bytes) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -76,6 +82,9 @@ class Tokenizers:
         found = [_BYTE_PIECE.fullmatch(p) for p in pieces]
         self.b_bytes = [bytes([int(m[1], 16)]) if m else p.replace(_BLANK, " ").encode() for p, m in zip(pieces, found, strict=True)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        #: Ids as text with the mark that may follow, one list of all ids for each mark.
+        self.most = max(len(self.a_bytes), len(pieces))
+        self.said = [f"{i}{m}" for m in MARKS for i in range(self.most)]
         #: Whether no piece goes on behind a blank that follows something else.
         self.parts = not any(_BLANK in p.lstrip(_BLANK) for p in pieces)
 
@@ -83,23 +92,43 @@ class Tokenizers:
         """Parts of ``text`` that can be encoded on their own; the blanks between them are left out, as each part gets one."""
         return _CUT.split(text) if self.parts else [text]
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of a blank and each part, by A and by B."""
-        by_a, by_b = [], []
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Which parts both give back with a leading blank, and by A and by B their tokens: (where each part's begin, one more at the end; the ids)."""
+        told = []
         for few in (parts[i : i + _AT_ONCE] for i in range(0, len(parts), _AT_ONCE)):
-            by_a += [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in few], add_special_tokens=False)]
-            by_b += self.b.encode(few, num_threads=1)
-        return by_a, by_b
-
-    def spelled(self, parts: list[str], by_a: list[list[int]], by_b: list[list[int]]) -> np.ndarray:
-        """Whether the ids of both spell a blank and the part."""
-        spell = lambda table, ids: b"".join(map(table.__getitem__, ids))
-        every = itertools.chain.from_iterable
-        want = "".join([f" {p}" for p in parts]).encode()
-        if spell(self.a_bytes, every(by_a)) == want and spell(self.b_bytes, every(by_b)) == want and not any(_BLANK in p for p in parts):
-            return np.ones(len(parts), bool)
-        each = zip(parts, by_a, by_b, strict=True)
-        return np.array([spell(self.a_bytes, x) == spell(self.b_bytes, y) == f" {p}".encode() for p, x, y in each], bool)
+            whole = self._joined(few)
+            told += [whole] if whole else [self._joined([p]) or self._alone(p) for p in few]
+        ok, n_a, a, n_b, b = (np.concatenate([x[i] for x in told] or [np.zeros(0, np.int64)]) for i in range(5))
+        return ok.astype(bool), (np.concatenate([[0], np.cumsum(n_a)]), a), (np.concatenate([[0], np.cumsum(n_b)]), b)
+
+    def _both(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a blank and a text, if both give it back."""
+        by_a, by_b = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.b.encode(text)
+        want = f" {text}".encode()
+        for ids, table in ((by_a, self.a_bytes), (by_b, self.b_bytes)):
+            if b"".join(map(table.__getitem__, ids)) != want:
+                return None
+        return np.array(by_a, np.int64), np.array(by_b, np.int64)
+
+    def _joined(self, parts: list[str]) -> tuple | None:
+        """Several parts as one text, if it falls into them."""
+        text = " ".join(parts)
+        if len(parts) > 1 and self.cut(text) != parts or not (found := self._both(text)):
+            return None
+        ends, counts = np.cumsum([len(p.encode()) + 1 for p in parts]), []
+        for ids, size in zip(found, (self.a_size, self.b_size), strict=True):
+            at = np.cumsum(size[ids])
+            last = np.searchsorted(at, ends)
+            if (at[last] != ends).any():
+                return None
+            counts.append(np.diff(last, prepend=-1))
+        return np.ones(len(parts), np.int64), counts[0], found[0], counts[1], found[1]
+
+    @staticmethod
+    def _alone(part: str) -> tuple:
+        """A part that is not given back: no tokens."""
+        none = np.zeros(0, np.int64)
+        return np.zeros(1, np.int64), np.zeros(1, np.int64), none, np.zeros(1, np.int64), none
 
 
 @lru_cache(maxsize=2)
@@ -145,19 +174,9 @@ class Links(NamedTuple):
     group_b: np.ndarray
 
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(x) for x in ids], out=first[1:])
-    return first, np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(first[-1]))
-
-
 def link(parts: list[str], t: Tokenizers) -> Links:
     """Encode each part and link its tokens."""
-    by_a, by_b = t.encode(parts)
-    ok = t.spelled(parts, by_a, by_b)
-    for i in np.flatnonzero(~ok).tolist():
-        by_a[i], by_b[i] = [], []
-    (first_a, a), (first_b, b) = _flat(by_a), _flat(by_b)
+    ok, (first_a, a), (first_b, b) = t.encode(parts)
     end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
     # Between two neighbouring ends lie bytes of exactly one A token and one B token: a link.
     ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
@@ -170,23 +189,82 @@ def link(parts: list[str], t: Tokenizers) -> Links:
     return Links(ok, first_a, a, first_b, b, first_link, link_a, link_b, group[: len(a)], group[len(a) :])
 
 
-def group_strings(x: Links) -> list[str]:
+def group_strings(x: Links, t: Tokenizers) -> list[str]:
     """Each part's groups as ``a1,a2|b1;a3|b2,b3``."""
     ids, group = np.concatenate([x.a, x.b]), np.concatenate([x.group_a, x.group_b])
     side = np.repeat([0, 1], [len(x.a), len(x.b)])
-    order = np.lexsort((np.arange(len(ids)), side, group))
+    order = np.argsort(group, kind="stable")  # a group's A tokens stand before its B tokens
     ids, group, side = ids[order], group[order], side[order]
     cut = x.first_a + x.first_b
-    mark = np.full(len(ids), ",")
+    mark = np.zeros(len(ids), np.int64)
     if len(ids):
-        mark[:-1][side[:-1] != side[1:]] = "|"
-        mark[:-1][group[:-1] != group[1:]] = ";"
-        mark[-1] = ""
-        mark[cut[1:][cut[1:] > 0] - 1] = ""
-    said = list(map(str.__add__, map(str, ids.tolist()), mark.tolist()))
+        mark[:-1][side[:-1] != side[1:]] = MARKS.index("|")
+        mark[:-1][group[:-1] != group[1:]] = MARKS.index(";")
+        mark[cut[1:][cut[1:] > 0] - 1] = MARKS.index("")
+    said = list(map(t.said.__getitem__, (ids + mark * t.most).tolist()))
     return ["".join(said[lo:hi]) for lo, hi in itertools.pairwise(cut.tolist())]
 
 
+class Parts(NamedTuple):
+    """What a slice needs of each distinct part: whether it is given back, its numbers of tokens and groups, its links as id pairs, its groups' string."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    strings: list[str]
+
+    def first(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.n_links)])
+
+    def taken(self, which: np.ndarray) -> Parts:
+        """Some of them, in order."""
+        at = tb.spread(self.first()[which], self.n_links[which])
+        return Parts(*(x[which] for x in self[:5]), self.pairs[at], [self.strings[i] for i in which.tolist()])
+
+    def with_(self, more: Parts) -> Parts:
+        return Parts(*(np.concatenate(x) for x in zip(self[:6], more[:6], strict=True)), self.strings + more.strings)
+
+
+def parts_of(x: Links, t: Tokenizers) -> Parts:
+    groups = np.zeros(len(x.ok), np.int64)
+    np.add.at(groups, tb.rows_of(x.first_a), np.diff(x.group_a, prepend=-1) != 0)
+    pairs = x.a[x.link_a] << 32 | x.b[x.link_b]
+    return Parts(x.ok, np.diff(x.first_a), np.diff(x.first_b), groups, np.diff(x.first_link), pairs, group_strings(x, t))
+
+
+class Known:
+    """Parts that a worker has met twice in a slice, for the slices that follow; begun anew when there are too many."""
+
+    def __init__(self, t: Tokenizers) -> None:
+        self.t = t
+        self.number: dict[str, int] = {}
+        self.parts = parts_of(link([], t), t)
+
+    def look_up(self, said: list[str], ends: set[str] = frozenset()) -> tuple[Parts, np.ndarray]:
+        """The parts in hand, and the place of each of ``said`` among them; ``ends``: those that begin or end a text."""
+        fresh = dict.fromkeys(said)
+        for p in fresh.keys() & self.number.keys():
+            del fresh[p]
+        held = len(self.number)
+        for p in fresh.keys() & ends:  # some of those can't be joined; they come last
+            del fresh[p]
+            fresh[p] = None
+        own = dict(zip(fresh, itertools.count(held), strict=False))
+        codes = np.fromiter(map((self.number | own).__getitem__, said), np.int64, len(said))
+        new = parts_of(link(list(own), self.t), self.t)
+        both = self.parts.with_(new)
+        often = np.flatnonzero(np.bincount(codes[codes >= held] - held, minlength=len(own)) > 1)
+        if held + len(often) > MOST_PARTS:
+            self.number, self.parts, held = {}, parts_of(link([], self.t), self.t), 0
+        names = list(own)
+        self.number.update(zip([names[i] for i in often[:MOST_PARTS].tolist()], itertools.count(held), strict=False))
+        self.parts = self.parts.with_(new.taken(often[:MOST_PARTS]))
+        return both, codes
+
+
 def _sums(values: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return tb.sums(values[codes], bounds)
 
@@ -197,36 +275,30 @@ _SLICE = (
 )
 
 
-def _slice(ids: list, texts: list[str], t: Tokenizers) -> dict[str, list]:
+def _slice(ids: list, texts: list[str], known: Known) -> dict[str, list]:
     """One slice's row, but for its number."""
-    said = [t.cut(x) if x else [] for x in texts]
-    number = dict(zip(dict.fromkeys(itertools.chain.from_iterable(said)), itertools.count(), strict=False))
-    codes = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(said)), np.int64)
+    said = [known.t.cut(x) if x else [] for x in texts]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in said])]).astype(np.int64)
-    links = link(list(number), t)
+    parts, codes = known.look_up(list(itertools.chain.from_iterable(said)), {p for x in said for p in (*x[:1], *x[-1:])})
     # A text with a part that is not given back has no tokens at all.
-    whole = _sums((~links.ok).astype(np.int64), codes, bounds) == 0
+    whole = _sums((~parts.ok).astype(np.int64), codes, bounds) == 0
     row = tb.rows_of(bounds)
     codes, row = codes[whole[row]], row[whole[row]]
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    strings = group_strings(links)
-    digest = []
-    own = codes.tolist()
-    for lo, hi in itertools.pairwise(bounds.tolist()):
-        digest.append(hashlib.sha256(";".join([strings[c] for c in own[lo:hi]]).encode()).hexdigest() if hi > lo else "")
-    n_links = np.diff(links.first_link)
-    groups = np.zeros(len(links.ok), np.int64)
-    np.add.at(groups, tb.rows_of(links.first_a), np.diff(links.group_a, prepend=-1) != 0)
-    pair, entry = np.unique(links.a[links.link_a] << 32 | links.b[links.link_b], return_inverse=True)
-    at = tb.spread(links.first_link[codes], n_links[codes])
-    held, times = np.unique(np.repeat(row, n_links[codes]) * len(pair) + entry[at], return_counts=True)
+    strings = list(map(parts.strings.__getitem__, codes.tolist()))
+    digest = [hashlib.sha256(";".join(strings[lo:hi]).encode()).hexdigest() if hi > lo else "" for lo, hi in itertools.pairwise(bounds.tolist())]
+    used, codes = np.unique(codes, return_inverse=True)
+    parts = parts.taken(used)
+    pair, entry = np.unique(parts.pairs, return_inverse=True)
+    at = tb.spread(parts.first()[codes], parts.n_links[codes])
+    held, times = np.unique(np.repeat(row, parts.n_links[codes]) * len(pair) + entry[at], return_counts=True)
     of, entry = held // max(len(pair), 1), held % max(len(pair), 1)
     return {
         "doc_id": ids,
-        "n_a": _sums(np.diff(links.first_a), codes, bounds),
-        "n_b": _sums(np.diff(links.first_b), codes, bounds),
-        "n_groups": _sums(groups, codes, bounds),
-        "n_links": _sums(n_links, codes, bounds),
+        "n_a": _sums(parts.n_a, codes, bounds),
+        "n_b": _sums(parts.n_b, codes, bounds),
+        "n_groups": _sums(parts.n_groups, codes, bounds),
+        "n_links": _sums(parts.n_links, codes, bounds),
         "groups_sha256": digest,
         "first": np.searchsorted(of, np.arange(len(texts) + 1)),
         "entry": entry,
@@ -247,13 +319,13 @@ def slices(docs: DataFrame, vocabularies, slice_bytes: int = SLICE_BYTES) -> Dat
     schema = pa.schema([("slice", number), *((c.split()[0], pa.list_(lists.get(c.split()[0], number))) for c in _SLICE.split(", ")[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizers(*vocabularies.value)
+        known = Known(_tokenizers(*vocabularies.value))
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, _, _ in tb.slices(batch.column("text"), slice_bytes):
                 texts = batch.column("text").slice(lo, hi - lo).to_pylist()
-                yield _record(schema, slice=n, **_slice(ids.slice(lo, hi - lo).to_pylist(), texts, t))
+                yield _record(schema, slice=n, **_slice(ids.slice(lo, hi - lo).to_pylist(), texts, known))
                 n += 1
 
     return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SLICE)

@@ -50,6 +50,17 @@ def test_digests_against_whole_texts(spark, slice_bytes):
     assert got(spark, docs, slice_bytes=slice_bytes) == expected({k: (r[0], r[1]) for k, r in enumerate(rows)})
 
 
+def test_store_of_parts_is_bounded(both, monkeypatch):
+    monkeypatch.setattr(token_alignment, "MOST_PARTS", 3)
+    known = token_alignment.Known(both)
+    for said in (["a", "b", "a", "b", "c"], ["c", "a", "d", "d", "c"], ["x", "x", "y", "y", "z", "z", "w", "w"], ["w", "x", "a"], []):
+        parts, codes = known.look_up(said)
+        assert len(known.number) <= 3 and len(known.parts.ok) == len(known.number)
+        alone = token_alignment.parts_of(token_alignment.link(said, both), both)
+        got = parts.taken(codes)
+        assert got.strings == alone.strings and got.pairs.tolist() == alone.pairs.tolist() and got.n_groups.tolist() == alone.n_groups.tolist()
+
+
 def test_empty_table(spark):
     assert got(spark, spark.createDataFrame([], SCHEMA)) == []
     assert got(spark, spark.createDataFrame([(1, None, 1, "", 1)], SCHEMA)) == [("1", 0, 0, 0, 0, 0, 0, "")]
@@ -69,8 +80,11 @@ def test_query_on_documents(spark, sf_dir):
 @given(text=st.text(max_size=40) | st.text(alphabet="ab' s\n\t▁.1é", max_size=60))
 def test_parts_are_encoded_as_in_the_whole_text(both, text):
     parts = both.cut(text)
-    for whole, part in zip(both.encode([text]), both.encode(parts), strict=True):
-        assert whole[0] == [i for ids in part for i in ids]
+    ok, (_, a), (_, b) = both.encode(parts)
+    want = both.a.encode(f" {text}", add_special_tokens=False).ids, both.b.encode(text)
+    spelled = [b"".join(t[i] for i in ids) == f" {text}".encode() for t, ids in ((both.a_bytes, want[0]), (both.b_bytes, want[1]))]
+    assert ok.all() == all(spelled)
+    assert not ok.all() or (a.tolist(), b.tolist()) == want
 
 
 def test_components():
