@@ -1,8 +1,9 @@
 import pytest
 from compare import connect, differences
-from millrace.plans import catalog, oracles, reports
+from millrace.plans import arrays, catalog, oracles, reports
 
-QUERIES, ORACLES = catalog.QUERIES | reports.QUERIES, oracles.ORACLES | reports.ORACLES
+QUERIES = catalog.QUERIES | reports.QUERIES | arrays.QUERIES
+ORACLES = oracles.ORACLES | reports.ORACLES | arrays.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
