@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import bands, ranking, spectra, vectors
+from millrace.operators import bands, lowrank, ranking, spectra, vectors
 
 from .catalog import _rounded, _side, _vectors
-from .oracles import _BASIS, _IN, _LONG, _OCT, _draw, _nn
+from .oracles import _BASIS, _IN, _LONG, _OCT, _VEC, _draw, _nn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,121 @@ def mask_windows(spark, d):
 def square_thumbnails(spark, d):
     """Means of 2 x 2 values, centred and of length one."""
     return _rounded(_vectors(spark, d).select("id", F.posexplode(bands.thumbnail(F.col("vec"), SIDE, 4)).alias("cell", "x")))
+
+
+# ---- components and distances between sets of features ----------------------------------------------------------
+
+_MATRIX = "SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS row FROM {} GROUP BY i)"
+_TIMES = "list_transform({0}, lambda r: list_dot_product(r, {1}))"
+
+
+def _leading(matrix: str, name: str, rounds: int = 4000) -> str:
+    """CTEs: the leading eigenvector v and value of a symmetric matrix (m, one row), by power iteration, its largest loading positive."""
+    return (
+        f"{name}_it AS (SELECT 0 AS k, list_transform(range(64), lambda i: (1.0 + 0.37 * ((i * 29) % 64))::DOUBLE) AS v UNION ALL "
+        f"SELECT k + 1, list_transform(y, lambda a: a / sqrt(list_dot_product(y, y))) FROM (SELECT k, {_TIMES.format('m', 'v')} AS y FROM {name}_it, {matrix} WHERE k < {rounds})), "
+        f"{name}_u AS (SELECT v FROM {name}_it WHERE k = {rounds}), "
+        f"{name}_s AS (SELECT list_transform(v, lambda a: a * sign(v[list_position(list_transform(v, lambda b: abs(b)), list_max(list_transform(v, lambda b: abs(b))))])) AS v FROM {name}_u), "
+        f"{name} AS (SELECT v, list_dot_product(v, {_TIMES.format('m', 'v')}) AS value FROM {name}_s, {matrix})"
+    )
+
+
+_DEFLATED = "d AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - value * v[i] * v[j])) AS m FROM c, one)"
+
+
+@query(
+    f"WITH RECURSIVE {_LONG}, {_CENTRED}, t AS (SELECT id, {_draw(chr(39) + 'pca' + chr(39), 'id')} % 3 AS side, list(x ORDER BY pos) AS vec FROM centred GROUP BY id), "
+    "mean AS (SELECT list(m ORDER BY pos) AS mean FROM (SELECT pos, avg(x) AS m FROM centred JOIN t USING (id) WHERE side = 0 GROUP BY pos)), "
+    "z AS (SELECT t.id, unnest(range(64)) AS pos, unnest(list_transform(vec, lambda x, i: x - mean[i])) AS x FROM t, mean WHERE side = 0), "
+    "cov AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM z a JOIN z b USING (id) GROUP BY ALL), "
+    f"c AS ({_MATRIX.format('cov')}), {_leading('c', 'one')}, {_DEFLATED}, {_leading('d', 'two')} "
+    "SELECT side, id, round(list_dot_product(list_transform(vec, lambda x, i: x - mean[i]), one.v), 6) AS pc1, round(list_dot_product(list_transform(vec, lambda x, i: x - mean[i]), two.v), 6) AS pc2, "
+    "round(one.value, 6) AS var1, round(two.value, 6) AS var2 FROM t, mean, one, two"
+)
+def pca_three_sets(spark, d):
+    """Training vectors, seeds and samples on the two leading components of the training vectors, all without their own means."""
+    v = _side(_vectors(spark, d).withColumn("vec", bands.centred(F.col("vec"))), "pca", 3)
+    found = lowrank.components(v.filter("side = 0"), 2, oversampling=SIDE * SIDE)  # the whole width: exact
+    scored = v.select("side", "id", found.scores(F.col("vec"), spark).alias("pc"))
+    return _rounded(scored.select("side", "id", *(F.col("pc")[k].alias(f"pc{k + 1}") for k in range(2)), *(F.lit(float(found.variance[k])).alias(f"var{k + 1}") for k in range(2))))
+
+
+@query()
+def spectrum_rank(spark, d):
+    """The rank of each group's covariance, the components for nine tenths of its variance, its total and its participation ratio."""
+    v = _vectors(spark, d)
+    groups = [r["grp"] for r in v.select("grp").distinct().orderBy("grp").collect()]
+    told = []
+    for g in groups:
+        own = v.filter(F.col("grp").eqNullSafe(F.lit(g)))
+        c = lowrank.components(own, min(SIDE * SIDE, own.count() - 1), oversampling=SIDE * SIDE)
+        told.append((g, c.n, c.rank(), c.for_share(0.9), round(c.total, 6), round(float(c.variance.sum() ** 2 / (c.variance**2).sum()), 6)))
+    return spark.createDataFrame(told, "grp int, n bigint, rank int, for_share int, total double, participation double")
+
+
+_FEATURES = f"{_VEC}, s AS (SELECT id, vec, {_draw(chr(39) + 'frechet' + chr(39), 'id')} % 2 AS side FROM vec)"
+_DRAWN = (
+    "a AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM s WHERE side = 0), b AS (SELECT * FROM s WHERE side = 1), "
+    f"w AS (SELECT 0 AS rep, i, 1 AS w FROM a UNION ALL SELECT rep, i, count(*) AS w FROM (SELECT rep, {_draw(chr(39) + 'features' + chr(39), 'rep', 'i')} % n AS i FROM a, (SELECT unnest(range(1, 201)) AS rep)) GROUP BY ALL)"
+)
+_SUMMARY = "SELECT round(any_value(distance) FILTER (rep = 0), 6) AS distance, round(quantile_cont(distance, 0.025) FILTER (rep > 0), 6) AS ci_low, round(quantile_cont(distance, 0.975) FILTER (rep > 0), 6) AS ci_high, count(*) FILTER (rep > 0) AS n_boot FROM {}"
+
+
+def _times(a: str, b: str) -> str:
+    """The product of two square matrices that are lists of rows."""
+    return f"list_transform({a}, lambda r: list_transform(range(1, 17), lambda j: list_dot_product(r, list_transform({b}, lambda q: q[j]))))"
+
+
+_IDENTITY = "list_transform(range(16), lambda i: list_transform(range(16), lambda j: (i = j)::int::double))"
+
+
+@query(
+    f"WITH RECURSIVE {_FEATURES}, {_DRAWN}, xa AS (SELECT i, unnest(range(16)) AS pos, unnest(vec[1:16]) AS x FROM a), xb AS (SELECT id, unnest(range(16)) AS pos, unnest(vec[1:16]) AS x FROM b), "
+    "ma AS (SELECT rep, pos, sum(w * x) / sum(w) AS m FROM w JOIN xa USING (i) GROUP BY ALL), mb AS (SELECT pos, avg(x) AS m FROM xb GROUP BY pos), "
+    "ca AS (SELECT rep, p.pos AS i, q.pos AS j, (sum(w * p.x * q.x) - sum(w) * any_value(k.m) * any_value(l.m)) / (sum(w) - 1) AS c FROM w JOIN xa p USING (i) JOIN xa q USING (i) JOIN ma k USING (rep) JOIN ma l USING (rep) WHERE k.pos = p.pos AND l.pos = q.pos GROUP BY rep, p.pos, q.pos), "
+    "cb AS (SELECT p.pos AS i, q.pos AS j, covar_samp(p.x, q.x) AS c FROM xb p JOIN xb q USING (id) GROUP BY ALL), "
+    "la AS (SELECT rep, list(row ORDER BY i) AS m FROM (SELECT rep, i, list(c ORDER BY j) AS row FROM ca GROUP BY rep, i) GROUP BY rep), "
+    f"lb AS ({_MATRIX.format('cb')}), "
+    f"pr AS (SELECT rep, {_times('la.m', 'lb.m')} AS m FROM la, lb), "
+    "sc AS (SELECT rep, list_sum(list_transform(m, lambda r, i: r[i])) AS t, m FROM pr), "
+    # The square root's trace by Newton's iteration on the product over its trace: y goes to the root, z to its inverse.
+    f"it AS (SELECT 0 AS k, rep, t, list_transform(m, lambda r: list_transform(r, lambda x: x / t)) AS y, {_IDENTITY} AS z FROM sc UNION ALL "
+    f"SELECT k + 1, rep, t, {_times('y', 'h')}, {_times('h', 'z')} FROM (SELECT k, rep, t, y, z, list_transform({_times('z', 'y')}, lambda r, i: list_transform(r, lambda x, j: 1.5 * (i = j)::int - 0.5 * x)) AS h FROM it WHERE k < 30)), "
+    "tr AS (SELECT rep, sqrt(t) * list_sum(list_transform(y, lambda r, i: r[i])) AS tr FROM it WHERE k = 30), "
+    "dm AS (SELECT rep, sum(power(ma.m - mb.m, 2)) AS d FROM ma JOIN mb USING (pos) GROUP BY rep), da AS (SELECT rep, sum(c) AS t FROM ca WHERE i = j GROUP BY rep), db AS (SELECT sum(c) AS t FROM cb WHERE i = j), "
+    f"f AS (SELECT rep, d + da.t + db.t - 2 * tr AS distance FROM dm JOIN da USING (rep) JOIN tr USING (rep), db) {_SUMMARY.format('f')}"
+)
+def frechet_bootstrap(spark, d):
+    """The Fréchet distance of the vectors' first 16 features on two sides, with the interval of 200 replicates of one side."""
+    v = _side(_vectors(spark, d), "frechet", 2).withColumn("vec", F.slice("vec", 1, 16))
+    return _rounded(lowrank.summary(lowrank.bootstrap_frechet(v.filter("side = 0"), v.filter("side = 1"), 200)))
+
+
+_KERNEL = "power(list_dot_product({0}, {1}) / 64 + 1, 3)"
+
+
+@query(
+    f"WITH {_FEATURES}, {_DRAWN}, kaa AS (SELECT p.i AS i, q.i AS j, {_KERNEL.format('p.vec', 'q.vec')} AS k FROM a p, a q), kab AS (SELECT a.i, sum({_KERNEL.format('a.vec', 'b.vec')}) AS k FROM a, b GROUP BY a.i), "
+    f"kbb AS (SELECT sum({_KERNEL.format('p.vec', 'q.vec')}) AS k FROM b p, b q WHERE p.id <> q.id), "
+    "aa AS (SELECT u.rep, sum(u.w * v.w * k) - sum(CASE WHEN u.i = v.i THEN u.w * k ELSE 0 END) AS s FROM w u JOIN w v USING (rep) JOIN kaa ON kaa.i = u.i AND kaa.j = v.i GROUP BY u.rep), "
+    "ab AS (SELECT rep, sum(w * k) AS s FROM w JOIN kab USING (i) GROUP BY rep), n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb), "
+    f"f AS (SELECT rep, aa.s / (na * (na - 1)) + kbb.k / (nb * (nb - 1)) - 2 * ab.s / (na * nb) AS distance FROM aa JOIN ab USING (rep), kbb, n) {_SUMMARY.format('f')}"
+)
+def kernel_bootstrap(spark, d):
+    """The kernel distance of two sides, with the interval of 200 replicates of one side."""
+    v = _side(_vectors(spark, d), "frechet", 2)
+    return _rounded(lowrank.summary(lowrank.bootstrap_kernel(v.filter("side = 0"), v.filter("side = 1"), 200)))
+
+
+@query(
+    f"WITH {_FEATURES}, n AS (SELECT least(count(*) FILTER (side = 0), count(*) FILTER (side = 1), 100) AS m FROM s), r AS (SELECT unnest(range(1, 101)) AS subset), "
+    f"x AS (SELECT subset, side, id, vec, row_number() OVER (PARTITION BY subset, side ORDER BY {_draw(chr(39) + 'subset' + chr(39), 'name', 'subset', 'id')}, id) AS k FROM (SELECT *, CASE WHEN side = 0 THEN 'a' ELSE 'b' END AS name FROM s), r), "
+    "y AS (SELECT x.*, m FROM x, n WHERE k <= m), "
+    f"p AS (SELECT u.subset, any_value(u.m) AS m, sum(CASE WHEN u.side = v.side THEN CASE WHEN u.id <> v.id THEN {_KERNEL.format('u.vec', 'v.vec')} / (u.m * (u.m - 1)) ELSE 0 END ELSE -{_KERNEL.format('u.vec', 'v.vec')} / (u.m * u.m) END) AS d FROM y u JOIN y v USING (subset) GROUP BY u.subset) "
+    "SELECT count(*) AS subsets, any_value(m) AS size, round(avg(d), 6) AS distance, round(stddev_samp(d), 6) AS sd FROM p"
+)
+def kernel_subsets(spark, d):
+    """The kernel distance as the mean over 100 subsets of up to 100 rows of either side, with its spread."""
+    v = _side(_vectors(spark, d), "frechet", 2)
+    each = lowrank.kernel_subsets(v.filter("side = 0"), v.filter("side = 1"), 100, 100)
+    return _rounded(each.agg(F.count("*").alias("subsets"), F.max("size").alias("size"), F.avg("distance").alias("distance"), F.stddev_samp("distance").alias("sd")))
