@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import pipeline_stages as stages
-from millrace.plans.lineage import stash
+from millrace.plans.lineage import release, temporary
 from millrace.sources.tables import read_table
 
 STAGES = [
@@ -21,10 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``; what a stage was given is deleted when its result is written."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with temporary(spark) as keep:
+            docs = keep(stage(spark, before, sf_dir), name)
+        if k:
+            release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

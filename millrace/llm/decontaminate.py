@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import stash
+from millrace.plans.lineage import stash, temporary
 
 from .keys import attach, keyed
 
@@ -147,20 +147,21 @@ def report(docs: DataFrame, items: DataFrame, length: int = LENGTH, slack: int =
     near_ids: the items with a proximity match, exact ones included.
     """
     whole = keyed(docs)
-    windows = stash(item_windows(items, length), "item_windows")
-    asked = stash(query_terms(windows, term_counts(whole, windows)), "asked")
-    index = stash(postings(whole, asked), "postings")
-    matches = stash(exact_matches(whole, index, asked), "matches")
-    doc = ["doc_id", "text_hash"]
-    runs = matches.select(*doc, "start", (F.col("start") + F.col("n")).alias("end")).groupBy(*doc, "start").agg(F.max("end").alias("end"))
-    earlier = Window.partitionBy(*doc).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(earlier), F.lit(0))))
-    hits = runs.select(*doc, fresh.alias("fresh")).groupBy(*doc).agg(F.sum("fresh").alias("n_hit"))
-    named = matches.select(*doc, "phrase").distinct().join(windows.select("phrase", F.explode("items").alias("item_id")), "phrase")
-    listed = named.groupBy(*doc).agg(F.collect_set("item_id").alias("item_ids"))
-    near = proximity(index, asked, slack).select(*doc, "phrase").distinct().join(windows.select("phrase", F.explode("items").alias("item_id")), "phrase")
-    near = near.groupBy(*doc).agg(F.collect_set("item_id").alias("near_ids"))
-    found = attach(near, attach(hits, listed), "left")
+    with temporary(docs.sparkSession) as keep:
+        windows = stash(item_windows(items, length), "item_windows")
+        asked = stash(query_terms(windows, term_counts(whole, windows)), "asked")
+        index = stash(postings(whole, asked), "postings")
+        matches = stash(exact_matches(whole, index, asked), "matches")
+        doc = ["doc_id", "text_hash"]
+        runs = matches.select(*doc, "start", (F.col("start") + F.col("n")).alias("end")).groupBy(*doc, "start").agg(F.max("end").alias("end"))
+        earlier = Window.partitionBy(*doc).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(earlier), F.lit(0))))
+        hits = runs.select(*doc, fresh.alias("fresh")).groupBy(*doc).agg(F.sum("fresh").alias("n_hit"))
+        named = matches.select(*doc, "phrase").distinct().join(windows.select("phrase", F.explode("items").alias("item_id")), "phrase")
+        listed = named.groupBy(*doc).agg(F.collect_set("item_id").alias("item_ids"))
+        near = proximity(index, asked, slack).select(*doc, "phrase").distinct().join(windows.select("phrase", F.explode("items").alias("item_id")), "phrase")
+        near = near.groupBy(*doc).agg(F.collect_set("item_id").alias("near_ids"))
+        found = keep(attach(near, attach(hits, listed), "left"), "found")
     counted = whole.select("doc_id", "text_hash", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
     out = attach(counted, found, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")

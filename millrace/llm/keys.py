@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import stash
+from millrace.plans.lineage import temporary
 
 from . import bloom
 
@@ -38,13 +38,15 @@ def attach(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, both, how).drop("__doc_id", "__text_hash")
 
 
-def with_matches(docs: DataFrame, found: DataFrame, column: str, work: Callable[[Column, Column], Column]) -> DataFrame:
-    """The keyed ``docs`` with ``done``, which is work(matches, skip): matches is ``column`` of ``found`` (a row for each
-    document with matches) or null, and where skip is true the result is null and not used.
+def with_matches(docs: DataFrame, find: Callable[[], DataFrame], column: str, work: Callable[[Column, Column], Column]) -> DataFrame:
+    """The keyed ``docs`` with ``done``, which is work(matches, skip): matches is ``column`` of what ``find`` gives (a row for each
+    document with matches) or null, and where skip is true the result is null and not used. Of the tables that ``find``
+    makes only its result stays.
 
     Only texts that may have matches, by a bounded filter on their keys, are shuffled; the others pass through.
     """
-    found = stash(found, "found")
+    with temporary(docs.sparkSession) as keep:
+        found = keep(find(), "found")
     hit = bloom.build(found.select(F.xxhash64("doc_id", "text_hash").alias("h")))
     may = bloom.maybe(F.xxhash64("doc_id", "text_hash"), hit)
     near = attach(docs.filter(may), found, "left").withColumn("done", work(F.col(column), F.lit(False))).drop(column)

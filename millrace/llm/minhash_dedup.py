@@ -40,10 +40,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import stash
+from millrace.plans.lineage import stash, temporary
 
 from . import bloom
 from . import textbytes as tb
+from .keys import small_batches
 
 SIGNED_TYPE = "struct<n_shingles: bigint, set_hash: binary, signatures: array<bigint>>"
 COMPARED_TYPE = "struct<linked: boolean, size: bigint, lacks: array<bigint>, adds: array<bigint>>"
@@ -184,20 +185,21 @@ def compared(lead: Column, other: Column, n: int, percent: int) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): connected components of the links (a, b), by alternating large-star and small-star
     steps; root is the smallest node. Each step is a grouping and a join, and is written before the next."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    state = None
-    while True:
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        edges = stash(small.filter("u > v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    with temporary(links.sparkSession) as keep:
+        edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+        state = None
+        while True:
+            both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+            large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.filter("u > v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+            edges = stash(small.filter("u > v").distinct(), "edges")
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state or not now[0]:
+                return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
+            state = now
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -266,18 +268,21 @@ def linked(groups: DataFrame, sets: DataFrame, ranks: DataFrame, n: int, percent
     groups: (lead, node); ranks: (node, rank), by which leads are chosen."""
     roots = None
     while True:
-        told = _compare(groups, sets, n, percent)
-        found = told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        roots = stash(_joined(roots, found), "roots")
-        parts = stash(_rest(told, roots, percent), "parts")
+        with temporary(sets.sparkSession) as keep:
+            told = _compare(groups, sets, n, percent)
+            found = told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            roots = keep(_joined(roots, found), "roots")
+            parts = keep(_rest(told, roots, percent), "parts")
         small = parts.filter(F.col("k") <= FEW)
         if not small.isEmpty():
-            found = _compare(_met(small), sets, n, percent).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-            roots = stash(_joined(roots, found), "roots")
+            with temporary(sets.sparkSession) as keep:
+                found = _compare(_met(small), sets, n, percent).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+                roots = keep(_joined(roots, found), "roots")
         large = parts.filter(F.col("k") > FEW)
         if large.isEmpty():
             return roots
-        groups = stash(_led(large, ranks), "groups")
+        with temporary(sets.sparkSession) as keep:
+            groups = keep(_led(large, ranks), "groups")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -298,8 +303,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets.
     """
+    with temporary(docs.sparkSession) as keep:
+        return keep(_classes(docs, shingle, percent, miss), "near_duplicates")
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int, miss: float) -> DataFrame:
     t = tables(percent / 100, miss)
-    texts = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    texts = small_batches(docs).select("doc_id", F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     marked = stash(texts.select("doc_id", "text_hash", signed(F.col("text"), shingle, t).alias("s")).select("doc_id", "text_hash", "s.*"), "signed")
 
     # One row for each distinct set; the smallest id stands for the class. Written at once, so that a node keeps its number.

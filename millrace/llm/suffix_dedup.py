@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import release, stash
+from millrace.plans.lineage import stash, temporary
 
 from . import bloom
 from . import textbytes as tb
@@ -257,29 +257,29 @@ def extend(levels: list[DataFrame], docs: DataFrame, length: int = LENGTH) -> tu
     runs: (doc_id, text_hash, runs) of the batch's windows that stand in a level or earlier in the batch. levels: the index's
     tables of contexts, the largest first, with the batch's as the newest; of two of about equal size one is made, so
     that there are logarithmically many. Levels are tables in the shared folder that a later call, or a later
-    application that reads them again, goes on with. Older levels count as earlier, whatever the ids. In a bucket,
+    application that reads them again, goes on with. The levels handed in are left as they are: those that the new list has no more
+    can be released once the new list is kept. Older levels count as earlier, whatever the ids. In a bucket,
     the levels' contexts come first, in document order, then the batch's, each block of them with a suffix array.
     """
-    none = bloom.build(docs.sparkSession.range(0).select(F.col("id").alias("h")))
-    named = keyed(docs).filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "text_hash")
-    sent = stash(contexts(named, None, none, length), "contexts")
-    own = sent.filter(F.col("kind") == _CONTEXT).select("doc_id", "text_hash", "start", "n", "lead", "h", "context")
-    whole = own.withColumn("old", F.lit(False))
-    for level in levels:
-        whole = whole.unionByName(level.join(own.select("h").distinct(), "h", "left_semi").withColumn("old", F.lit(True)))
-    size = whole.agg(F.sum(F.length("context"))).first()[0] or 0
-    bucketed = whole.withColumn("bucket", F.pmod("h", F.lit(max(1, size // BUCKET_BYTES)))).drop("h")
-    matched = bucketed.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, length), _MATCH)
-    known = sent.filter(F.col("kind") == _KNOWN).select("doc_id", "text_hash", "start", "n")
-    runs = matched.unionAll(known).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    runs = stash(runs, "runs")
-    levels = [*levels, stash(own, "level")]
-    while len(levels) > 1 and levels[-2].count() < 2 * levels[-1].count():
-        new, old = levels.pop(), levels.pop()
-        levels.append(stash(old.unionByName(new), "level"))
-        release(old)
-        release(new)
-    return runs, levels
+    with temporary(docs.sparkSession) as keep:
+        none = bloom.build(docs.sparkSession.range(0).select(F.col("id").alias("h")))
+        named = keyed(docs).filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "text_hash")
+        sent = stash(contexts(named, None, none, length), "contexts")
+        own = sent.filter(F.col("kind") == _CONTEXT).select("doc_id", "text_hash", "start", "n", "lead", "h", "context")
+        whole = own.withColumn("old", F.lit(False))
+        for level in levels:
+            whole = whole.unionByName(level.join(own.select("h").distinct(), "h", "left_semi").withColumn("old", F.lit(True)))
+        size = whole.agg(F.sum(F.length("context"))).first()[0] or 0
+        bucketed = whole.withColumn("bucket", F.pmod("h", F.lit(max(1, size // BUCKET_BYTES)))).drop("h")
+        matched = bucketed.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, length), _MATCH)
+        known = sent.filter(F.col("kind") == _KNOWN).select("doc_id", "text_hash", "start", "n")
+        runs = matched.unionAll(known).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+        runs = keep(runs, "runs")
+        merged, size, levels = own, own.count(), list(levels)
+        while levels and levels[-1].count() < 2 * size:
+            merged = levels.pop().unionByName(merged)
+            size = merged.count()
+        return runs, [*levels, keep(merged, "level")]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -332,7 +332,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     whole = keyed(docs)
     work = lambda runs, skip: F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", runs, skip)
-    return with_matches(whole, repeats(whole, length), "runs", work).select("doc_id", "done.*")
+    return with_matches(whole, lambda: repeats(whole, length), "runs", work).select("doc_id", "done.*")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -347,4 +347,4 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     whole = keyed(docs)
     work = lambda runs, skip: F.arrow_udf(run, "struct<text: string>").asNondeterministic()("text", runs, skip)
-    return with_matches(whole, repeats(whole, length), "runs", work).select("doc_id", "done.text")
+    return with_matches(whole, lambda: repeats(whole, length), "runs", work).select("doc_id", "done.text")
