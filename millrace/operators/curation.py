@@ -32,6 +32,24 @@ def accept_first(rows: DataFrame, order: str, ok: Column, content: Column, n: in
     return kept.select(order).orderBy(order).limit(n)
 
 
+def accept_until(rows: DataFrame, order: str, ok: Column, content: Column, n: int, doublings: int = 6) -> DataFrame:
+    """The same ``n`` rows (order), from as short a beginning of the table as will do; fewer than ``n`` are an error.
+
+    A row's acceptance depends on those before it only, so beginnings are tried that double in length, as approximate quantiles of
+    ``order`` give them: each is a filter that the scan takes, and its columns are read no further. What is read is at
+    most about twice what the last beginning holds.
+    """
+    shares = [0.5**k for k in range(doublings, 0, -1)]
+    ends = rows.agg(F.percentile_approx(order, shares).alias("ends")).first()["ends"]
+    found = 0
+    for end in [*(ends or []), None]:
+        part = rows if end is None else rows.filter(F.col(order) <= F.lit(end))
+        found = part.filter(ok).select(F.sha2(content.cast("binary"), 256).alias("h")).distinct().count()
+        if found >= n:
+            return accept_first(part, order, ok, content, n)
+    raise ValueError(f"{n} rows were asked for, and the whole table has {found}")
+
+
 def entity_split(entities: DataFrame, entity: str, salt: str, train_share: float = 0.8, seed_n: int = 0) -> DataFrame:
     """(entity, split): entities in hash order; the first share is train, of the rest the first seed_n are seed."""
     ranked = numbered(entities.select(entity, draw(salt, F.col(entity)).alias("h")), [], ["h", entity])

@@ -54,6 +54,21 @@ def streaks(log: DataFrame, group: str, order: str, failed: Column) -> DataFrame
     return runs.groupBy(group).agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("k"))), F.lit(0)).alias("n_failed"), F.coalesce(F.max(F.when(F.col("bad"), F.col("k"))), F.lit(0)).alias("longest"))
 
 
+def abort_points(log: DataFrame, group: str, order: str, failed: Column, most_in_a_row: int, most: int) -> DataFrame:
+    """(group, order, n_failed, in_a_row, reason): for each group whose failures reach ``most_in_a_row`` in a row or exceed ``most`` in
+    all, the event that does so first, with the counts there; a run in a row is told first."""
+    w = Window.partitionBy(group).orderBy(order)
+    bad = F.coalesce(failed, F.lit(False)).cast("int")
+    marked = log.select(group, order, bad.alias("bad")).withColumn("n_failed", F.sum("bad").over(w)).withColumn("at", F.row_number().over(w))
+    good = F.coalesce(F.max(F.when(F.col("bad") == 0, F.col("at"))).over(w), F.lit(0))
+    marked = marked.withColumn("in_a_row", (F.col("at") - good).cast("bigint"))
+    reason = F.when(F.col("in_a_row") >= most_in_a_row, F.concat("in_a_row", F.lit(" failures in a row")))
+    reason = reason.when(F.col("n_failed") > most, F.concat("n_failed", F.lit(" failures")))
+    stops = marked.filter("bad = 1").withColumn("reason", reason).filter("reason is not null")
+    first = stops.groupBy(group).agg(F.min(F.struct(order, "n_failed", "in_a_row", "reason")).alias("x"))
+    return first.select(group, "x.*")
+
+
 def increasing(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """(group, n, n_falls): consecutive differences that are not positive."""
     step = F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(order))

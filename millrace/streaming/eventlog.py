@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 GUARD = "user_id bigint, n_failed bigint, in_a_row bigint, longest bigint"
 
@@ -40,3 +41,42 @@ def failure_guard(events: DataFrame, failed: str = "error") -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n_failed": [total], "in_a_row": [run], "longest": [longest]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, GUARD, "n_failed bigint, in_a_row bigint, longest bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+class AbortGuard(StatefulProcessor):
+    """Counts failures of each key, in all and in a row, and tells once when a limit is passed."""
+
+    def __init__(self, failed: str, most_in_a_row: int, most: int) -> None:
+        self.failed, self.most_in_a_row, self.most = failed, most_in_a_row, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "n_failed bigint, in_a_row bigint, aborted boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        total, run, aborted = self.counts.get() if self.counts.exists() else (0, 0, False)
+        events = pd.concat(rows).sort_values("event_id")
+        for event, kind in zip(events["event_id"].tolist(), events["event_type"].tolist(), strict=True):
+            if kind != self.failed:
+                run = 0
+                continue
+            if aborted:  # nothing counts after an abort
+                continue
+            total, run = total + 1, run + 1
+            reason = f"{run} failures in a row" if run >= self.most_in_a_row else f"{total} failures" if total > self.most else None
+            if reason:
+                aborted = True
+                yield pd.DataFrame({"user_id": [key[0]], "event_id": [event], "n_failed": [total], "in_a_row": [run], "reason": [reason]})
+        self.counts.update((total, run, aborted))
+
+    def close(self) -> None:
+        pass
+
+
+def aborts(events: DataFrame, failed: str = "error", most_in_a_row: int = 3, most: int = 50) -> DataFrame:
+    """(user_id, event_id, n_failed, in_a_row, reason): a row for each user whose failures reach ``most_in_a_row`` in a row or
+    exceed ``most`` in all, at the event that does so, and none after it. Rows of a batch are taken in the order of event_id. The state store has
+    to be one with state variables (RocksDB)."""
+    guard = AbortGuard(failed, most_in_a_row, most)
+    return events.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=guard, outputStructType="user_id bigint, event_id bigint, n_failed bigint, in_a_row bigint, reason string", outputMode="append", timeMode="none"
+    )
