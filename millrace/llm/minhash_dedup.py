@@ -51,7 +51,7 @@ COMPARED_TYPE = "struct<linked: boolean, size: bigint, lacks: array<bigint>, add
 #: Pairs of texts that are compared at a time.
 PAIRS = 256
 #: Documents with an element in common, up to so many, are compared with each other instead of with a lead.
-FEW = 8
+FEW = 16
 
 #: MinHash values in a signature: with eight in a key, documents that share a passage seldom meet.
 WIDTH = 4
@@ -270,14 +270,13 @@ def linked(groups: DataFrame, sets: DataFrame, ranks: DataFrame, n: int, percent
     while True:
         with temporary(sets.sparkSession) as keep:
             told = _compare(groups, sets, n, percent)
-            found = told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-            roots = keep(_joined(roots, found), "roots")
+            roots = _joined(roots, told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), keep)
             parts = keep(_rest(told, roots, percent), "parts")
         small = parts.filter(F.col("k") <= FEW)
         if not small.isEmpty():
             with temporary(sets.sparkSession) as keep:
                 found = _compare(_met(small), sets, n, percent).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-                roots = keep(_joined(roots, found), "roots")
+                roots = _joined(roots, found, keep)
         large = parts.filter(F.col("k") > FEW)
         if large.isEmpty():
             return roots
@@ -285,16 +284,19 @@ def linked(groups: DataFrame, sets: DataFrame, ranks: DataFrame, n: int, percent
             groups = keep(_led(large, ranks), "groups")
 
 
-def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The roots after new links (a, b)."""
+def _joined(roots: DataFrame | None, links: DataFrame, keep) -> DataFrame:
+    """The roots after new links (a, b), as a table that ``keep`` writes unless nothing changes."""
     if roots is None:
-        return components(links)
+        return keep(components(links), "roots")
     one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    between = stash(between.filter("a <> b"), "between")
+    if between.isEmpty():
+        return roots
     moved = components(between)
     old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return old.unionAll(moved.join(roots, "node", "left_anti").select("node", "root"))
+    return keep(old.unionAll(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
