@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -43,10 +44,12 @@ from pyspark.sql import functions as F
 
 DIGEST_TYPE = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
 ENCODED_TYPE = "struct<ids: array<int>, decoded_sha256: string>"
-#: Bounds on what a worker keeps: states of the table over bytes, pieces of words, and (twice as many) runs of text without white space.
-MOST_STATES, MOST_WORDS, MOST_CHUNKS = 1 << 18, 1 << 16, 1 << 17
+#: Bounds on what a worker keeps: states of the table over bytes, pieces of words, and (twice as many, and those of one text) runs of text without white space.
+MOST_STATES, MOST_WORDS, MOST_CHUNKS = 1 << 18, 1 << 16, 3 << 16
 #: Longer pieces and runs are not kept.
 LONG = 64
+#: What a state holds beside its moves, which have the numbers of symbols, from 0 on.
+_LAST, _LASTS, _SPELLED = -1, -2, -3
 
 
 def _byte_symbols() -> list[str]:
@@ -105,7 +108,7 @@ class Automaton:
     base symbol). ``lost[u]``: the arcs that the state behind token u lost, with the merge at which
     it was split for it; ``split[u]``: the first such merge. ``spelling``, ``shorter``, ``depth``, ``ends``: the moves of the tokens'
     spelling, the state of the next shorter end, how many bytes lead to a state, and the tokens that end at it with their lengths, the
-    longest first. ``move``, ``states``, ``last``: the table over bytes, what its states stand for, and the token that ends at each.
+    longest first. ``states``: the table over bytes, row by row, by what a state stands for.
     """
 
     def __init__(self, vocabulary: dict) -> None:
@@ -127,6 +130,7 @@ class Automaton:
         self.pieces = regex.compile("(?V1)" + pattern)
         self.white = regex.compile(r"\p{White_Space}+")
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the pattern
+        self.ends_alone = {x for x in ",.;:!?" if self.pieces.findall(f"ab{x}") == ["ab", x]}  # what is one piece behind letters
 
     def _compile(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
         size = max(vocab.values()) + 1
@@ -205,34 +209,37 @@ class Automaton:
 
     def forget(self) -> None:
         """Empty the stores of runs and pieces, and go back to the first state alone."""
-        self.chunks: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, list[int]] = {}
         self._restart()
 
     def _restart(self) -> None:
         """Back to the first state alone."""
-        self.move: dict[int, int] = {}
-        self.number: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
-        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
-        self.last: list[int] = [-1]
+        self.states: dict[tuple[int, tuple[int, ...]], dict] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.start = self._state(0, (-1,))
 
-    def _fill(self, state: int, symbol: int) -> int:
+    def _state(self, spelled: int, lasts: tuple[int, ...]) -> dict:
+        """The state that stands for ``spelled`` and ``lasts``: its row of the table of moves, with these two and the last token beside the symbols."""
+        to = self.states.get((spelled, lasts))
+        if to is None:
+            to = self.states[spelled, lasts] = {_LAST: lasts[-1], _LASTS: lasts, _SPELLED: spelled}
+        return to
+
+    def _fill(self, state: dict, symbol: int) -> dict:
         """Work out one move: spell on, and see which of the arcs that end here comes from the path that led to where it starts."""
-        spelled, lasts = self.states[state]
-        spelled = self._next(spelled, symbol)
+        lasts, pairs = state[_LASTS], self.pairs
+        spelled = self._next(state[_SPELLED], symbol)
         for t, size in self.ends[spelled]:
             before = lasts[-size]
-            if before < 0 or self.has_arc(before, t):
+            ok = pairs.get((before, t))
+            if ok is None:
+                ok = pairs[before, t] = before < 0 or self.has_arc(before, t)
+            if ok:
                 break
         # An arc that ends later begins where the longest beginning of an arc begins, at the earliest.
-        reached = spelled, (*lasts, t)[-1 - self.depth[spelled] :]
-        to = self.number.get(reached)
-        if to is None:
-            to = self.number[reached] = len(self.states)
-            self.states.append(reached)
-            self.last.append(t)
-        self.move[state << 9 | symbol] = to
+        to = state[symbol] = self._state(spelled, (*lasts, t)[-1 - self.depth[spelled] :])
         return to
 
     def encode_word(self, word: str) -> list[int]:
@@ -242,12 +249,10 @@ class Automaton:
             symbols[-1] += 256
         if len(self.states) >= MOST_STATES:
             self._restart()
-        move, last = self.move, self.last
-        state, path = 0, []
+        state, path = self.start, []
         for x in symbols:
-            to = move.get(state << 9 | x)
-            state = self._fill(state, x) if to is None else to
-            path.append(last[state])
+            state = state[x] if x in state else self._fill(state, x)
+            path.append(state[_LAST])
         length = self.length
         out, i = [], len(path)
         while i > 0:
@@ -257,56 +262,59 @@ class Automaton:
         out.reverse()
         return out
 
-    def _chunk(self, chunk: str) -> list[int]:
-        """The ids of a run of text without white space."""
-        text = normal(chunk)
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """What a run of text without white space encodes to, as bytes of its ids, and decodes to."""
+        text = chunk.lower() if chunk.isascii() else normal(chunk)
         if text.isascii() and text.isalpha():  # one piece
-            return self.encode_word(text)
-        out: list[int] = []
-        for piece in self.pieces.findall(text):
-            ids = self.words.get(piece)
-            if ids is None:
-                ids = self.encode_word(piece)
-                if len(piece) <= LONG:
-                    if len(self.words) >= MOST_WORDS:
-                        self.words.clear()
-                    self.words[piece] = ids
-            out += ids
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text. Pieces never cross white space, so each distinct run of other
-        characters is worked out once, as long as the stores of runs, pieces and moves have room."""
-        out: list[int] = []
-        known, older = self.chunks, self.older
+            out = self.encode_word(text)
+        else:
+            out = []
+            for piece in (text[:-1], text[-1:]) if text[-1:] in self.ends_alone and text[:-1].isalpha() and text.isascii() else self.pieces.findall(text):
+                ids = self.words.get(piece)
+                if ids is None:
+                    ids = self.encode_word(piece)
+                    if len(piece) <= LONG:
+                        if len(self.words) >= MOST_WORDS:
+                            self.words.clear()
+                        self.words[piece] = ids
+                out += ids
+        return struct.pack(f"<{len(out)}I", *out), self.decode(out)
+
+    def runs(self, text: str) -> list[tuple[bytes, str]]:
+        """Bytes of the ids of each run of characters between white space, and what they decode to. Pieces never cross white
+        space, so each distinct run is worked out once, as long as the stores of runs, pieces and moves have room."""
+        if len(self.chunks) >= MOST_CHUNKS:  # what was asked for since then is kept, the rest goes the next time
+            self.older, self.chunks = self.chunks, {}
+        known, older, out, long = self.chunks, self.older, [], []
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append((struct.pack("<I", self.special[part]), part))
                 continue
-            for chunk in self.white.split(part) if self.odd.search(part) else part.split():
-                ids = known.get(chunk)
-                if ids is None:
-                    ids = older.get(chunk)
-                    if ids is None:
-                        ids = self._chunk(chunk)
-                    if len(chunk) <= LONG:
-                        if len(known) >= MOST_CHUNKS:  # what was asked for since then is kept, the rest goes the next time
-                            older, known = known, {}
-                            self.chunks, self.older = known, older
-                        known[chunk] = ids
-                out += ids
-        return np.array(out, np.uint32)
+            chunks = self.white.split(part) if self.odd.search(part) else part.split()
+            for chunk in set(chunks).difference(known):
+                known[chunk] = older.get(chunk) or self._chunk(chunk)
+                if len(chunk) > LONG:
+                    long.append(chunk)
+            out += map(known.__getitem__, chunks)
+        for chunk in long:
+            known.pop(chunk, None)
+        return [x for x in out if x[0]]  # an empty string stands before and behind white space
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        return np.frombuffer(b"".join([x[0] for x in self.runs(text)]), "<u4")
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids) -> str:
         labels = self.labels
-        return " ".join([labels[i] for i in ids.tolist()])
+        return " ".join([labels[int(i)] for i in ids])
 
 
 def normal(text: str) -> str:
     """NFC, then lower case letter by letter (a final sigma is not treated apart). What stands on either side of a
     mark without an order is normalised on its own, as no other mark moves past it."""
     if not text.isascii():
-        text = "".join([unicodedata.normalize("NFC", part) for part in _UNORDERED.split(text)])
+        if not unicodedata.is_normalized("NFC", text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in _UNORDERED.split(text)])
         text = text.translate(SMALL) if _NEW_CAPITAL.search(text) else text
     return text.replace("Σ", "σ").lower()
 
@@ -351,9 +359,9 @@ def encoded(text: Column, vocabulary) -> Column:
     def work(automaton: Automaton, texts: pa.Array) -> pa.Array:
         parts, hashes = [np.zeros(0, np.int32)], []
         for t in texts:
-            found = automaton.encode(t.as_py() or "")
-            parts.append(found.astype(np.int32))
-            hashes.append(hashlib.sha256(automaton.decode(found).encode()).hexdigest())
+            found = automaton.runs(t.as_py() or "")
+            parts.append(np.frombuffer(b"".join([x[0] for x in found]), "<i4"))
+            hashes.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
         ends = pa.array(np.cumsum([len(p) for p in parts]), pa.int32())
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts))), pa.array(hashes, pa.string())], ["ids", "decoded_sha256"])
 
@@ -369,10 +377,11 @@ def digests(text: Column, vocabulary) -> Column:
     def work(automaton: Automaton, texts: pa.Array) -> pa.Array:
         counts, hashes, backs = [], [], []
         for t in texts:
-            found = automaton.encode(t.as_py() or "")
-            counts.append(len(found))
-            hashes.append(hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
-            backs.append(hashlib.sha256(automaton.decode(found).encode()).hexdigest())
+            found = automaton.runs(t.as_py() or "")
+            ids = b"".join([x[0] for x in found])
+            counts.append(len(ids) // 4)
+            hashes.append(hashlib.sha256(ids).hexdigest())
+            backs.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
         columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
         return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
