@@ -51,7 +51,7 @@ COMPARED_TYPE = "struct<linked: boolean, size: bigint, lacks: array<bigint>, add
 #: Pairs of texts that are compared at a time.
 PAIRS = 256
 #: Documents with an element in common, up to so many, are compared with each other instead of with a lead.
-FEW = 16
+FEW = 64
 
 #: MinHash values in a signature: with eight in a key, documents that share a passage seldom meet.
 WIDTH = 4
