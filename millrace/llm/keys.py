@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.lineage import temporary
@@ -38,19 +41,30 @@ def attach(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, both, how).drop("__doc_id", "__text_hash")
 
 
-def with_matches(docs: DataFrame, find: Callable[[], DataFrame], column: str, work: Callable[[Column, Column], Column]) -> DataFrame:
-    """The keyed ``docs`` with ``done``, which is work(matches, skip): matches is ``column`` of what ``find`` gives (a row for each
-    document with matches) or null, and where skip is true the result is null and not used. Of the tables that ``find``
-    makes only its result stays.
+def with_matches(
+    docs: DataFrame, find: Callable[[], DataFrame], column: str, work: Callable[[pa.Array, pa.Array, pa.Array], pa.Array], kind: str
+) -> DataFrame:
+    """The keyed ``docs`` with ``done`` (of type ``kind``), which is work(text, matches, skip): matches is ``column`` of what
+    ``find`` gives (a row for each document with matches) or null, and where skip is true the result is null and not used. Of the
+    tables that ``find`` makes only its result stays.
 
-    Only texts that may have matches, by a bounded filter on their keys, are shuffled; the others pass through.
+    Only texts that may have matches, by a bounded filter on their keys, are shuffled; the others pass through. The filter is
+    looked into by the same Python worker that does the work, as a task's second worker would need as much memory again.
     """
     with temporary(docs.sparkSession) as keep:
         found = keep(find(), "found")
-    hit = bloom.build(found.select(F.xxhash64("doc_id", "text_hash").alias("h")))
-    may = bloom.maybe(F.xxhash64("doc_id", "text_hash"), hit)
-    near = attach(docs.filter(may), found, "left").withColumn("done", work(F.col(column), F.lit(False))).drop(column)
+    key = F.xxhash64("doc_id", "text_hash")
+    hit = bloom.build(found.select(key.alias("h")))
+
+    def run(text: pa.Array, matches: pa.Array, key: pa.Array) -> pa.Array:
+        skip = np.zeros(len(text), bool)
+        if hit is not None and key.null_count < len(key):
+            skip = hit.value.contains(pc.fill_null(key, 0).to_numpy(zero_copy_only=False))
+        return work(text, matches, pa.array(skip))
+
+    done = lambda matches, key: F.arrow_udf(run, kind).asNondeterministic()("text", matches, key)
+    near = attach(docs.filter(bloom.maybe(key, hit)), found, "left").withColumn("done", done(F.col(column), F.lit(None).cast("bigint"))).drop(column)
     if hit is None:
         return near
-    far = docs.withColumn("done", work(F.lit(None).cast(found.schema[column].dataType), may)).filter("done is not null")
+    far = docs.withColumn("done", done(F.lit(None).cast(found.schema[column].dataType), key)).filter("done is not null")
     return near.unionByName(far)

@@ -132,14 +132,15 @@ def signed(text: Column, n: int, t: int) -> Column:
     return F.arrow_udf(run, SIGNED_TYPE).asNondeterministic()(text)
 
 
-def packed(text: Column) -> Column:
-    """Each text, compressed: it takes less room than the hashes of its set."""
+def packed(text: Column, key: Column, chosen) -> Column:
+    """Each text whose key may be in the filter, compressed: it takes less room than the hashes of its set. The others as null."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
         press = zstandard.ZstdCompressor(level=3)
-        return pa.array([press.compress((t.as_py() or "").encode()) for t in texts], pa.binary())
+        may = chosen.value.contains(keys.to_numpy(zero_copy_only=False)) if chosen else np.ones(len(texts), bool)
+        return pa.array([press.compress((t.as_py() or "").encode()) if m else None for t, m in zip(texts, may, strict=True)], pa.binary())
 
-    return F.arrow_udf(run, "binary").asNondeterministic()(text)
+    return F.arrow_udf(run, "binary").asNondeterministic()(text, key)
 
 
 def _sets(packs: pa.Array, n: int) -> list[np.ndarray]:
@@ -332,8 +333,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int, miss: float) -> DataFr
     # The texts of one document of each class that shares a key. The filter lets a few others pass, which the join drops.
     met = groups.select("node").unionAll(groups.select("lead")).distinct()
     one = stash(classes.select("node", "h").join(met, "node"), "chosen")
-    whole = texts.select("text", F.xxhash64("doc_id", "text_hash").alias("h")).filter(bloom.maybe(F.col("h"), bloom.build(one.select("h"))))
-    sets = stash(one.join(whole.select("h", packed(F.col("text")).alias("pack")), "h").dropDuplicates(["node"]).select("node", "pack"), "sets")
+    h = F.xxhash64("doc_id", "text_hash")
+    whole = texts.select(h.alias("h"), packed(F.col("text"), h, bloom.build(one.select("h"))).alias("pack")).filter("pack is not null")
+    sets = stash(one.join(whole, "h").dropDuplicates(["node"]).select("node", "pack"), "sets")
     roots = linked(groups, sets, sharing.select("node", "rank"), shingle, percent).join(classes.select("node", "set_hash"), "node").select("root", "set_hash")
     roots = roots.withColumnRenamed("root", "root_node").join(classes.select(F.col("node").alias("root_node"), F.col("set_hash").alias("root")), "root_node").select("set_hash", "root")
     named = classes.select("set_hash", "least").join(roots, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))

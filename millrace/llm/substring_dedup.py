@@ -176,8 +176,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.StructArray.from_arrays(columns, ["n_words", "n_removed", "kept_sha256"], mask=pa.array(passed))
 
     whole = keyed(docs)
-    work = lambda starts, skip: F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", starts, skip)
-    return with_matches(whole, lambda: repeats(whole, window), "starts", work).select("doc_id", "done.*")
+    return with_matches(whole, lambda: repeats(whole, window), "starts", run, DIGEST_TYPE).select("doc_id", "done.*")
 
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -204,6 +203,5 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     names = docs.columns
     whole = docs.withColumnsRenamed({c: f"{c}__" for c in names if c not in ("doc_id", "text")}).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    work = lambda starts, skip: F.arrow_udf(run, "struct<text: string>").asNondeterministic()("text", starts, skip)
-    done = with_matches(whole, lambda: repeats(keyed(docs), window), "starts", work).withColumn("text", F.col("done.text"))
+    done = with_matches(whole, lambda: repeats(keyed(docs), window), "starts", run, "struct<text: string>").withColumn("text", F.col("done.text"))
     return done.select(*(c if c in ("doc_id", "text") else F.col(f"{c}__").alias(c) for c in names))

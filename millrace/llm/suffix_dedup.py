@@ -331,8 +331,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.StructArray.from_arrays(columns, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], mask=pa.array(skip.to_numpy(zero_copy_only=False)))
 
     whole = keyed(docs)
-    work = lambda runs, skip: F.arrow_udf(run, DIGEST_TYPE).asNondeterministic()("text", runs, skip)
-    return with_matches(whole, lambda: repeats(whole, length), "runs", work).select("doc_id", "done.*")
+    return with_matches(whole, lambda: repeats(whole, length), "runs", run, DIGEST_TYPE).select("doc_id", "done.*")
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -346,5 +345,4 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(out, pa.string())], ["text"], mask=pa.array(skip.to_numpy(zero_copy_only=False)))
 
     whole = keyed(docs)
-    work = lambda runs, skip: F.arrow_udf(run, "struct<text: string>").asNondeterministic()("text", runs, skip)
-    return with_matches(whole, lambda: repeats(whole, length), "runs", work).select("doc_id", "done.text")
+    return with_matches(whole, lambda: repeats(whole, length), "runs", run, "struct<text: string>").select("doc_id", "done.text")
