@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from millrace.plans.lineage import stash
 
 from .keys import attach
 
-FEATURES = 1 << 12
+FEATURES = 1 << 14
 #: Bound on the paragraphs of the corpus that the classifier is trained on.
 NEGATIVES = 2000
 ERRORS = 0.005
@@ -42,39 +42,59 @@ OVERLAP = 0.6
 RUN = 4
 _BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 
-# Opening sentences and notices of public licences.
+# Sentences, notices, tags and short forms of public licences.
 TEMPLATES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Apache License 2.0",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "SPDX-License-Identifier: MIT",
+        "This file is under MIT.",
+        "MIT License",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPLv3 licensed.",
+        "Licensed under the GPLv2.",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "Licensed under the terms of the GNU LGPL v2.1 or later.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "bsd": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc_by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc_by_nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "proprietary": (
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
@@ -83,14 +103,14 @@ TEMPLATES = {
 }
 #: The words of each template that other licences lack.
 MARKS = {
-    "apache": ("apache", "apache"),
-    "mit": ("mit", "charge obtaining documentation"),
-    "gpl": ("gnu general public", "gnu general public"),
-    "lgpl": ("gnu lesser", "gnu lesser"),
-    "bsd": ("bsd", "redistribution source binary conditions"),
-    "mpl": ("mozilla", "mozilla"),
-    "cc_by": ("commons attribution", "cc by"),
-    "cc_by_nc": ("commons attribution-noncommercial", "cc by-nc"),
+    "apache": ("apache", "apache", "required applicable agreed writing basis", "spdx-license-identifier apache-2.0", "apache license"),
+    "mit": ("mit", "charge obtaining documentation", "above permission notice substantial portions", "software provided warranty noninfringement", "authors liable tort dealings software", "spdx-license-identifier mit", "under mit", "mit license"),
+    "gpl": ("gnu general public", "gnu general public", "program distributed hope useful warranty", "spdx-license-identifier gpl-3.0-or-later", "gplv3", "gplv2"),
+    "lgpl": ("gnu lesser", "gnu lesser", "lgpl", "spdx-license-identifier lgpl-2.1-or-later"),
+    "bsd": ("bsd", "redistribution source binary conditions", "redistributions retain conditions disclaimer", "spdx-license-identifier bsd-3-clause"),
+    "mpl": ("mozilla", "mozilla", "spdx-license-identifier mpl-2.0"),
+    "cc_by": ("commons attribution", "cc by", "spdx-license-identifier cc-by-4.0"),
+    "cc_by_nc": ("commons attribution-noncommercial", "cc by-nc", "spdx-license-identifier cc-by-nc-4.0"),
     "proprietary": ("rights reserved reproduced", "proprietary confidential"),
 }
 #: Words that name another family than the one whose template they extend.
@@ -112,8 +132,23 @@ OTHERS = (
     "This is free and unencumbered software released into the public domain.",
     "Permission is granted to anyone to use this software for any purpose, including commercial applications",
 )
+#: Sentences that use a licence's words for something else.
+ORDINARY = (
+    "The gardener showed a licence for the market and a permission slip from the school.",
+    "Her licence to fish in the lake was renewed in the spring.",
+    "He asked for permission to leave the room and was granted it without any conditions.",
+    "All rights and duties of the citizens were debated in the council.",
+    "The copyright of the song was sold to a singer, and the rights to the film followed.",
+    "They redistributed the land among the farmers under the terms of the treaty.",
+    "The permit was granted free of charge to every person in the village.",
+    "A copy of the software was shown at the fair, with a warranty of two years.",
+    "The driving licence had to be used in accordance with the law of the country.",
+    "The notice above the door said that no person may enter without permission.",
+)
 FAMILIES = ("none", *TEMPLATES)
-_VOCABULARY = r"(?i)licen[sc]e|copyright|\brights\b|permission|redistribut|proprietary|creative commons|\bcc by\b"
+_VOCABULARY = r"(?i)licen[sc]e|warrant|liab|gpl|copyright|\brights\b|permission|redistribut|proprietary|creative commons|\bcc by\b"
+#: Not for negatives either: a family's name that is a word of other languages too.
+_NAMED = _VOCABULARY + r"|\bmit\b"
 
 
 def words(text: Column) -> Column:
@@ -121,30 +156,31 @@ def words(text: Column) -> Column:
 
 
 def other_lines(docs: DataFrame) -> DataFrame:
-    """(line): the lines that hold a letter, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
-    pars = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _BLANK)).alias("paragraph")).filter(~F.regexp_replace("paragraph", r"\s+", " ").rlike(_VOCABULARY))
-    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}"))
+    """(line): the distinct lines that hold a letter, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
+    pars = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _BLANK)).alias("paragraph")).filter(~F.regexp_replace("paragraph", r"\s+", " ").rlike(_NAMED))
+    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}")).distinct()
 
 
 def _examples(spark: SparkSession) -> DataFrame:
     """(family, line, plain): each template and each of ``OTHERS``, 40 times, less a few words (not those that name a family,
     as a GNU Lesser licence without ``lesser`` is an example of another one) and between other words."""
-    rows = [(family, text) for family, texts in [*TEMPLATES.items(), ("other", OTHERS)] for text in texts]
+    rows = [(family, text) for family, texts in [*TEMPLATES.items(), ("other", OTHERS), ("none", ORDINARY)] for text in texts]
     filler = "the following work and its parts are made available see below for details of use in other places".split()
     told = spark.createDataFrame(rows, "family string, text string").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(39))))
     pick = lambda salt, n: F.pmod(F.xxhash64("text", "copy", F.lit(salt)), F.lit(n)).cast("int")
     around = lambda salt: F.array_join(F.slice(F.array(*map(F.lit, filler)), pick(salt, 8) + 1, pick(salt + 1, 5)), " ")
     names = {name for texts in [*MARKS.values(), FOREIGN.values()] for text in texts for name in text.split()}
-    named = lambda w: (F.col("family") == "other") | F.arrays_overlap(words(w), F.array(*map(F.lit, sorted(names))))
+    named = lambda w: F.col("family").isin("other", "none") | F.arrays_overlap(words(w), F.array(*map(F.lit, sorted(names))))
     kept = F.filter(F.split("text", " "), lambda w, i: named(w) | (F.pmod(F.xxhash64("text", "copy", i), F.lit(12)) != 0))
     line = F.when(F.col("copy") % 2 == 0, F.col("text")).otherwise(F.concat_ws(" ", around(1), F.array_join(kept, " "), around(3)))
     return told.select("family", line.alias("line"), (line == F.col("text")).alias("plain"))
 
 
 def _features() -> list:
+    """Stages from words to one vector of hashed words, pairs and triples of neighbouring words."""
     stages = [NGram(n=n, inputCol="words", outputCol=f"g{n}") for n in (2, 3)]
-    stages += [HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=FEATURES, binary=True) for c in ("words", "g2", "g3")]
-    return [*stages, VectorAssembler(inputCols=["words_tf", "g2_tf", "g3_tf"], outputCol="features")]
+    together = SQLTransformer(statement="SELECT *, concat(words, g2, g3) AS terms FROM __THIS__")
+    return [*stages, together, HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True)]
 
 
 def train(docs: DataFrame) -> tuple[PipelineModel, float]:
@@ -191,14 +227,16 @@ def overlap(tokens: Column, family: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_paragraphs, n_licence (paragraphs that look like a licence)
-    and families (sorted; ``unknown`` for those that are unsure or that no template confirms)."""
+    and families (sorted; ``unknown`` for those that are unsure or that no template confirms, and that hold a word of the licence vocabulary)."""
     model, least = train(docs)
     row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    told = model.transform(units(row).withColumn("words", words(F.col("line"))).drop("line"))
+    told = model.transform(units(row).withColumn("words", words(F.col("line"))))
     names = F.array(*map(F.lit, FAMILIES))
     told = told.filter("prediction > 0").withColumn("family", F.element_at(names, (F.col("prediction") + 1).cast("int")))
     sure = (F.array_max(vector_to_array("probability")) >= least) & (overlap(F.col("words"), F.col("family")) >= OVERLAP)
-    told = told.select("doc_id", "text_hash", "par", "first", "last", "family", sure.alias("sure"), (F.col("last") - F.col("first") < RUN).alias("short"))
+    # What no template confirms is an unknown licence only if it speaks of one.
+    told = told.withColumn("sure", sure).filter(F.col("sure") | F.col("line").rlike(_VOCABULARY))
+    told = told.select("doc_id", "text_hash", "par", "first", "last", "family", "sure", (F.col("last") - F.col("first") < RUN).alias("short"))
     found = _paragraph_families(told).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_licence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"))
     counted = row.select("doc_id", "text_hash", F.size(F.filter(F.split("text", _BLANK), lambda x: x.rlike(r"\p{L}"))).cast("bigint").alias("n_paragraphs"))
     out = attach(counted, found, "left")

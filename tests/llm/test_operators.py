@@ -424,6 +424,61 @@ def test_licences_outside_templates_are_unknown(spark):
     assert got[3:] == [[family] for family, texts in license_scan.TEMPLATES.items() for _ in texts]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+AS_IS = """Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_licences_whole_texts_tags_and_ordinary_words(spark):
+    cases = [
+        (MIT_TEXT, ["mit"]),
+        ("This file is under MIT.", ["mit"]),
+        ("SPDX-License-Identifier: Apache-2.0", ["apache"]),
+        ("// SPDX-License-Identifier: MIT", ["mit"]),
+        ("GPLv3 licensed. See COPYING.", ["gpl"]),
+        ("Licensed under the terms of the GNU LGPL v2.1 or later.", ["lgpl"]),
+        (AS_IS, ["apache"]),
+        ("She got a licence for her garden and a permission slip for the trip.", []),
+        ("The court granted the license of the driver, free of charge.", []),
+        ("Der Hund ging mit dem Mann unter den Baum und blieb dort.", []),
+        ("word " * 60_000, []),
+        (None, []),
+        ("", []),
+    ]
+    schema = "doc_id bigint, text string, line string, words int, family string, prediction int, sure boolean"
+    rows = [(None if i == 1 else i, text, "x", 1, "y", 2, True) for i, (text, _) in enumerate(cases)]
+    out = license_scan.scan(spark.createDataFrame([*rows, rows[0]], schema)).collect()
+    assert len(out) == len(rows) + 1
+    got = {1 if r["doc_id"] is None else r["doc_id"]: r["families"] for r in out}
+    assert got == {i: families for i, (_, families) in enumerate(cases)}
+
+
+def test_licences_empty_table(spark, empty):
+    assert license_scan.scan(empty).collect() == []
+
+
 def test_licences_wrapped(spark):
     notices = [(family, texts[k]) for family, texts in license_scan.TEMPLATES.items() for k in (0, 1)]
     rows = []
