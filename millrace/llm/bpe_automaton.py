@@ -45,11 +45,9 @@ from pyspark.sql import functions as F
 DIGEST_TYPE = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
 ENCODED_TYPE = "struct<ids: array<int>, decoded_sha256: string>"
 #: Bounds on what a worker keeps: states of the table over bytes, pieces of words, and (twice as many, and those of one text) runs of text without white space.
-MOST_STATES, MOST_WORDS, MOST_CHUNKS = 1 << 18, 1 << 16, 3 << 16
+MOST_STATES, MOST_WORDS, MOST_CHUNKS = 3 << 16, 1 << 15, 1 << 17
 #: Longer pieces and runs are not kept.
 LONG = 64
-#: What a state holds beside its moves, which have the numbers of symbols, from 0 on.
-_LAST, _LASTS, _SPELLED = -1, -2, -3
 
 
 def _byte_symbols() -> list[str]:
@@ -90,8 +88,10 @@ def _unknown() -> str:
 
     told = regex.compile(r"[\p{L}\p{N}]")
     later = {c for lo, hi in LATER for c in range(lo, hi + 1)}
-    none = "".join(x for x in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(x) == "Cn")
-    odd = [c for c in map(ord, told.findall(none)) if c not in later]
+    odd: list[int] = []
+    for lo in range(0x80, sys.maxunicode + 1, 1 << 12):  # a part at a time, as all of them take much room
+        none = "".join(x for x in map(chr, range(lo, min(lo + (1 << 12), sys.maxunicode + 1))) if unicodedata.category(x) == "Cn")
+        odd += [c for c in map(ord, told.findall(none)) if c not in later]
     runs: list[list[int]] = []
     for c in odd:
         if runs and runs[-1][1] == c - 1:
@@ -108,7 +108,7 @@ class Automaton:
     base symbol). ``lost[u]``: the arcs that the state behind token u lost, with the merge at which
     it was split for it; ``split[u]``: the first such merge. ``spelling``, ``shorter``, ``depth``, ``ends``: the moves of the tokens'
     spelling, the state of the next shorter end, how many bytes lead to a state, and the tokens that end at it with their lengths, the
-    longest first. ``states``: the table over bytes, row by row, by what a state stands for.
+    longest first. ``move``, ``states``, ``last``: the table over bytes, what its states stand for, and the token that ends at each.
     """
 
     def __init__(self, vocabulary: dict) -> None:
@@ -216,30 +216,31 @@ class Automaton:
 
     def _restart(self) -> None:
         """Back to the first state alone."""
-        self.states: dict[tuple[int, tuple[int, ...]], dict] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.start = self._state(0, (-1,))
+        self.move: dict[int, int] = {}
+        self.number: dict[tuple[int, tuple[int, ...]], int] = {(0, (-1,)): 0}
+        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
+        self.last: list[int] = [-1]
+        self.pairs: dict[int, bool] = {}
 
-    def _state(self, spelled: int, lasts: tuple[int, ...]) -> dict:
-        """The state that stands for ``spelled`` and ``lasts``: its row of the table of moves, with these two and the last token beside the symbols."""
-        to = self.states.get((spelled, lasts))
-        if to is None:
-            to = self.states[spelled, lasts] = {_LAST: lasts[-1], _LASTS: lasts, _SPELLED: spelled}
-        return to
-
-    def _fill(self, state: dict, symbol: int) -> dict:
+    def _fill(self, state: int, symbol: int) -> int:
         """Work out one move: spell on, and see which of the arcs that end here comes from the path that led to where it starts."""
-        lasts, pairs = state[_LASTS], self.pairs
-        spelled = self._next(state[_SPELLED], symbol)
+        spelled, lasts = self.states[state]
+        spelled, pairs = self._next(spelled, symbol), self.pairs
         for t, size in self.ends[spelled]:
             before = lasts[-size]
-            ok = pairs.get((before, t))
+            ok = pairs.get(before << 20 | t)
             if ok is None:
-                ok = pairs[before, t] = before < 0 or self.has_arc(before, t)
+                ok = pairs[before << 20 | t] = before < 0 or self.has_arc(before, t)
             if ok:
                 break
         # An arc that ends later begins where the longest beginning of an arc begins, at the earliest.
-        to = state[symbol] = self._state(spelled, (*lasts, t)[-1 - self.depth[spelled] :])
+        reached = spelled, (*lasts, t)[-1 - self.depth[spelled] :]
+        to = self.number.get(reached)
+        if to is None:
+            to = self.number[reached] = len(self.states)
+            self.states.append(reached)
+            self.last.append(t)
+        self.move[state << 9 | symbol] = to
         return to
 
     def encode_word(self, word: str) -> list[int]:
@@ -249,10 +250,12 @@ class Automaton:
             symbols[-1] += 256
         if len(self.states) >= MOST_STATES:
             self._restart()
-        state, path = self.start, []
+        move, last = self.move, self.last
+        state, path = 0, []
         for x in symbols:
-            state = state[x] if x in state else self._fill(state, x)
-            path.append(state[_LAST])
+            to = move.get(state << 9 | x)
+            state = self._fill(state, x) if to is None else to
+            path.append(last[state])
         length = self.length
         out, i = [], len(path)
         while i > 0:
