@@ -265,23 +265,40 @@ class Automaton:
         out.reverse()
         return out
 
+    def _known(self, chunk: str) -> tuple[bytes, str]:
+        """What a run encodes and decodes to, from the stores if it is there; if not, it is stored."""
+        found = self.chunks.get(chunk) or self.older.get(chunk) or self._chunk(chunk)
+        if len(chunk) <= LONG:
+            self.chunks[chunk] = found
+        return found
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """What a run of text without white space encodes to, as bytes of its ids, and decodes to."""
-        text = chunk.lower() if chunk.isascii() else normal(chunk)
-        if text.isascii() and text.isalpha():  # one piece
-            out = self.encode_word(text)
+        if chunk.isascii():
+            text = chunk.lower()
+            if text != chunk:
+                return self._known(text)
+            if text.isalpha():  # one piece
+                return self._packed(self.encode_word(text))
+            if text[:-1].isalpha() and text[-1] in self.ends_alone:  # two
+                (ids, said), (end_ids, end) = self._known(text[:-1]), self._known(text[-1])
+                return ids + end_ids, f"{said} {end}"
         else:
-            out = []
-            for piece in (text[:-1], text[-1:]) if text[-1:] in self.ends_alone and text[:-1].isalpha() and text.isascii() else self.pieces.findall(text):
-                ids = self.words.get(piece)
-                if ids is None:
-                    ids = self.encode_word(piece)
-                    if len(piece) <= LONG:
-                        if len(self.words) >= MOST_WORDS:
-                            self.words.clear()
-                        self.words[piece] = ids
-                out += ids
-        return struct.pack(f"<{len(out)}I", *out), self.decode(out)
+            text = normal(chunk)
+        out: list[int] = []
+        for piece in self.pieces.findall(text):
+            ids = self.words.get(piece)
+            if ids is None:
+                ids = self.encode_word(piece)
+                if len(piece) <= LONG:
+                    if len(self.words) >= MOST_WORDS:
+                        self.words.clear()
+                    self.words[piece] = ids
+            out += ids
+        return self._packed(out)
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def runs(self, text: str) -> list[tuple[bytes, str]]:
         """Bytes of the ids of each run of characters between white space, and what they decode to. Pieces never cross white
