@@ -194,6 +194,24 @@ def visited(queries: DataFrame, corpus: DataFrame, k: int, group: str = "any") -
     return each.select("visited", (F.col("q") * int(cells.parts[cells.n > 0].sum())).alias("blocks"))
 
 
+def gram_distances(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(a, b, dist): Euclidean distances from inner products, sqrt(x.x + y.y - 2 x.y), never below 0 and 0 from a row to itself. All pairs of
+    the two sides, in blocks: ``queries`` is meant to be a stated set of rows."""
+    left = queries.select(F.col("id").alias("l_id"), F.col("vec").alias("lv"))
+    right = corpus.select(F.col("id").alias("r_id"), F.col("vec").alias("rv"))
+    a, b = _crossed(left, right)
+
+    def all_of(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"a": [], "b": [], "dist": []})
+        x, y = _stacked(q["lv"]), _stacked(c["rv"])
+        square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
+        one, two = np.repeat(q["l_id"].to_numpy(), len(y)), np.tile(c["r_id"].to_numpy(), len(x))
+        return pd.DataFrame({"a": one, "b": two, "dist": np.where(one == two, 0.0, np.sqrt(np.maximum(square, 0)).ravel())})
+
+    return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInPandas(all_of, "a bigint, b bigint, dist double")
+
+
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, r): pairs a < b of (id, vec) whose centred cosine is above the threshold."""
     unit_rows = rows.select("id", unit(F.col("vec")).alias("u"))

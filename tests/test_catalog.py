@@ -1,9 +1,9 @@
 import pytest
 from compare import connect, differences
-from millrace.plans import arrays, catalog, oracles, publishing, reports
+from millrace.plans import arrays, catalog, measures, oracles, publishing, reports
 
-QUERIES = catalog.QUERIES | reports.QUERIES | arrays.QUERIES | publishing.QUERIES
-ORACLES = oracles.ORACLES | reports.ORACLES | arrays.ORACLES | publishing.ORACLES
+QUERIES = catalog.QUERIES | reports.QUERIES | arrays.QUERIES | publishing.QUERIES | measures.QUERIES
+ORACLES = oracles.ORACLES | reports.ORACLES | arrays.ORACLES | publishing.ORACLES | measures.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
