@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from millrace.functions.draws import draw
 
 from .ranking import numbered
 
-#: Pooled samples smaller than this get every assignment, larger ones sampled assignments.
-EXACT_BELOW = 7
+#: Pooled samples of this size or more have too many assignments to go through (352,716 of 10 in 21); larger ones get sampled assignments.
+EXACT_BELOW = 21
 #: Statistics this close to the observed one, relative to it, count as equal: sums are added up in any order.
 SLACK = 1e-9
 
@@ -24,19 +26,79 @@ def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def replicates(values: DataFrame, group: list[str], order: str, measures: dict[str, Column], n_boot: int, salt: str = "boot") -> DataFrame:
     """(group, rep, measures): each replicate draws as many rows of its group as there are, with replacement.
 
-    A draw depends on the group, so that groups are drawn independently. The draws are joined with the
-    rows by position; measures are aggregates of the drawn rows. Replicates are dealt to tasks before they are drawn;
-    rows are group values, not raw data.
+    For measures that are no sums, as a median; sums are made by ``resampled_sums``, without joining rows with their draws. A draw
+    depends on the group, so that groups are drawn independently. The draws are joined with the rows by position;
+    measures are aggregates of the drawn rows. Replicates are dealt to tasks before they are drawn; rows are group values, not raw data.
     """
     placed = numbered(values, group, [order])
     sizes = placed.groupBy(*group).agg(F.max("n").alias("n")) if group else placed.agg(F.max("n").alias("n"))
     drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).repartition(*group, "rep")
     drawn = drawn.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    drawn = drawn.withColumn("i", F.pmod(draw(salt, *map(F.col, group), F.col("rep"), F.col("k")), F.col("n"))).drop("n", "k")
+    drawn = drawn.withColumn("i", position(draw(salt, *map(F.col, group)), F.col("rep"), F.col("k"), F.col("n"))).drop("n", "k")
     on = [*group, "i"]
     return drawn.join(placed.withColumn("i", F.col("i").cast("bigint")).drop("n"), on).groupBy(*group, "rep").agg(*(c.alias(m) for m, c in measures.items()))
 
 
+#: Shifts and factors of the draws' mixture; factors are below 2**31, so that no product leaves 63 bits.
+MIXERS = ((16, 2146121005), (15, 1812433253))
+#: Values and replicates that a task works on at a time, and draws that it holds.
+VALUES, REPLICATES, DRAWS = 1 << 16, 500, 1 << 21
+
+
+def positions(seed: np.ndarray, rep: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The position that each draw hits: a 32-bit mixture of the seed, the replicate and the number of the draw, modulo n."""
+    low = np.uint64(0xFFFFFFFF)
+    h = (seed.astype(np.uint64) + rep.astype(np.uint64) * np.uint64(2654435769) + k.astype(np.uint64) * np.uint64(2246822519)) & low
+    for shift, factor in MIXERS:
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(factor)) & low
+    return ((h ^ (h >> np.uint64(16))) % n.astype(np.uint64)).astype(np.int64)
+
+
+def position(seed: Column, rep: Column, k: Column, n: Column) -> Column:
+    """The same as an expression."""
+    low = F.lit(0xFFFFFFFF)
+    h = (seed + rep * F.lit(2654435769) + k * F.lit(2246822519)).bitwiseAND(low)
+    for shift, factor in MIXERS:
+        h = (h.bitwiseXOR(F.shiftright(h, shift)) * F.lit(factor)).bitwiseAND(low)
+    return F.pmod(h.bitwiseXOR(F.shiftright(h, 16)), n)
+
+
+def resampled_sums(values: DataFrame, group: list[str], order: str, columns: list[str], n_boot: int, salt: str = "boot") -> DataFrame:
+    """(group, rep, n, columns): for each replicate, which draws as many rows of its group as there are with replacement, the sums of the
+    columns over the rows drawn. Draws depend on the group, so that groups are drawn independently.
+
+    No row is joined with its draws. The rows are dealt to blocks of ``VALUES``, once for each ``REPLICATES`` replicates; a task makes the
+    group's draws for its replicates, counts those that hit its block, and multiplies the counts with the block's columns.
+    """
+    named = values.select(*group, order, *(F.col(c).cast("double").alias(c) for c in columns))
+    placed = numbered(named, group, [order]).select(*group, F.col("i").cast("bigint").alias("i"), "n", *columns)
+    placed = placed.withColumn("seed__", draw(salt, *map(F.col, group))).withColumn("block__", F.floor(F.col("i") / VALUES))
+    dealt = placed.withColumn("part__", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // REPLICATES) - 1))))
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        n, seed, low = int(rows["n"].iloc[0]), np.uint64(rows["seed__"].iloc[0]), int(rows["i"].iloc[0])
+        x = rows[columns].to_numpy(float)
+        reps = np.arange(key[-1] * REPLICATES + 1, min((key[-1] + 1) * REPLICATES, n_boot) + 1)
+        out = np.zeros((len(reps), len(columns)))
+        step = max(1, DRAWS // n)
+        for lo in range(0, len(reps), step):
+            few = reps[lo : lo + step]
+            hits = np.zeros(len(few) * len(x), np.int64)
+            for first in range(0, n, DRAWS):
+                k = np.arange(first, min(first + DRAWS, n))
+                at = positions(seed, few[:, None], k[None, :], np.uint64(n)) - low
+                inside = (at >= 0) & (at < len(x))
+                hits += np.bincount((np.arange(len(few))[:, None] * len(x) + at)[inside], minlength=len(hits))
+            out[lo : lo + step] = hits.reshape(len(few), len(x)) @ x
+        told = {g: [v] * len(reps) for g, v in zip(group, key, strict=False)}
+        return pd.DataFrame(told | {"rep": reps, "n": n} | {c: out[:, j] for j, c in enumerate(columns)})
+
+    kinds = [f"`{g}` {values.schema[g].dataType.simpleString()}" for g in group] + ["rep bigint", "n bigint"] + [f"`{c}` double" for c in columns]
+    each = dealt.groupBy(*group, "block__", "part__").applyInPandas(sums, ", ".join(kinds))
+    return each.groupBy(*group, "rep").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in columns))
+
+
 def interval(reps: DataFrame, group: list[str], value: str = "stat", alpha: float = 0.05) -> DataFrame:
     """(group, ci_low, ci_high): the percentile interval over the replicates."""
     ends = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
@@ -46,7 +108,7 @@ def interval(reps: DataFrame, group: list[str], value: str = "stat", alpha: floa
 def contrast(deltas: DataFrame, group: list[str], order: str, n_boot: int) -> DataFrame:
     """(group, n, delta, ci_low, ci_high, excludes_zero): the mean difference and its bootstrap interval."""
     point = deltas.groupBy(*group).agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"))
-    ci = interval(replicates(deltas, group, order, {"stat": F.avg("delta")}, n_boot), group)
+    ci = interval(resampled_sums(deltas, group, order, ["delta"], n_boot).withColumn("stat", F.col("delta") / F.col("n")), group)
     out = point.join(ci, group) if group else point.crossJoin(ci)  # one row each
     return out.withColumn("excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
@@ -55,7 +117,9 @@ def exact_permutation(sample: DataFrame) -> DataFrame:
     """(observed, n_assignments, p_value, p_min) of the mean difference of sides a and b, over every way to
     deal out the pooled values. sample: (side, value, id), fewer than EXACT_BELOW rows."""
     pool = numbered(sample, [], ["id"]).select("i", "side", "value", "n")
-    na = pool.filter("side = 'a'").count()
+    na, n = pool.filter("side = 'a'").count(), pool.count()
+    if n >= EXACT_BELOW:
+        raise ValueError(f"{n} values have too many assignments: sampled_permutation deals out some of them")
     ways = pool.select(F.array("i").alias("taken"), F.col("value").alias("sum_a"), F.col("i").alias("last"))
     for _ in range(na - 1):
         nxt = pool.select(F.col("i").alias("j"), F.col("value").alias("v"))

@@ -10,7 +10,8 @@ from millrace.operators import curation, curves, eventlog, ranking, resampling,
 from millrace.sources.tables import read_table
 
 #: Bootstrap replicates, and permutations of the sampled test.
-N_BOOT, N_PERM = 1000, 10_000
+#: Replicates of a bootstrap, of the gate, and permutations.
+N_BOOT, N_GATE, N_PERM = 10_000, 1000, 10_000
 ARMS = "event_type"
 
 
@@ -53,7 +54,7 @@ def interaction(spark, d):
     a, b = (c.filter(F.col(ARMS) == x).select("user_id", "value") for x in ("purchase", "view"))
     deltas = resampling.paired(a, b, "user_id").withColumn("half", F.pmod(draw("half", F.col("user_id")), F.lit(2)))
     point = deltas.groupBy("half").agg(F.avg("delta").alias("m"), F.count("*").alias("n"))
-    reps = resampling.replicates(deltas, ["half"], "user_id", {"m": F.avg("delta")}, N_BOOT)
+    reps = resampling.resampled_sums(deltas, ["half"], "user_id", ["delta"], N_BOOT).withColumn("m", F.col("delta") / F.col("n"))
     two = reps.groupBy("rep").agg((F.max(F.when(F.col("half") == 0, F.col("m"))) - F.max(F.when(F.col("half") == 1, F.col("m")))).alias("stat"))
     diff = point.agg(F.sum("n").alias("n"), (F.max(F.when(F.col("half") == 0, F.col("m"))) - F.max(F.when(F.col("half") == 1, F.col("m")))).alias("difference"))
     return _rounded(diff.crossJoin(resampling.interval(two, [])))  # one row each
@@ -79,7 +80,7 @@ def permutation_sampled(spark, d):
 
 def cluster_bootstrap(spark, d):
     li = read_table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_discount").alias("s"), F.count("*").alias("k"))
-    reps = resampling.replicates(li, [], "l_suppkey", {"stat": F.sum("s") / F.sum("k")}, N_BOOT)
+    reps = resampling.resampled_sums(li, [], "l_suppkey", ["s", "k"], N_BOOT).withColumn("stat", F.col("s") / F.col("k"))
     point = li.agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("k")).alias("ratio"))
     return _rounded(point.crossJoin(resampling.interval(reps, [])))  # one row each
 

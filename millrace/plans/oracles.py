@@ -25,7 +25,9 @@ def _boot(source: str, group: str, order: str, stat: str) -> str:
     return (
         f"placed AS (SELECT *, row_number() OVER ({part} ORDER BY {order}) - 1 AS i, count(*) OVER ({part}) AS n FROM {source}), "
         f"sizes AS (SELECT {g}max(n) AS n FROM placed {'GROUP BY ' + group if group else ''}), "
-        f"drawn AS (SELECT {g}rep, {_draw(chr(39) + 'boot' + chr(39), *filter(None, [group]), 'rep', 'k')} % n AS i FROM (SELECT {g}n, rep, unnest(range(n)) AS k FROM (SELECT {g}n, unnest(range(1, {N_BOOT} + 1)) AS rep FROM sizes))), "
+        f"h0 AS (SELECT {g}n, rep, (seed + rep * 2654435769 + k * 2246822519) & 4294967295 AS h FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT {g}n, {_draw(chr(39) + 'boot' + chr(39), *filter(None, [group]))} AS seed, unnest(range(1, {N_BOOT} + 1)) AS rep FROM sizes))), "
+        f"h1 AS (SELECT {g}n, rep, (xor(h, h >> 16) * 2146121005) & 4294967295 AS h FROM h0), h2 AS (SELECT {g}n, rep, (xor(h, h >> 15) * 1812433253) & 4294967295 AS h FROM h1), "
+        f"drawn AS (SELECT {g}rep, xor(h, h >> 16) % n AS i FROM h2), "
         f"reps AS (SELECT {g}rep, {stat} AS stat FROM drawn JOIN placed USING {using} GROUP BY ALL)"
     )
 

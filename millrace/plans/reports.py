@@ -14,7 +14,7 @@ from millrace.functions.draws import draw, r6
 from millrace.operators import contracts, curves, ranking, resampling, spectra, tables, vectors
 from millrace.sources.tables import read_table
 
-from .catalog import ARMS, N_BOOT, _cells, _daily, _last_view, _power, _rounded, _vectors
+from .catalog import ARMS, N_BOOT, N_GATE, N_PERM, _cells, _daily, _last_view, _power, _rounded, _vectors
 from .oracles import _BASIS, _CELLS, _DAILY, _LONG, _PAIRS, _VEC, _boot, _draw, _nn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,7 @@ _HALVES = (
 )
 _GATE = (
     f"{_HALVES}, units AS (SELECT part, unit, row_number() OVER (PARTITION BY part ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY part) AS n FROM (SELECT DISTINCT part, unit FROM cells)), "
-    f"dr AS (SELECT part, n, rep, CASE WHEN rep = 0 THEN k ELSE {_draw(_q('gate'), 'part', 'rep', 'k')} % n END AS i FROM (SELECT part, n, rep, unnest(range(n)) AS k FROM (SELECT part, n, unnest(range({N_BOOT} + 1)) AS rep FROM (SELECT DISTINCT part, n FROM units)))), "
+    f"dr AS (SELECT part, n, rep, CASE WHEN rep = 0 THEN k ELSE {_draw(_q('gate'), 'part', 'rep', 'k')} % n END AS i FROM (SELECT part, n, rep, unnest(range(n)) AS k FROM (SELECT part, n, unnest(range({N_GATE} + 1)) AS rep FROM (SELECT DISTINCT part, n FROM units)))), "
     "w AS (SELECT part, n, rep, i, count(*) AS w FROM dr GROUP BY ALL), "
     "pb AS (SELECT part, rep, bin, max(w.n) AS n, sum(w * early * early) / max(w.n) - (sum(w * early) / max(w.n)) ** 2 AS early, sum(w * late * late) / max(w.n) - (sum(w * late) / max(w.n)) ** 2 AS late FROM w JOIN units USING (part, i) JOIN cells USING (part, unit) GROUP BY ALL), "
     "tl AS (SELECT part, rep, max(n) AS n, sqrt(avg((log10(early) - log10(power)) ** 2)) AS early, sqrt(avg((log10(late) - log10(power)) ** 2)) AS late FROM pb JOIN ref USING (bin) WHERE early > 1e-12 AND late > 1e-12 AND power > 1e-12 GROUP BY part, rep), "
@@ -79,7 +79,7 @@ _GATE = (
 
 def _gates(spark: SparkSession, d: str) -> DataFrame:
     power = read_table(spark, d, "events").groupBy(F.col(ARMS).alias("bin")).agg(F.var_pop("value").alias("power"))
-    return resampling.gate(_halves(spark, d), ["part"], power, N_BOOT)
+    return resampling.gate(_halves(spark, d), ["part"], power, N_GATE)
 
 
 @query(f"WITH {_GATE} SELECT part, n, round(early, 6) AS early, round(late, 6) AS late, round(difference, 6) AS difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(difference / early, 6) AS relative, extend FROM gate")
@@ -94,14 +94,11 @@ def gate_table(spark, d):
     return told.select("part", F.when(F.col("n").isNull(), "missing").when(F.col("extend"), "extend").otherwise("stop").alias("decision"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-N_LABELS = 1000
-
-
 def _perm(sample: str, group: str) -> str:
     """CTEs t, p: permutation p-values of the sides of ``sample`` (group, id, side, value)."""
     return (
         f"t AS (SELECT {group}, count(*) FILTER (side = 'a') AS na, avg(value) FILTER (side = 'a') - avg(value) FILTER (side = 'b') AS obs FROM {sample} GROUP BY {group}), "
-        f"dp AS (SELECT {group}, rep, value, row_number() OVER (PARTITION BY {group}, rep ORDER BY {_draw(_q('perm'), group, 'rep', 'id', 'side')}, id, side) AS r FROM {sample}, (SELECT unnest(range(1, {N_LABELS} + 1)) AS rep)), "
+        f"dp AS (SELECT {group}, rep, value, row_number() OVER (PARTITION BY {group}, rep ORDER BY {_draw(_q('perm'), group, 'rep', 'id', 'side')}, id, side) AS r FROM {sample}, (SELECT unnest(range(1, {N_PERM} + 1)) AS rep)), "
         f"st AS (SELECT {group}, rep, obs, avg(value) FILTER (r <= na) - avg(value) FILTER (r > na) AS stat FROM dp JOIN t USING ({group}) GROUP BY {group}, rep, obs), "
         f"p AS (SELECT {group}, obs, count(*) AS n_assignments, (1 + count(*) FILTER (abs(stat) >= abs(obs) - 1e-9 * greatest(1, abs(obs)))) / (1 + count(*)) AS p_value, 1 / (1 + count(*)) AS p_min FROM st GROUP BY {group}, obs)"
     )
@@ -114,7 +111,7 @@ def contrast_permutation(spark, d):
     base = daily.filter(F.col(ARMS) == "view").select("step", F.col("v").alias("b"))
     both = daily.filter(F.col(ARMS) != "view").join(base, "step")
     sides = F.array(F.struct(F.lit("a").alias("side"), F.col("v").alias("value")), F.struct(F.lit("b").alias("side"), F.col("b").alias("value")))
-    return _rounded(resampling.sampled_permutation(both.select(ARMS, F.col("step").alias("id"), F.inline(sides)), N_LABELS, [ARMS]))
+    return _rounded(resampling.sampled_permutation(both.select(ARMS, F.col("step").alias("id"), F.inline(sides)), N_PERM, [ARMS]))
 
 
 @query(f"WITH {_PAIRS}, sm AS (SELECT 1 AS one, user_id AS id, CASE WHEN {_draw(_q('half'), 'user_id')} % 2 = 0 THEN 'a' ELSE 'b' END AS side, delta AS value FROM deltas), {_perm('sm', 'one')} SELECT one, round(obs, 6) AS observed, n_assignments, round(p_value, 6) AS p_value, round(p_min, 6) AS p_min FROM p")
@@ -124,7 +121,7 @@ def interaction_permutation(spark, d):
     a, b = (c.filter(F.col(ARMS) == x).select("user_id", "value") for x in ("purchase", "view"))
     half = F.when(F.pmod(draw("half", F.col("user_id")), F.lit(2)) == 0, "a").otherwise("b")
     sample = resampling.paired(a, b, "user_id").select(F.lit(1).alias("one"), F.col("user_id").alias("id"), half.alias("side"), F.col("delta").alias("value"))
-    return _rounded(resampling.sampled_permutation(sample, N_LABELS, ["one"]))
+    return _rounded(resampling.sampled_permutation(sample, N_PERM, ["one"]))
 
 
 @query(f"WITH k AS (SELECT rep, c_custkey, row_number() OVER (PARTITION BY rep ORDER BY {_draw(_q('subset'), 'rep', 'c_custkey')}, c_custkey) AS r FROM customer, (SELECT unnest(range(1, 6)) AS rep)) SELECT rep, count(*) AS n, sum(c_custkey)::bigint AS key_sum FROM k WHERE r <= 20 GROUP BY rep")
