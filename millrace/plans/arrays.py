@@ -279,3 +279,17 @@ def kernel_subsets(spark, d):
     v = _side(_vectors(spark, d), "frechet", 2)
     each = lowrank.kernel_subsets(v.filter("side = 0"), v.filter("side = 1"), 100, 100)
     return _rounded(each.agg(F.count("*").alias("subsets"), F.max("size").alias("size"), F.avg("distance").alias("distance"), F.stddev_samp("distance").alias("sd")))
+
+
+# SQL of two queries of the catalog that is made of the parts above.
+ORACLES["frechet_distance"] = (
+    ORACLES["frechet_bootstrap"].replace(_SUMMARY.format("f"), "SELECT round(distance, 6) AS distance FROM f")
+    .replace("range(1, 201)", "range(1, 1)").replace("vec[1:16]", "vec").replace("range(16)", "range(64)").replace("range(1, 17)", "range(1, 65)")
+)
+ORACLES["pca_scores"] = (
+    f"WITH RECURSIVE {_LONG}, mean AS (SELECT list(m ORDER BY pos) AS mean FROM (SELECT pos, avg(x) AS m FROM long GROUP BY pos)), "
+    "z AS (SELECT id, unnest(range(64)) AS pos, unnest(list_transform(vec, lambda x, i: x - mean[i])) AS x FROM vec, mean), "
+    "cov AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM z a JOIN z b USING (id) GROUP BY ALL), "
+    f"c AS ({_MATRIX.format('cov')}), {_leading('c', 'one')}, {_DEFLATED}, {_leading('d', 'two')}, {_DEFLATED.replace('d AS', 'e AS').replace('c, one', 'd, two')}, {_leading('e', 'three')} "
+    "SELECT id, " + ", ".join(f"round(list_dot_product(list_transform(vec, lambda x, i: x - mean[i]), {n}.v), 6) AS pc{k}" for k, n in ((1, "one"), (2, "two"), (3, "three"))) + " FROM vec, mean, one, two, three"
+)
