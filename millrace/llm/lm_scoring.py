@@ -42,8 +42,8 @@ from .keys import small_batches
 MOST_BYTES = 1 << 27
 BITS_PER_TOKEN = 6
 BLOCK_WORDS = 1 << 13
-#: Blocks that are asked together where they stay a table, and slices whose probes of them make up a group.
-SHELF, GROUP_SLICES = 16, 1 << 12
+#: Blocks that are asked together where they stay a table, and about how many n-grams make up a group that asks them.
+SHELF, GROUP_GRAMS = 16, 1 << 22
 #: How many of the most frequent words have their exact counts broadcast (16 bytes each).
 FREQUENT = 1 << 18
 #: Bytes of text that are worked through at a time, and tokens whose levels are.
@@ -247,11 +247,12 @@ def _ask(slices: DataFrame, blocks: int, salts: int) -> DataFrame:
     return slices.select("slice", "texts").mapInArrow(run, "shelf int, salt int, slice bigint, grams binary")
 
 
-def _levels_exchanged(docs: DataFrame, table: DataFrame, blocks: int, slice_bytes: int = SLICE_BYTES, group_slices: int = GROUP_SLICES) -> DataFrame:
+def _levels_exchanged(docs: DataFrame, table: DataFrame, blocks: int, slice_bytes: int = SLICE_BYTES, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """The same, with the probes sent to the blocks and the answers sent back.
 
     A slice asks for each of its n-grams once, however often it occurs. A shelf's probes are dealt over groups of about
-    ``group_slices`` slices, each with its own copy of the shelf, so a group is bounded whatever the words' frequencies.
+    ``group_grams``, each with its own copy of the shelf, so a group is bounded whatever the words' frequencies. Slices and shelves
+    grow alike with the corpus, and so the number of copies of a shelf does not grow.
     """
     index = LogFilter(np.zeros(0, np.uint64), blocks)
 
@@ -277,7 +278,8 @@ def _levels_exchanged(docs: DataFrame, table: DataFrame, blocks: int, slice_byte
         return pa.table({"row": held["rows"].chunk(0)[0].values, "one": pa.array(columns[0], pa.binary()), "two": pa.array(columns[1], pa.binary())})
 
     slices = stash(_cut(docs, slice_bytes), "slices")
-    salts = 1 + slices.count() // group_slices
+    grams = slices.count() * (slice_bytes // 4)  # few words are shorter
+    salts = 1 + grams // (-(-blocks // SHELF) * group_grams)
     shelves = table.withColumn("shelf", F.floor(F.col("block") / SHELF).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = _ask(slices, blocks, salts).groupBy("shelf", "salt").cogroup(shelves.groupBy("shelf", "salt"))
     told = asked.applyInArrow(answer, "slice bigint, shelf int, levels binary")

@@ -137,7 +137,7 @@ def test_lm_exchange_asks_once_a_slice(spark):
         words[r["block"] * lm_scoring.BLOCK_WORDS : (r["block"] + 1) * lm_scoring.BLOCK_WORDS] = np.frombuffer(r["words"], np.uint64)
     shared = spark.sparkContext.broadcast(lm_scoring.LogFilter(words, 40))
     here = docs.select("row", lm_scoring._levels_here(F.col("text"), shared).alias("x")).select("row", "x.*")
-    sent = lm_scoring._levels_exchanged(docs, table, 40, 30000, 8)
+    sent = lm_scoring._levels_exchanged(docs, table, 40, 30000, 9000)
     key = lambda r: r["row"]
     assert sorted(here.collect(), key=key) == sorted(sent.select("row", "one", "two").collect(), key=key)
 
