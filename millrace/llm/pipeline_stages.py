@@ -1,7 +1,12 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> documents that stay.
 
 Every stage works on whatever its predecessor kept and returns the columns of its input, the last one
-excepted. Columns that a stage adds on the way have names that end in two underscores.
+excepted: it puts ids, n_tokens and decoded_sha256 in the place of the text, and input columns of these names give way to them.
+Columns that a stage adds on the way have names that end in two underscores.
+
+Edge cases: null, empty and short texts fail the quality rules' base and go; rows without an id stay or go by their own text, and are no
+reference for others' passages; of rows with one id and one text, which are one document, all stay or all go; an empty
+table gives an empty table; other columns, whatever their names, are passed on as they are.
 """
 
 from __future__ import annotations
