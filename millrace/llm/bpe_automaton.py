@@ -224,7 +224,7 @@ class Automaton:
 
     def _fill(self, state: int, symbol: int) -> int:
         """Work out one move: spell on, and see which of the arcs that end here comes from the path that led to where it starts."""
-        spelled, lasts = self.states[state]
+        spelled, lasts = self.states[state >> 9]
         spelled, pairs = self._next(spelled, symbol), self.pairs
         for t, size in self.ends[spelled]:
             before = lasts[-size]
@@ -237,10 +237,10 @@ class Automaton:
         reached = spelled, (*lasts, t)[-1 - self.depth[spelled] :]
         to = self.number.get(reached)
         if to is None:
-            to = self.number[reached] = len(self.states)
+            to = self.number[reached] = len(self.states) << 9  # with room for a symbol
             self.states.append(reached)
             self.last.append(t)
-        self.move[state << 9 | symbol] = to
+        self.move[state | symbol] = to
         return to
 
     def encode_word(self, word: str) -> list[int]:
@@ -250,16 +250,17 @@ class Automaton:
             symbols[-1] += 256
         if len(self.states) >= MOST_STATES:
             self._restart()
-        move, last = self.move, self.last
-        state, path = 0, []
+        move, state, path = self.move, 0, []
         for x in symbols:
-            to = move.get(state << 9 | x)
-            state = self._fill(state, x) if to is None else to
-            path.append(last[state])
-        length = self.length
+            try:
+                state = move[state | x]
+            except KeyError:
+                state = self._fill(state, x)
+            path.append(state)
+        last, length = self.last, self.length
         out, i = [], len(path)
         while i > 0:
-            t = path[i - 1]
+            t = last[path[i - 1] >> 9]
             out.append(t)
             i -= length[t]
         out.reverse()
