@@ -156,9 +156,9 @@ def words(text: Column) -> Column:
 
 
 def other_lines(docs: DataFrame) -> DataFrame:
-    """(line): the distinct lines that hold a letter, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
+    """(line): the lines that hold a letter, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
     pars = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _BLANK)).alias("paragraph")).filter(~F.regexp_replace("paragraph", r"\s+", " ").rlike(_NAMED))
-    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}")).distinct()
+    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}"))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -186,8 +186,12 @@ def _features() -> list:
 def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     """The classifier and the probability below which a licence is of an unknown family."""
     spark = docs.sparkSession
-    other = other_lines(docs).select(F.lit("none").alias("family"), "line")
-    other = other.withColumn("order", F.xxhash64("line")).orderBy("order", "line").limit(NEGATIVES).drop("order")
+    lines = other_lines(docs).withColumn("order", F.xxhash64("line"))
+    for low in (-(1 << 63) + (1 << 58), (1 << 63) - 1):  # a 64th of all distinct lines has enough of them, unless there are few
+        least = stash(lines.filter(F.col("order") <= F.lit(low)).distinct().orderBy("order", "line").limit(NEGATIVES), "lines")
+        if least.count() == NEGATIVES:
+            break
+    other = least.select(F.lit("none").alias("family"), "line")
     told = _examples(spark).unionByName(other.withColumn("plain", F.lit(False)))
     number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1  # of the other families: -1
     held = (F.col("family") == "other") | ((F.pmod(F.xxhash64("line"), F.lit(5)) == 0) & ~F.col("plain"))
