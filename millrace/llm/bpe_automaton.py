@@ -119,6 +119,7 @@ class Automaton:
         self.end = model["end_of_word_suffix"] or ""
         self._compile(model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]])
         self._spell(model["vocab"])
+        self.room = 1
         self.forget()
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = vocabulary["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -248,7 +249,7 @@ class Automaton:
         symbols = list(word.encode())
         if self.end:
             symbols[-1] += 256
-        if len(self.states) >= MOST_STATES:
+        if len(self.states) >= self.room * MOST_STATES:
             self._restart()
         move, state, path = self.move, 0, []
         for x in symbols:
@@ -292,7 +293,7 @@ class Automaton:
             if ids is None:
                 ids = self.encode_word(piece)
                 if len(piece) <= LONG:
-                    if len(self.words) >= MOST_WORDS:
+                    if len(self.words) >= self.room * MOST_WORDS:
                         self.words.clear()
                     self.words[piece] = ids
             out += ids
@@ -304,7 +305,7 @@ class Automaton:
     def runs(self, text: str) -> list[tuple[bytes, str]]:
         """Bytes of the ids of each run of characters between white space, and what they decode to. Pieces never cross white
         space, so each distinct run is worked out once, as long as the stores of runs, pieces and moves have room."""
-        if len(self.chunks) >= MOST_CHUNKS:  # what was asked for since then is kept, the rest goes the next time
+        if len(self.chunks) >= self.room * MOST_CHUNKS:  # what was asked for since then is kept, the rest goes the next time
             self.older, self.chunks = self.chunks, {}
         known, older, out, long = self.chunks, self.older, [], []
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
@@ -351,11 +352,13 @@ def read_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _mapped(text: Column, vocabulary, kind: str, work: Callable[[Automaton, pa.Array], pa.Array]) -> Column:
-    """``work`` on each batch of texts; the stores are emptied behind a task's last batch, as its worker goes on to other work."""
+def _mapped(text: Column, vocabulary, kind: str, work: Callable[[Automaton, pa.Array], pa.Array], room: int = 1) -> Column:
+    """``work`` on each batch of texts, with ``room`` times the stores' bounds; the stores are emptied behind a task's last batch, as its
+    worker goes on to other work."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _compiled(vocabulary.value)
+        automaton.room = room
         try:
             for texts in batches:
                 yield work(automaton, texts)
@@ -389,7 +392,7 @@ def encoded(text: Column, vocabulary) -> Column:
     return _mapped(text, vocabulary, ENCODED_TYPE, work)
 
 
-def digests(text: Column, vocabulary) -> Column:
+def digests(text: Column, vocabulary, room: int = 3) -> Column:
     """A struct with the number of tokens, the SHA-256 of the ids (unsigned 32 bit, little end first) and of the decoded text.
 
     Made row by row, so that at most one document's ids are in memory beside the batch of texts.
@@ -406,4 +409,4 @@ def digests(text: Column, vocabulary) -> Column:
         columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(backs, pa.string())]
         return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _mapped(text, vocabulary, DIGEST_TYPE, work)
+    return _mapped(text, vocabulary, DIGEST_TYPE, work, room)
