@@ -21,7 +21,7 @@ from millrace.functions.draws import draw
 from millrace.plans.lineage import stash
 
 from .ranking import numbered
-from .vectors import BLOCK_BYTES, _crossed, _stacked
+from .vectors import BLOCK_BYTES, STEP_BYTES, _equal, _met, _stacked
 
 #: Columns beside those asked for, and rounds that sharpen them.
 OVERSAMPLING, ROUNDS = 10, 4
@@ -224,24 +224,21 @@ def bootstrap_kernel(sample: DataFrame, reference: DataFrame, n_boot: int, salt:
     def sums(one: DataFrame, two: DataFrame, name: str, own: bool) -> DataFrame:
         left = one.select(F.col("id").alias("l_id"), F.col("vec").alias("lv"), F.col("w").alias("lw"))
         right = two.select(F.col("id").alias("r_id"), F.col("vec").alias("rv"), F.col("w").alias("rw"))
-        x, y = _crossed(left, right)
 
-        def total(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            if not len(p) or not len(q):
-                return pd.DataFrame({"rep": [], "s": []})
-            u, v, a, b = _stacked(p["lv"]), _stacked(q["rv"]), _stacked(p["lw"]), _stacked(q["rw"])
+        def total(p: dict, q: dict, twin: bool) -> Iterator[pd.DataFrame]:
+            u, v, a, b = p["lv"], q["rv"], *(w.reshape(n, -1).astype(float) for w, n in ((p["lw"], len(p["lv"])), (q["rw"], len(q["rv"]))))
             s = np.zeros(max(a.shape[1], b.shape[1]))
-            step = max(1, BLOCK_BYTES // (8 * max(1, len(v), u.shape[1])))
+            step = max(1, STEP_BYTES // (8 * max(len(v), u.shape[1])))
             for lo in range(0, len(u), step):
-                k = (u[lo : lo + step] @ v.T / u.shape[1] + 1) ** 3
+                k = u[lo : lo + step] @ v.T / u.shape[1] + 1
                 # The sum over pairs of a replicate's counts; each drawn row is no pair with itself.
-                s = s + ((k.T @ a[lo : lo + step]) * b).sum(axis=0)
-                if own:
-                    i, j = np.nonzero(p["l_id"].to_numpy()[lo : lo + step, None] == q["r_id"].to_numpy())
-                    s = s - (k[i, j, None] * a[lo + i]).sum(axis=0)
-            return pd.DataFrame({"rep": np.arange(len(s)), "s": s})
+                s = s + (((k * k * k) @ b) * a[lo : lo + step]).sum(axis=0)
+            if own and twin:
+                i, j = _equal(p["l_id"], q["r_id"])
+                s = s - ((((u[i] * v[j]).sum(axis=1) / u.shape[1] + 1) ** 3)[:, None] * a[i]).sum(axis=0)
+            yield pd.DataFrame({"rep": np.arange(len(s), dtype=np.int32), "s": s if twin or not own else 2 * s})
 
-        done = x.groupBy("lb", "rb").cogroup(y.groupBy("lb", "rb")).applyInPandas(total, "rep int, s double")
+        done = _met(left, right, total, "rep int, s double", half=own)
         return done.groupBy("rep").agg(F.sum("s").alias(name))
 
     n = sample.agg(F.count("*").alias("na")).crossJoin(reference.agg(F.count("*").alias("nb")))  # one row each
