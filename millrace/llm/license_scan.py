@@ -10,6 +10,8 @@ notices of families that have no template (``OTHERS``) are held back to calibrat
 class: the probability below which a paragraph that looks like a licence is called ``unknown`` is
 the one at which those of them that are confirmed are classified with at most ``ERRORS`` errors.
 
+Lines that can't count whatever their class, as they hold no word of the vocabulary and no template confirms them for any family, are not classified.
+
 A prediction is confirmed if the paragraph holds enough of the words of one of the family's templates, among
 them the words that tell the template from other licences (``MARKS``), and none that names another family
 (``FOREIGN``); else it is ``unknown`` too. All of it is DataFrame expressions and Spark's own estimators.
@@ -20,6 +22,9 @@ be null; an empty table gives an empty result (the templates alone are enough to
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
@@ -147,6 +152,8 @@ ORDINARY = (
 )
 FAMILIES = ("none", *TEMPLATES)
 _VOCABULARY = r"(?i)licen[sc]e|warrant|liab|gpl|copyright|\brights\b|permission|redistribut|proprietary|creative commons|\bcc by\b"
+#: Of each of the vocabulary's words a part in lower case.
+_STEMS = ("licen", "warrant", "liab", "gpl", "copyright", "rights", "permission", "redistribut", "proprietary", "creative commons", "cc by")
 #: Not for negatives either: a family's name that is a word of other languages too.
 _NAMED = _VOCABULARY + r"|\bmit\b"
 
@@ -217,24 +224,42 @@ def _threshold(held: DataFrame) -> float:
     return 0.0 if not cut else float(rows[cut]["p"]) if cut < len(rows) else 2.0
 
 
-def overlap(tokens: Column, family: Column) -> Column:
-    """The largest share of a template's words that the paragraph holds, over those of the family's templates whose marks it holds."""
+def overlap(tokens: Column, family: Column | None, low: Column | None = None) -> Column:
+    """The largest share of a template's words that the paragraph holds, over those of the family's templates (None: all) whose marks it
+    holds. The tokens are only looked at where the text in lower case, if given, holds the marks as plain texts."""
     shares = []
     for name, texts in TEMPLATES.items():
         foreign = F.array(*map(F.lit, FOREIGN.get(name, "").split())).cast("array<string>")
         for text, marks in zip(texts, MARKS[name], strict=True):
+            first = F.lit(True) if family is None else family == name
+            first = first if low is None else first & _holds(low, marks)
             held, marks = F.array_distinct(words(F.lit(text))), F.array(*map(F.lit, marks.split()))
-            told = (family == name) & (F.size(F.array_except(marks, tokens)) == 0) & ~F.arrays_overlap(tokens, foreign)
+            told = first & (F.size(F.array_except(marks, tokens)) == 0) & ~F.arrays_overlap(tokens, foreign)
             shares.append(F.when(told, F.size(F.array_intersect(tokens, held)) / F.size(held)).otherwise(0.0))
     return F.greatest(*shares)
 
 
+def _possible(told: DataFrame) -> DataFrame:
+    """The units, with their words, that can count: those that hold a word of the vocabulary, or that a template of any family confirms. Of
+    the others none does, whatever the classifier says of it, so their features aren't made. Plain texts that each of these holds are looked for first."""
+    line, low = F.col("line"), F.col("low")
+    spoken = reduce(or_, map(low.contains, _STEMS)) & line.rlike(_VOCABULARY)
+    marked = reduce(or_, (_holds(low, marks) for marks in sorted({m for several in MARKS.values() for m in several})))
+    confirmed = lambda tokens: overlap(tokens, None, low) >= OVERLAP
+    one = F.array(words(line))  # as an array's only entry, the words are made once for all templates
+    return told.filter(spoken | (marked & F.exists(one, confirmed))).withColumn("words", words(line)).drop("low")
+
+
+def _holds(low: Column, marks: str) -> Column:
+    return reduce(and_, map(low.contains, marks.split()))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_paragraphs, n_licence (paragraphs that look like a licence)
     and families (sorted; ``unknown`` for those that are unsure or that no template confirms, and that hold a word of the licence vocabulary)."""
     model, least = train(docs)
     row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    told = model.transform(units(row).withColumn("words", words(F.col("line"))))
+    told = model.transform(_possible(units(row)))
     names = F.array(*map(F.lit, FAMILIES))
     told = told.filter("prediction > 0").withColumn("family", F.element_at(names, (F.col("prediction") + 1).cast("int")))
     sure = (F.array_max(vector_to_array("probability")) >= least) & (overlap(F.col("words"), F.col("family")) >= OVERLAP)
@@ -249,11 +274,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def units(row: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, par, first, last, line): the lines of each paragraph, and its joined lines if they hold a word of the vocabulary."""
+    """(doc_id, text_hash, par, first, last, line, low): the lines of each paragraph, and its joined lines if they hold a word of the vocabulary; low is the line in lower case."""
     pars = row.select("doc_id", "text_hash", F.posexplode(F.split("text", _BLANK)).alias("par", "paragraph"))
     pars = pars.withColumn("lines", F.filter(F.split("paragraph", "\n"), lambda x: x.rlike(r"\p{L}"))).filter("size(lines) > 0")
     join = lambda lines: F.regexp_replace(F.array_join(lines, " "), r"(?<=\p{L})-\s+(?=\p{L})", "-")
-    unit = lambda first, last, line: F.struct(first.alias("first"), last.alias("last"), line.alias("line"))
+    unit = lambda first, last, line: F.struct(first.alias("first"), last.alias("last"), line.alias("line"), F.lower(line).alias("low"))
     single = F.transform("lines", lambda x, i: unit(i, i, x))
     size = F.size("lines")
     run = lambda k: F.transform(F.sequence(F.lit(0), size - k), lambda i: unit(i, i + (k - 1), join(F.slice("lines", i + 1, k))))

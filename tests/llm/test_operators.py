@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from millrace.llm import bpe_automaton, chat_format, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, quality_rules, substring_dedup, suffix_dedup
 from millrace.llm.queries import VOCABULARY
+from millrace.sources.tables import read_table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -494,6 +495,20 @@ def test_licences_wrapped(spark):
     assert got == {i: ([family], 3, 1) for i, _, family in rows}
 
 
+def test_licences_only_what_can_count_is_classified(spark, sf_dir):
+    """op9: the features of every line used to be made. What is left is all that holds a word of the vocabulary or a template, by looking at every line."""
+    texts = [x for several in license_scan.TEMPLATES.values() for x in several] + [*license_scan.OTHERS, *license_scan.ORDINARY]
+    texts += [x.upper() for x in texts] + [" ".join(x.split()[::-1]) for x in texts] + [" ".join(x.split()[:-2]) for x in texts]
+    texts += ["LİCENSE K\u212a", "_rights_ reserved, reproduced: no part of this publication may be", "released under the mit", "Er ging mit under the released", "apache 2.0 license", "account by", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs = docs.unionByName(read_table(spark, sf_dir, "documents").select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    units = license_scan.units(docs.withColumn("text_hash", F.lit(0)))
+    every = units.withColumn("words", license_scan.words(F.col("line"))).localCheckpoint()
+    want = every.filter(F.col("line").rlike(license_scan._VOCABULARY) | (license_scan.overlap(F.col("words"), None) >= license_scan.OVERLAP)).select("doc_id", "par", "first", "last", "line").collect()
+    got = license_scan._possible(units).select("doc_id", "par", "first", "last", "line").collect()
+    assert sorted(got) == sorted(want) and 100 < len(got) < units.count() / 2
+
+
 def test_licences_held_back_examples(spark):
     wrong = spark.createDataFrame([(1.0, 1.0, 0.4), (-1.0, 2.0, 0.6), (2.0, 2.0, 0.7)], "label double, prediction double, p double")
     assert license_scan._threshold(wrong) == 0.7
