@@ -10,7 +10,8 @@ notices of families that have no template (``OTHERS``) are held back to calibrat
 class: the probability below which a paragraph that looks like a licence is called ``unknown`` is
 the one at which those of them that are confirmed are classified with at most ``ERRORS`` errors.
 
-Lines that can't count whatever their class, as they hold no word of the vocabulary and no template confirms them for any family, are not classified.
+Lines that can't count whatever their class, as they hold no word of the vocabulary and no template confirms them for any family, are not classified;
+documents without plain texts that each line that counts holds are not cut into lines.
 
 A prediction is confirmed if the paragraph holds enough of the words of one of the family's templates, among
 them the words that tell the template from other licences (``MARKS``), and none that names another family
@@ -22,8 +23,9 @@ be null; an empty table gives an empty result (the templates alone are enough to
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -154,18 +156,22 @@ FAMILIES = ("none", *TEMPLATES)
 _VOCABULARY = r"(?i)licen[sc]e|warrant|liab|gpl|copyright|\brights\b|permission|redistribut|proprietary|creative commons|\bcc by\b"
 #: Of each of the vocabulary's words a part in lower case.
 _STEMS = ("licen", "warrant", "liab", "gpl", "copyright", "rights", "permission", "redistribut", "proprietary", "creative commons", "cc by")
+#: The same as parts, one of which a text has wholly if it holds a word of the vocabulary, whatever white space is in it.
+_SPOKEN = [tuple(s.split()) for s in _STEMS]
 #: Not for negatives either: a family's name that is a word of other languages too.
-_NAMED = _VOCABULARY + r"|\bmit\b"
+_NAME = r"\b[mM][iI][tT]\b"
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
 
 
-def other_lines(docs: DataFrame) -> DataFrame:
-    """(line): the lines that hold a letter, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
-    pars = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _BLANK)).alias("paragraph")).filter(~F.regexp_replace("paragraph", r"\s+", " ").rlike(_NAMED))
-    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter(F.col("line").rlike(r"\p{L}"))
+def other_lines(docs: DataFrame, most: int = (1 << 63) - 1) -> DataFrame:
+    """(line): the lines that hold a letter and whose hash is at most ``most``, of paragraphs without a word of the licence vocabulary. A line of a wrapped notice may lack one."""
+    pars = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _BLANK)).alias("paragraph"))
+    spoken = _told_by(F.col("paragraph"), _SPOKEN) & F.regexp_replace("paragraph", r"\s+", " ").rlike(_VOCABULARY)
+    pars = pars.filter(~(spoken | (_told_by(F.col("paragraph"), [("mit",)]) & F.col("paragraph").rlike(_NAME))))
+    return pars.select(F.explode(F.split("paragraph", "\n")).alias("line")).filter((F.xxhash64("line") <= F.lit(most)) & F.col("line").rlike(r"\p{L}"))
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -193,9 +199,8 @@ def _features() -> list:
 def train(docs: DataFrame) -> tuple[PipelineModel, float]:
     """The classifier and the probability below which a licence is of an unknown family."""
     spark = docs.sparkSession
-    lines = other_lines(docs).withColumn("order", F.xxhash64("line"))
     for low in (-(1 << 63) + (1 << 58), (1 << 63) - 1):  # a 64th of all distinct lines has enough of them, unless there are few
-        least = stash(lines.filter(F.col("order") <= F.lit(low)).distinct().orderBy("order", "line").limit(NEGATIVES), "lines")
+        least = stash(other_lines(docs, low).withColumn("order", F.xxhash64("line")).distinct().orderBy("order", "line").limit(NEGATIVES), "lines")
         if least.count() == NEGATIVES:
             break
     other = least.select(F.lit("none").alias("family"), "line")
@@ -254,12 +259,40 @@ def _holds(low: Column, marks: str) -> Column:
     return reduce(and_, map(low.contains, marks.split()))
 
 
+def _told_by(text: Column, sets: list[tuple[str, ...]]) -> Column:
+    """Whether the text in lower case holds all parts of one of ``sets``."""
+    return F.exists(F.array(F.lower(text)), lambda low: _any_of(low, sets))
+
+
+def _any_of(low: Column, sets: list[tuple[str, ...]]) -> Column:
+    return reduce(or_, (reduce(and_, map(low.contains, parts)) for parts in sets))
+
+
+def _may_count(text: Column) -> Column:
+    """Whether a unit of the text may count (``_possible``), by what each such unit holds: parts of a word of the vocabulary, or a template's marks and
+    its share of words. Words of a unit may come from several lines, so they are looked for one by one, and of those joined at a hyphen the first part."""
+    alone = lambda low, part: low.rlike(f"{part}(?<![a-z0-9]{part})(?![a-z0-9])")
+    all_of = lambda tests: reduce(and_, tests)
+    parts = lambda several: sorted({re.split("[-.]", w)[0] for w in several})
+    told: dict[str, list] = {}  # by a mark: (marks, words, how many words) of the templates whose marks hold no word of the vocabulary
+    for family, texts in TEMPLATES.items():
+        for template, marks in zip(texts, MARKS[family], strict=True):
+            held = {w.lower() for w in re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", template)}
+            if not any(len(s) == 1 and s[0] in marks for s in _SPOKEN):
+                mine = parts(marks.split())
+                told.setdefault(max(mine, key=lambda m: (m in ("gnu", "commons"), len(m))), []).append((mine, parts(held), OVERLAP * len(held) - (len(held) - len(parts(held))) - 1e-9))
+    share = lambda low, held: reduce(add, (low.contains(w).cast("int") for w in held))
+    template = lambda low, marks, held, least: all_of(map(low.contains, marks)) & (share(low, held) >= F.lit(least)) & all_of(alone(low, m) for m in marks)
+    marked = lambda low: reduce(or_, (low.contains(m) & reduce(or_, (template(low, *t) for t in several)) for m, several in told.items()))
+    return F.exists(F.array(F.lower(text)), lambda low: _any_of(low, _SPOKEN) | marked(low))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_paragraphs, n_licence (paragraphs that look like a licence)
     and families (sorted; ``unknown`` for those that are unsure or that no template confirms, and that hold a word of the licence vocabulary)."""
     model, least = train(docs)
     row = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    told = model.transform(_possible(units(row)))
+    told = model.transform(_possible(units(row.filter(_may_count(F.col("text"))))))
     names = F.array(*map(F.lit, FAMILIES))
     told = told.filter("prediction > 0").withColumn("family", F.element_at(names, (F.col("prediction") + 1).cast("int")))
     sure = (F.array_max(vector_to_array("probability")) >= least) & (overlap(F.col("words"), F.col("family")) >= OVERLAP)
@@ -276,18 +309,23 @@ def scan(docs: DataFrame) -> DataFrame:
 def units(row: DataFrame) -> DataFrame:
     """(doc_id, text_hash, par, first, last, line, low): the lines of each paragraph, and its joined lines if they hold a word of the vocabulary; low is the line in lower case."""
     pars = row.select("doc_id", "text_hash", F.posexplode(F.split("text", _BLANK)).alias("par", "paragraph"))
-    pars = pars.withColumn("lines", F.filter(F.split("paragraph", "\n"), lambda x: x.rlike(r"\p{L}"))).filter("size(lines) > 0")
-    join = lambda lines: F.regexp_replace(F.array_join(lines, " "), r"(?<=\p{L})-\s+(?=\p{L})", "-")
-    unit = lambda first, last, line: F.struct(first.alias("first"), last.alias("last"), line.alias("line"), F.lower(line).alias("low"))
-    single = F.transform("lines", lambda x, i: unit(i, i, x))
-    size = F.size("lines")
-    run = lambda k: F.transform(F.sequence(F.lit(0), size - k), lambda i: unit(i, i + (k - 1), join(F.slice("lines", i + 1, k))))
-    none = F.filter(single, lambda x: F.lit(False))
-    runs = [F.when(size >= k, run(k)).otherwise(none) for k in range(2, RUN + 1)]
-    whole = F.when(size > RUN, F.array(unit(F.lit(0), size - 1, join(F.col("lines"))))).otherwise(none)
-    joined = F.filter(F.concat(*runs, whole), lambda x: x["line"].rlike(_VOCABULARY))
-    several = (size > 1) & join(F.col("lines")).rlike(_VOCABULARY)
-    return pars.select("doc_id", "text_hash", "par", F.explode(F.when(several, F.concat(single, joined)).otherwise(single)).alias("unit")).select("doc_id", "text_hash", "par", "unit.*")
+    hyphened = lambda x: F.when(x.rlike(r"-\s"), F.regexp_replace(x, r"(?<=\p{L})-\s+(?=\p{L})", "-")).otherwise(x)
+    join = lambda lines: F.element_at(F.transform(F.array(F.array_join(lines, " ")), hyphened), 1)
+    unit = lambda first, last, line: F.element_at(F.transform(F.array(line), lambda x: F.struct(first.alias("first"), last.alias("last"), x.alias("line"), F.lower(x).alias("low"))), 1)
+
+    def cut(lines: Column) -> Column:
+        single, size = F.transform(lines, lambda x, i: unit(i, i, x)), F.size(lines)
+        none = F.filter(single, lambda x: F.lit(False))
+        run = lambda k: F.transform(F.sequence(F.lit(0), size - k), lambda i: unit(i, i + (k - 1), join(F.slice(lines, i + 1, k))))
+        runs = [F.when(size >= k, run(k)).otherwise(none) for k in range(2, RUN + 1)]
+        whole = F.when(size > RUN, F.array(unit(F.lit(0), size - 1, join(lines)))).otherwise(none)
+        joined = F.filter(F.concat(*runs, whole), lambda x: _any_of(x["low"], _SPOKEN) & x["line"].rlike(_VOCABULARY))
+        several = (size > 1) & _told_by(F.col("paragraph"), _SPOKEN) & join(lines).rlike(_VOCABULARY)
+        return F.when(several, F.concat(single, joined)).otherwise(single)
+
+    # As an array's only entry, the lines are made once for all that is made of them.
+    lines = F.filter(F.split("paragraph", "\n"), lambda x: x.rlike(r"\p{L}"))
+    return pars.select("doc_id", "text_hash", "par", F.explode(F.flatten(F.transform(F.array(lines), cut))).alias("unit")).select("doc_id", "text_hash", "par", "unit.*")
 
 
 def _paragraph_families(told: DataFrame) -> DataFrame:

@@ -509,6 +509,18 @@ def test_licences_only_what_can_count_is_classified(spark, sf_dir):
     assert sorted(got) == sorted(want) and 100 < len(got) < units.count() / 2
 
 
+def test_licences_documents_that_may_count(spark, sf_dir):
+    """op9: every document used to be cut into lines. What is left out holds no unit that can count, also of words from several lines."""
+    texts = [x for several in license_scan.TEMPLATES.values() for x in several] + [*license_scan.OTHERS, *license_scan.ORDINARY]
+    texts += [x.upper() for x in texts] + [x.replace(" ", "\n") for x in texts] + [x.replace("-", "-\n") for x in texts] + [" ".join(x.split()[::-1]) for x in texts] + [" ".join(x.split()[1:]) for x in texts]
+    texts += ["creative\n123\ncommons", "cc\n7\nby", "\u00e9cc by", "mit\u0301 the released", "L\u0130CENSE", "account by the limit", "Er ging mit der Familie", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs = docs.unionByName(read_table(spark, sf_dir, "documents").select((F.col("doc_id") + 100_000).alias("doc_id"), "text")).fillna("", ["text"])
+    want = {r["doc_id"] for r in license_scan._possible(license_scan.units(docs.withColumn("text_hash", F.lit(0)))).select("doc_id").distinct().collect()}
+    got = {r["doc_id"] for r in docs.filter(license_scan._may_count(F.col("text"))).select("doc_id").collect()}
+    assert want <= got and len(got) < len(texts) + 40
+
+
 def test_licences_held_back_examples(spark):
     wrong = spark.createDataFrame([(1.0, 1.0, 0.4), (-1.0, 2.0, 0.6), (2.0, 2.0, 0.7)], "label double, prediction double, p double")
     assert license_scan._threshold(wrong) == 0.7
