@@ -156,7 +156,7 @@ def weighted(rows: DataFrame, n_boot: int, salt: str = "features") -> DataFrame:
     drawn = placed.select("i", "n").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     drawn = drawn.select("rep", F.pmod(draw(salt, F.col("rep"), F.col("i")), F.col("n")).alias("i"))
     counts = drawn.groupBy("i", "rep").agg(F.count("*").alias("k")).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("rep", "k"))).alias("k"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(n_boot)), lambda r: F.when(r == 0, F.lit(1)).otherwise(F.coalesce(F.element_at("k", r), F.lit(0))).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(n_boot)), lambda r: F.when(r == 0, F.lit(1)).otherwise(F.coalesce(F.element_at("k", r), F.lit(0))).cast("smallint"))
     return placed.join(counts, "i", "left").select("id", "vec", each.alias("w"))
 
 
@@ -219,7 +219,7 @@ def bootstrap_kernel(sample: DataFrame, reference: DataFrame, n_boot: int, salt:
     Each pair of blocks is worked on once, for all replicates: the kernel's matrix between the two sides' counts.
     """
     sample_w = stash(weighted(sample, n_boot, salt), "weighted")
-    ones = reference.select("id", "vec", F.array(F.lit(1)).alias("w"))
+    ones = reference.select("id", "vec", F.array(F.lit(1).cast("smallint")).alias("w"))
 
     def sums(one: DataFrame, two: DataFrame, name: str, own: bool) -> DataFrame:
         left = one.select(F.col("id").alias("l_id"), F.col("vec").alias("lv"), F.col("w").alias("lw"))
