@@ -36,20 +36,24 @@ class Filter:
 
 
 def build(hashes: DataFrame):
-    """A broadcast Filter for the distinct hashes in the one column of ``hashes``; None if they are too many."""
+    """A broadcast Filter for the distinct hashes in the one column of ``hashes``; None if they are too many.
+
+    They are read once, so they need not be a table: words are made for the greatest size, and words that are
+    one at the size that the count of hashes asks for are joined here.
+    """
     column = F.col(hashes.columns[0])
-    n = hashes.count()
-    if n * FEWEST_BITS > MOST_BYTES * 8:
-        return None
-    size = 1 << max(10, min((n * BITS_PER_HASH // _WORD).bit_length(), (MOST_BYTES * 8 // _WORD).bit_length() - 1))
+    most = 1 << max(10, (MOST_BYTES * 8 // _WORD).bit_length() - 1)
     bits = F.lit(0).cast("bigint")
     for shift in (40, 46, 52, 58):
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(63)).cast("int")))
-    words = hashes.select(column.bitwiseAND(F.lit(size - 1)).alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    table = words.toArrow()  # at most MOST_BYTES / 8 rows
+    words = hashes.select(column.bitwiseAND(F.lit(most - 1)).cast("int").alias("at"), bits.alias("bits"))
+    table = words.groupBy("at").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n")).toArrow()  # at most MOST_BYTES / 8 rows
+    n = pc.sum(table["n"]).as_py() or 0
+    if n * FEWEST_BITS > MOST_BYTES * 8:
+        return None
+    size = 1 << max(10, min((n * BITS_PER_HASH // _WORD).bit_length(), most.bit_length() - 1))
     out = np.zeros(size, np.int64)
-    if len(table):
-        out[table["at"].to_numpy()] = table["bits"].to_numpy()
+    np.bitwise_or.at(out, table["at"].to_numpy() & (size - 1), table["bits"].to_numpy())
     return hashes.sparkSession.sparkContext.broadcast(Filter(out.view(np.uint64)))
 
 

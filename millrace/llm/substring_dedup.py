@@ -132,8 +132,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, starts): for keyed documents, the windows that also start in a document with a smaller id."""
     size = window // 2
     named = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    index = bloom.build(stash(blocks(named, size).distinct(), "blocks"))
-    shared = bloom.build(stash(shared_blocks(probes(named, size, index)), "shared"))
+    index = bloom.build(blocks(named, size).distinct())
+    shared = bloom.build(shared_blocks(probes(named, size, index)))
     found = windows(named, window, size, shared).select("w", "v", "doc_id").groupBy("w", "v").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
     repeated = stash(found.filter("least < last").select("w", "v", "least"), "repeated")
     places = windows(named, window, size, shared, bloom.build(repeated.select("w")))

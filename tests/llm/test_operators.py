@@ -198,6 +198,27 @@ def test_suffix_dedup_hot_and_pieces(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digests(df).collect()} == want
 
 
+@pytest.mark.parametrize("n", [0, 5, 3000])
+def test_filter_reads_its_hashes_once(spark, n):
+    """They need not be a table; its size follows their number, and none of them is missed."""
+    from millrace.llm import bloom
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    hashes = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
+    given = spark.createDataFrame([(int(h),) for h in hashes], "h bigint").mapInArrow(seen, "h bigint")
+    words = bloom.build(given).value
+    assert read.value == n
+    assert len(words.words) == max(1 << 10, 1 << n.bit_length())
+    assert words.contains(hashes).all()
+    assert words.contains(np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 10_000, dtype=np.int64)).sum() < 100
+
+
 def test_suffix_levels_stay_few():
     family, r = suffix_dedup.SuffixLevels(4), np.random.default_rng(0)
     seen = set()
@@ -310,6 +331,17 @@ def test_substring(docs, empty, keyed_rows):
     assert left == sorted(((w[0], w[1] - w[2]) for w in want), key=repr)
 
 
+def test_substring_writes_only_what_it_joins(docs, monkeypatch):
+    """Each table is a file a task or more; what only fills a filter is none."""
+    from millrace.llm import keys
+
+    written = []
+    note = lambda df, label="step", write=substring_dedup.stash: written.append(label) or write(df, label)
+    monkeypatch.setattr(substring_dedup, "stash", note)
+    found = substring_dedup.repeats(keys.keyed(docs.select("doc_id", "text")))
+    assert found.count() > 0 and written == ["repeated"]
+
+
 def test_language(spark, sf_dir, empty):
     pages, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "documents"))
     odd = spark.createDataFrame([(-1, None, None), (-2, "", "x"), (-3, "no address", "<html lang='fr'>"), (-3, "no address", "<html lang='fr'>")], "page_id bigint, url string, html string")
