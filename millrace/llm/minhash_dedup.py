@@ -8,20 +8,17 @@ with a probability of at most ``miss``; every pair that shares a key is followed
 formed of signatures that the document shares with another one.
 
 Documents with equal sets are one class from the start, and only one row of a class goes on. The
-documents of a key are not paired with each other. They are compared with its *lead*, the document that shares
-most signatures with others, which links most groups of near copies at once. A group with documents that
-are still in different components is searched further by what sets them apart from the lead p. With D(x) for the
+documents of a key are not paired with each other. They are compared with a *lead*, the document that shares
+most signatures with others or that one's lead, which links most groups of near copies at once, from the texts. Documents of a group that
+are still in different components are told apart by what sets them apart from the lead p. With D(x) for the
 symmetric difference of x and p, r and a for the numbers of elements that x lacks and adds, j for the threshold, and
 g = r + j a, documents x and y are linked if and only if
 
     (1 + j) |D(x) & D(y)| >= g(x) + g(y) - (1 - j) |p|.
 
-If x isn't linked with p, g(x) exceeds (1 - j) |p|. And as linked sets differ by at most (1 - j) / j of either's size, D(y) is not
-much smaller than D(x), and g(y) is at least j |D(y)|. So both know how many elements of their own they share at least; and of elements ordered by how rare they are in the group, the first
-that both have stands near the beginning of either list. The documents with such an element in
-common make up a smaller group, without p, that has a lead of its own, and so on until no group is left; groups of at
-most ``FEW`` documents are compared pair by pair. Elements that only one document has, the usual case for edits, make no
-group. Links are confirmed on the whole sets, from the texts.
+A link between two components has an end that is not in the lead's. So those documents of a group meet the whole group, in blocks of at most
+``FEW`` documents and ``BLOCK_BYTES`` of elements, two blocks at a time: a product of 0/1 rows counts the elements that many have in common, pairs are added up for the
+others. Both are exact. Pairs of blocks are quadratic in a group, rows are not: a pair of blocks gives at most a link for each of its documents.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a document with fewer
 words than a shingle has its whole word sequence as its only shingle; ids may repeat or be null (a
@@ -31,13 +28,16 @@ columns play no part.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.lineage import stash, temporary
@@ -45,13 +45,16 @@ from millrace.plans.lineage import stash, temporary
 from . import bloom
 from . import textbytes as tb
 from .keys import small_batches
+from .token_alignment import components as union_find
 
 SIGNED_TYPE = "struct<n_shingles: bigint, set_hash: binary, signatures: array<bigint>>"
 COMPARED_TYPE = "struct<linked: boolean, size: bigint, lacks: array<bigint>, adds: array<bigint>>"
 #: Pairs of texts that are compared at a time.
 PAIRS = 256
-#: Documents with an element in common, up to so many, are compared with each other instead of with a lead.
-FEW = 64
+#: Documents of a block, and bytes of the elements that set them apart from the lead.
+FEW, BLOCK_BYTES = 1 << 10, 1 << 21
+#: Elements that a step multiplies, pairs that a step adds up, and how many products take the time of one added pair.
+COLUMNS, ADDED, PRODUCTS = 1 << 12, 1 << 21, 100
 
 #: MinHash values in a signature: with eight in a key, documents that share a passage seldom meet.
 WIDTH = 4
@@ -211,48 +214,98 @@ def _compare(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
     return stash(near.select("lead", "node", compared(F.col("x"), F.col("y"), n, percent).alias("c")).select("lead", "node", "c.*"), "compared")
 
 
+def _common(x: np.ndarray, of_x: np.ndarray, nx: int, y: np.ndarray, of_y: np.ndarray, ny: int) -> np.ndarray:
+    """(nx, ny): how many elements each two documents have in common; x, of_x: elements and the documents that have them."""
+    both, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = code[: len(x)], code[len(x) :]
+    in_x, in_y = np.bincount(x, minlength=len(both)), np.bincount(y, minlength=len(both))
+    many = PRODUCTS * in_x * in_y > nx * ny
+    out = np.zeros((nx, ny), np.float32)  # whole numbers up to 2**24
+    at = np.cumsum(many) - 1
+    (px, rx), (py, ry) = ((at[c[many[c]]], r[many[c]]) for c, r in ((x, of_x), (y, of_y)))
+    n = int(many.sum())
+    for lo in range(0, n, COLUMNS):
+        a, b = (np.zeros((k, min(COLUMNS, n - lo)), np.float32) for k in (nx, ny))
+        for m, c, r in ((a, px, rx), (b, py, ry)):
+            here = (c >= lo) & (c < lo + COLUMNS)
+            m[r[here], c[here] - lo] = 1
+        out += a @ b.T
+    few = (in_x > 0) & (in_y > 0) & ~many
+    x, of_x, y, of_y = x[few[x]], of_x[few[x]], y[few[y]], of_y[few[y]]
+    order = np.argsort(y, kind="stable")
+    y, of_y = y[order], of_y[order]
+    starts, counts = np.searchsorted(y, x), in_y[x]
+    step = np.cumsum(counts) // ADDED
+    for lo, hi in itertools.pairwise([*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(x)]):
+        pairs = np.repeat(of_x[lo:hi], counts[lo:hi]) * ny + of_y[tb.spread(starts[lo:hi], counts[lo:hi])]
+        np.add.at(out.reshape(-1), pairs, np.float32(1))
+    return out
+
+
+class _Block(NamedTuple):
+    """Documents of a group: node, component, whether that is not the lead's, g in hundredths, elements and whose they are."""
+
+    node: np.ndarray
+    root: np.ndarray
+    outer: np.ndarray
+    own: np.ndarray
+    apart: np.ndarray
+    of: np.ndarray
+
+    @classmethod
+    def read(cls, members: pa.Array) -> _Block:
+        node, root, outer, own = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "outer", "own"))
+        apart = members.field("apart")
+        sizes = np.diff(apart.offsets.to_numpy())
+        return cls(node, root, outer, own, apart.flatten().to_numpy(), np.repeat(np.arange(len(node)), sizes))
+
+
+def _ties(x: _Block, y: _Block, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of components, as few as tie together what the links between documents of x and y tie. size: the lead's."""
+    common = _common(x.apart, x.of, len(x.node), y.apart, y.of, len(y.node)).astype(np.int64)
+    near = (100 + percent) * common >= x.own[:, None] + y.own - (100 - percent) * size
+    u, v = np.nonzero(near & (x.outer[:, None] | y.outer) & (x.root[:, None] != y.root))
+    roots, code = np.unique(np.concatenate([x.root[u], y.root[v]]), return_inverse=True)
+    least = union_find(code[: len(u)], code[len(u) :], len(roots))
+    tied = np.flatnonzero(least != np.arange(len(roots)))
+    return roots[tied], roots[least[tied]]
+
+
 def _rest(told: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(part, node, root, other, stray): documents of a group that are in different components and have an element in
-    common that a link between them has to have (see above), as one of those that a lead left out (stray) or as the other."""
+    """(a, b): the links that tie components together, between documents of a group (see above). Pairs of blocks are dealt to tasks one by one."""
+    spark = told.sparkSession
     ours = roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
     placed = told.join(roots, "node", "left").join(ours, "lead", "left").withColumns({"root": F.coalesce("root", "node"), "lead_root": F.coalesce("lead_root", "lead")})
-    open_ = placed.filter("root <> lead_root").select("lead").distinct()
-    members = placed.drop("lead_root").join(stash(open_, "open"), "lead")
-
-    # In hundredths, to stay with whole numbers. What the other one of a link has apart is not much less than this one has.
-    count = F.size("lacks") + F.size("adds")
     own = 100 * F.size("lacks") + percent * F.size("adds")
-    whole = F.col("size") - F.size("lacks") + F.size("adds")
-    theirs = F.greatest(F.lit(0), percent * count - (100 - percent) * whole)  # of the other one, as own is of this one
-    as_other = own + F.greatest(F.lit(1), theirs - (100 - percent) * F.col("size"))
-    as_stray = own - (100 - percent) * F.col("size") + theirs
-    first = lambda needed: (count - F.ceil(F.greatest(needed, F.lit(1)) / (100 + percent)) + 1).cast("int")
-    told_apart = (first(as_other).alias("as_other"), F.when(F.col("linked"), 0).otherwise(F.least(first(as_stray), count)).alias("as_stray"))
-    members = stash(members.select("lead", "node", "root", *told_apart, F.concat("lacks", "adds").alias("apart")), "members")
-    elements = members.select("lead", "node", "root", "as_other", "as_stray", F.explode("apart").alias("e"))
-    often = elements.groupBy("lead", "e").agg(F.count("*").alias("k"))
-    ranked = elements.join(stash(often, "often"), ["lead", "e"])
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lead", "node").orderBy("k", "e")))
-    seen = ranked.select("lead", "e", "node", "root", (F.col("r") <= F.col("as_other")).alias("other"), (F.col("r") <= F.col("as_stray")).alias("stray"), "k")
-    seen = stash(seen.filter("k > 1 and (other or stray)").drop("k"), "seen")
-    alive = seen.groupBy("lead", "e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("other").alias("some"), F.bool_or("stray").alias("strays"), F.count("*").alias("k"))
-    alive = stash(alive.filter("lo < hi and some and strays").select("lead", "e", "k"), "alive")
-    return seen.join(alive, ["lead", "e"]).select(F.xxhash64("lead", "e").alias("part"), "node", "root", "other", "stray", "k")
-
-
-def _met(parts: DataFrame) -> DataFrame:
-    """(lead, node): the pairs that parts of at most ``FEW`` documents have to be searched for."""
-    x = parts.filter("stray").select("part", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = parts.filter("other").select("part", F.col("node").alias("y"), F.col("root").alias("ry"))
-    return x.join(y, "part").filter("rx <> ry").select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("node")).distinct()
-
-
-def _led(parts: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(lead, node): the documents of each part with its lead, the one of the highest rank. A lead leads only
-    documents of lower rank, and a group that is searched further is without its lead, so ranks fall until no group is left."""
-    ranked = parts.select("part", "node").join(ranks, "node")
-    leads = stash(ranked.groupBy("part").agg(F.max("rank").alias("top")), "leads")
-    return ranked.join(leads, "part").select(_node("top").alias("lead"), "node").filter("node <> lead").distinct()
+    kept = ("lead", "node", "root", (F.col("root") != F.col("lead_root")).alias("outer"), "size", own.cast("bigint").alias("own"), F.concat("lacks", "adds").alias("apart"))
+    members = stash(placed.select(*kept), "members")
+
+    # A group that fits is one block. Another's blocks 0 to n_outer - 1 hold the documents that are not in the lead's component.
+    room = lambda which: F.greatest(F.ceil(F.count_if(which) / F.lit(FEW)), F.ceil(F.coalesce(F.sum(F.when(which, F.size("apart"))), F.lit(0)) / F.lit(BLOCK_BYTES // 8)))
+    groups = members.groupBy("lead").agg(room(F.lit(True)).alias("n_all"), room(F.col("outer")).alias("n_outer"), room(~F.col("outer")).alias("n_inner"), F.count("*").alias("k"))
+    one = F.col("n_all") == 1
+    groups = groups.filter("k > 1 and n_outer > 0").select("lead", F.when(one, 1).otherwise(F.col("n_outer")).alias("n_outer"), F.when(one, 0).otherwise(F.col("n_inner")).alias("n_inner"))
+    h = F.xxhash64("node")
+    block = F.when(F.col("outer") | (F.col("n_inner") == 0), F.pmod(h, "n_outer")).otherwise(F.col("n_outer") + F.pmod(h, F.greatest("n_inner", F.lit(1))))
+    member = F.struct("node", "root", "outer", "own", "apart")
+    dealt = members.join(stash(groups, "open"), "lead").withColumn("block", block).groupBy("lead", "block", "n_outer", "n_inner", "size").agg(F.collect_list(member).alias("members"))
+    dealt = stash(dealt, "blocks")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = F.col("n_outer") + F.col("n_inner") - 1
+    lower = dealt.filter("block < n_outer").select("lead", "size", F.col("block").alias("lo"), F.explode(F.sequence("block", most)).alias("hi"), F.col("members").alias("x"))
+    upper = dealt.filter("block > 0").select("lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("block", F.col("n_outer")) - 1)).alias("lo"), F.col("block").alias("hi"), F.col("members").alias("y"))
+    pairs = lower.repartition(n, "lead", "lo", "hi").join(upper.repartition(n, "lead", "lo", "hi"), ["lead", "lo", "hi"], "left").filter("lo = hi or y is not null").select("size", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i in range(len(batch)):
+                x, y = (_Block.read(batch.column(c)[i].values) if batch.column(c)[i].is_valid else None for c in ("x", "y"))
+                found.append(_ties(x, y or x, batch.column("size")[i].as_py(), percent))
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def _ranked(score: str, node: str) -> Column:
@@ -264,25 +317,22 @@ def _node(rank: str) -> Column:
     return F.pmod(F.col(rank), F.lit(str(1 << 63)).cast("decimal(19,0)")).cast("bigint")
 
 
+def _led(topped: DataFrame) -> DataFrame:
+    """(top, rank): the leads of documents. topped: (top, rank) of the first document of a key and the others. A key's documents, the first with them,
+    get the lead that the first one has by its own keys, if any: else a large group of near copies has about a lead for each key."""
+    own = topped.groupBy("rank").agg(F.max("top").alias("lead")).withColumnRenamed("rank", "top")
+    leads = topped.select("top").distinct().join(own, "top", "left").withColumn("lead", F.coalesce("lead", "top"))
+    every = topped.join(leads, "top").select("lead", "rank").unionAll(leads.select("lead", F.col("top").alias("rank")))
+    return every.filter("lead <> rank").distinct().withColumnRenamed("lead", "top")
+
+
 def linked(groups: DataFrame, sets: DataFrame, ranks: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, root) of the nodes with a link, root being the same for all nodes of a component.
     groups: (lead, node); ranks: (node, rank), by which leads are chosen."""
-    roots = None
-    while True:
-        with temporary(sets.sparkSession) as keep:
-            told = _compare(groups, sets, n, percent)
-            roots = _joined(roots, told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), keep)
-            parts = keep(_rest(told, roots, percent), "parts")
-        small = parts.filter(F.col("k") <= FEW)
-        if not small.isEmpty():
-            with temporary(sets.sparkSession) as keep:
-                found = _compare(_met(small), sets, n, percent).filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-                roots = _joined(roots, found, keep)
-        large = parts.filter(F.col("k") > FEW)
-        if large.isEmpty():
-            return roots
-        with temporary(sets.sparkSession) as keep:
-            groups = keep(_led(large, ranks), "groups")
+    with temporary(sets.sparkSession) as keep:
+        told = _compare(groups, sets, n, percent)
+        roots = _joined(None, told.filter("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), keep)
+        return _joined(roots, _rest(told, roots, percent), keep)
 
 
 def _joined(roots: DataFrame | None, links: DataFrame, keep) -> DataFrame:
@@ -328,7 +378,8 @@ def _classes(docs: DataFrame, shingle: int, percent: int, miss: float) -> DataFr
     sharing = stash(sharing.select("node", _ranked("score", "node").alias("rank"), pair.alias("keys")).filter("size(keys) > 0"), "sharing")
     keys = sharing.select("rank", F.explode("keys").alias("key"))
     led = stash(keys.groupBy("key").agg(F.count("*").alias("k"), F.max("rank").alias("top")).filter("k > 1").select("key", "top"), "led")
-    groups = stash(keys.join(led, "key").filter("rank <> top").select("top", "rank").distinct().select(_node("top").alias("lead"), _node("rank").alias("node")), "groups")
+    topped = stash(keys.join(led, "key").filter("rank <> top").select("top", "rank").distinct(), "topped")
+    groups = stash(_led(topped).select(_node("top").alias("lead"), _node("rank").alias("node")), "groups")
 
     # The texts of one document of each class that shares a key. The filter lets a few others pass, which the join drops.
     met = groups.select("node").unionAll(groups.select("lead")).distinct()

@@ -306,6 +306,29 @@ def test_minhash_below_threshold(spark, monkeypatch, few):
     assert got == {k: (len(sets[k]), component[k]) for k in rows}
 
 
+def test_minhash_pairs_follow_documents(spark, monkeypatch):
+    """In a group of near copies below the threshold, texts are compared about once a document, whatever is in common among those that the lead is not linked with."""
+    compared, compare = [], minhash_dedup._compare
+    monkeypatch.setattr(minhash_dedup, "_compare", lambda pairs, *rest: compared.append(pairs.count()) or compare(pairs, *rest))
+    rows = dict(enumerate((i, t) for i, t in enumerate(near_group(random.Random(3), 300, 120, 9))))
+    component, _ = brute.near_components(rows, 3, 85)
+    got = {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(spark.createDataFrame(list(rows.values()), "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == component and len(set(component.values())) > 10
+    assert sum(compared) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 12])
+def test_minhash_common_elements(monkeypatch, limit):
+    """Elements in common, multiplied and added up a few at a time."""
+    r = random.Random(limit)
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", limit)
+    monkeypatch.setattr(minhash_dedup, "ADDED", limit)
+    monkeypatch.setattr(minhash_dedup, "PRODUCTS", 20)
+    sides = [[set(r.sample(range(40), r.randint(0, 9))) | set(r.sample(range(40, 900), r.randint(0, 60))) for _ in range(n)] for n in (17, 31)]
+    flat = [(np.array([e for s in side for e in s], np.int64), np.repeat(np.arange(len(side)), [len(s) for s in side]), len(side)) for side in sides]
+    assert minhash_dedup._common(*flat[0], *flat[1]).tolist() == [[len(x & y) for y in sides[1]] for x in sides[0]]
+
+
 def test_minhash_recall(spark):
     """All links of 1,200 pairs near the threshold are found (the bound is one in ten thousand)."""
     r = random.Random(11)
