@@ -19,7 +19,7 @@ Spread over the cluster:
    where the documents' sums are made. A pair that all documents hold is one row for each slice, so no key is
    hot, and nothing is broadcast but the two vocabularies.
 
-Memory: a task holds the tokens of one slice, or of one text if that is longer; a part without such blanks is
+Memory: a task holds the tokens of one slice, or of one text if that is longer, and of the table of slices one file of ``FILE_SLICES``; a part without such blanks is
 handed to the tokenizers whole.
 
 Edge cases: a text that is null or empty, or that either tokenizer does not give back byte by byte with a
@@ -49,6 +49,8 @@ from . import textbytes as tb
 from .keys import small_batches
 
 SLICE_BYTES = 1 << 20
+#: Slices of a file: a task that reads them holds a file's at once.
+FILE_SLICES = 8
 #: Linked parts that a worker keeps for the slices that follow.
 MOST_PARTS = 1 << 17
 #: Parts that the libraries get at a time, as one text where that falls into them again.
@@ -341,7 +343,7 @@ def pair_counts(sliced: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, vocabularies, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    sliced = stash(slices(docs, vocabularies, slice_bytes), "slices")
+    sliced = stash(slices(docs, vocabularies, slice_bytes), "slices", FILE_SLICES)
     counts = pair_counts(sliced).select("pair", "n_docs", "best")
     asked = sliced.select("slice", F.posexplode("pair").alias("at", "pair"))
     told = asked.join(counts, "pair").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", "n_docs", "best"))).alias("told"))

@@ -50,6 +50,18 @@ def test_digests_against_whole_texts(spark, slice_bytes):
     assert got(spark, docs, slice_bytes=slice_bytes) == expected({k: (r[0], r[1]) for k, r in enumerate(rows)})
 
 
+def test_files_of_slices_are_small(spark, monkeypatch):
+    """A task that reads a table holds the rows of a file at once, and slices are large."""
+    made = []
+    stash = token_alignment.stash
+    monkeypatch.setattr(token_alignment, "stash", lambda *x, **named: made.append(stash(*x, **named)) or made[-1])
+    rows = [(i, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert got(spark, docs, slice_bytes=1) == expected(dict(enumerate(rows)))
+    held = [r["count"] for r in made[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 100 and max(held) <= token_alignment.FILE_SLICES
+
+
 def test_store_of_parts_is_bounded(both, monkeypatch):
     monkeypatch.setattr(token_alignment, "MOST_PARTS", 3)
     known = token_alignment.Known(both)
