@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from millrace.llm import bpe_automaton, chat_format, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, quality_rules, substring_dedup, suffix_dedup
+from millrace.llm import bpe_automaton, chat_format, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, pipeline_stages, quality_rules, substring_dedup, suffix_dedup
 from millrace.llm.queries import VOCABULARY
 from millrace.sources.tables import read_table
 from pyspark.sql import functions as F
@@ -317,6 +317,17 @@ def test_minhash_pairs_follow_documents(spark, monkeypatch):
     assert sum(compared) <= 2 * len(rows)
 
 
+def test_near_duplicates_stage_compares_as_many_pairs_as_documents(spark, monkeypatch):
+    """The pipeline's stage, with longer shingles and a lower threshold."""
+    compared, compare = [], minhash_dedup._compare
+    monkeypatch.setattr(minhash_dedup, "_compare", lambda pairs, *rest: compared.append(pairs.count()) or compare(pairs, *rest))
+    rows = dict(enumerate((i, t) for i, t in enumerate(near_group(random.Random(6), 300, 150, 9))))
+    component, _ = brute.near_components(rows, 5, 80)
+    kept = pipeline_stages.near_duplicates(spark, spark.createDataFrame(list(rows.values()), "doc_id bigint, text string"), "").collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(component.values())) and len(kept) > 10
+    assert sum(compared) <= 2 * len(rows)
+
+
 @pytest.mark.parametrize("limit", [1, 1 << 12])
 def test_minhash_common_elements(monkeypatch, limit):
     """Elements in common, multiplied and added up a few at a time."""
